@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 PREVIEW_CHARS = 200
 WHITESPACE = "[ \\t\\n\\x0b\\f\\r]+"
+_WHITESPACE_CHARS = " \t\n\x0b\f\r"
 
 # Section title words and the entity patterns of procurement prose.
 SECTION_WORDS = (("requisiti", "requirements"), ("scadenza", "deadlines"))
@@ -70,7 +71,8 @@ def preview(text: str | Column, chars: int = PREVIEW_CHARS) -> Column:
 
 def tokens(text: str | Column) -> Column:
     """Non-empty whitespace tokens."""
-    return F.filter(F.split(text, WHITESPACE), lambda t: t != "")
+    trimmed = F.btrim(text, F.lit(_WHITESPACE_CHARS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITESPACE))
 
 
 def token_count(text: str | Column) -> Column:

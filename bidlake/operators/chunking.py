@@ -65,7 +65,8 @@ def token_chunks(
             s["start"].alias("start"), s["length"].alias("length"),
             F.array_join(F.slice(F.col("_tokens"), s["start"] + 1, s["length"]), " ").alias("text")))
     else:
-        windows = F.col("_spans")
+        # exploding a bare column would infer a size filter that tokenises the text a second time
+        windows = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     rows = spans.select(*kept, F.posexplode(windows).alias("chunk_index", "_window"))
     return rows.select(
         F.concat(F.col(id_column).cast("string"), F.lit("-"), F.col("chunk_index").cast("string")).alias("id"),

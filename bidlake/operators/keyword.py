@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidlake.functions.text import contains_all, query_terms, tokens
 
-QUERIES_PER_SCAN = 256
+QUERIES_PER_SCAN = 128
 
 
 def keyword_search(
@@ -30,25 +31,30 @@ def keyword_search(
 
 
 def keyword_search_many(
-    queries: Mapping[object, str], chunks: DataFrame, k: int = 5, qid_type: str = "bigint",
+    queries: DataFrame, chunks: DataFrame, k: int = 5, qid_column: str = "qid", terms_column: str = "terms",
     id_column: str = "id", text_column: str = "text",
 ) -> DataFrame:
-    """Top k per query as (qid, id, rank), all queries in one scan of the texts.
+    """Top k per query as (qid, id, rank), every query tested inside one scan of the texts.
 
-    Each text is tested once per query inside the scan stage and only matching (qid, id) pairs
-    continue. ``queries`` is a driver-side mapping; more than ``QUERIES_PER_SCAN`` of them are
-    answered in several scans.
+    Only matching (qid, id) pairs leave the scan stage, and only k per query and task are
+    shuffled. Queries are fetched ``QUERIES_PER_SCAN`` at a time; each further batch is one more
+    scan, so a query set of any size is answered with bounded memory.
     """
-    items = list(queries.items())
-    scans = []
-    for start in range(0, len(items), QUERIES_PER_SCAN):
-        tests = [
-            F.when(contains_all(text_column, query_terms(text)), F.lit(qid).cast(qid_type))
-            for qid, text in items[start:start + QUERIES_PER_SCAN]
-        ]
-        scans.append(chunks.select(
-            F.explode(F.array_compact(F.array(*tests))).alias("qid"), F.col(id_column).alias("id")))
-    hits = reduce(DataFrame.unionByName, scans)
+    qid_type = queries.schema[qid_column].dataType
+    batches, batch = [], []
+    for row in queries.select(qid_column, terms_column).toLocalIterator():
+        batch.append((row[0], query_terms(row[1] or "")))
+        if len(batch) == QUERIES_PER_SCAN:
+            batches.append(batch)
+            batch = []
+    batches.append(batch)
+
+    def scan(items: list) -> DataFrame:
+        tests = [F.when(contains_all(text_column, terms), F.lit(qid).cast(qid_type)) for qid, terms in items]
+        found = F.array_compact(F.array(*tests)) if tests else F.array().cast(T.ArrayType(qid_type))
+        return chunks.select(F.explode(found).alias("qid"), F.col(id_column).alias("id"))
+
+    hits = reduce(DataFrame.unionByName, [scan(items) for items in batches if items or len(batches) == 1])
     order = Window.partitionBy("qid").orderBy("id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

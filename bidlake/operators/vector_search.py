@@ -168,9 +168,9 @@ def _score_by_blocks(questions: DataFrame, rows: DataFrame, k: int, metric: str,
     n_q = max(1, -(-questions.count() // block_rows))
     n_r = max(1, -(-rows.count() // block_rows))
     left = questions.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)))
-    left = left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).cast("long"))
+    left = left.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_r - 1).cast("long"))))
     right = rows.filter("vector is not null").withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(n_r)))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long"))
+    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
     types = _arrow_types(schema)
 
     def best(q_block: pa.Table, r_block: pa.Table) -> pa.Table:

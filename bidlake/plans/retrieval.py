@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,13 +29,13 @@ def hybrid_search(
 
 
 def hybrid_search_many(
-    queries: DataFrame, texts: Mapping[object, str], vectors: DataFrame, chunks: DataFrame, k: int = 5,
-    alpha: float = fusion.ALPHA, mode: str = "max", qid_type: str = "bigint",
+    queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = 5,
+    alpha: float = fusion.ALPHA, mode: str = "max",
 ) -> DataFrame:
-    """Many questions at once: ``queries`` (qid, query_vector), ``texts`` qid → question, vectors
-    (id, embedding) and chunks (id, text)."""
+    """Many questions at once: queries (qid, terms, query_vector), vectors (id, embedding) and
+    chunks (id, text)."""
     vector = vector_topk_many(queries, vectors, k).withColumnRenamed("rank", "ord")
-    keyword = keyword_search_many(texts, chunks, k, qid_type).select(
+    keyword = keyword_search_many(queries, chunks, k).select(
         "qid", F.col("rank").alias("ord"), "id", F.lit(None).cast("double").alias("score"))
     return fusion.hybrid_fusion(vector, keyword, alpha, k, mode)
 
