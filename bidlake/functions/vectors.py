@@ -23,23 +23,30 @@ def ranked_score(score: Column) -> Column:
     return F.rint(score * _SCALE) / _SCALE
 
 
-def _tree_sum(terms: list[Column]) -> Column:
-    """Balanced sum: depth log(n), so wide vectors do not nest expressions deeply."""
+def _tree_sum(terms: list[str]) -> str:
+    """Balanced SQL sum: depth log(n), so wide vectors do not nest expressions deeply."""
     while len(terms) > 1:
-        terms = [sum(terms[i + 1 : i + 4], terms[i]) for i in range(0, len(terms), 4)]
+        terms = ["(" + " + ".join(terms[i : i + 4]) + ")" for i in range(0, len(terms), 4)]
     return terms[0]
 
 
-def _element(vector: Column, i: int) -> Column:
-    return F.get(vector, F.lit(i)).cast("double")
+def _elements(vector: str, n: int) -> list[str]:
+    name = "`" + vector.replace("`", "``") + "`"
+    return [f"cast(get({name}, {i}) as double)" for i in range(n)]
 
 
-def dot(vector: str | Column, query: Sequence[float]) -> Column:
+def _unrolled(template: str, vector: str, query: Sequence[float]) -> Column:
+    """One generated sum over the elements; as SQL text it costs a single call to the JVM."""
+    pairs = zip(_elements(vector, len(query)), query)
+    return F.expr(_tree_sum([template.format(v=v, q=f"({q!r}D)") for v, q in pairs]))
+
+
+def dot(vector: str, query: Sequence[float]) -> Column:
     """Inner product with a literal query vector."""
-    vector = F.col(vector) if isinstance(vector, str) else vector
+    query = [float(q) for q in query]
     if len(query) <= UNROLL_LIMIT:
-        return _tree_sum([_element(vector, i) * float(q) for i, q in enumerate(query)])
-    return dot_columns(vector, F.array(*[F.lit(float(q)) for q in query]))
+        return _unrolled("{v} * {q}", vector, query)
+    return dot_columns(F.col(vector), F.array(*[F.lit(q) for q in query]))
 
 
 def dot_columns(a: Column, b: Column) -> Column:
@@ -48,24 +55,21 @@ def dot_columns(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def norm(vector: str | Column, dim: int | None = None) -> Column:
-    vector = F.col(vector) if isinstance(vector, str) else vector
+def norm(vector: str, dim: int | None = None) -> Column:
     if dim is not None and dim <= UNROLL_LIMIT:
-        return F.sqrt(_tree_sum([_element(vector, i) * _element(vector, i) for i in range(dim)]))
-    return F.sqrt(dot_columns(vector, vector))
+        return F.sqrt(_unrolled("{v} * {v}", vector, [0.0] * dim))
+    return F.sqrt(dot_columns(F.col(vector), F.col(vector)))
 
 
-def similarity(vector: str | Column, query: Sequence[float], metric: str = "IP") -> Column:
+def similarity(vector: str, query: Sequence[float], metric: str = "IP") -> Column:
     """Score of a vector column against a literal query: higher is better for IP and COSINE,
     lower for L2 (squared distance)."""
-    vector = F.col(vector) if isinstance(vector, str) else vector
     query = [float(q) for q in query]
     if metric == "IP":
         score = dot(vector, query)
     elif metric == "L2":
         if len(query) <= UNROLL_LIMIT:
-            gaps = [_element(vector, i) - q for i, q in enumerate(query)]
-            score = _tree_sum([g * g for g in gaps])
+            score = _unrolled("({v} - {q}) * ({v} - {q})", vector, query)
         else:
             literal = F.array(*[F.lit(q) for q in query])
             gaps = F.zip_with(vector, literal, lambda x, y: x.cast("double") - y)
@@ -84,11 +88,10 @@ def best_first(score: str | Column, metric: str = "IP") -> Column:
     return score.asc_nulls_last() if metric == "L2" else score.desc_nulls_last()
 
 
-def mean_vector(vector: str | Column, dim: int) -> Column:
+def mean_vector(vector: str, dim: int) -> Column:
     """Element-wise mean as ``dim`` partial aggregates: one row per group and task is shuffled,
     whatever the number of vectors."""
-    vector = F.col(vector) if isinstance(vector, str) else vector
-    return F.array(*[F.avg(_element(vector, i)) for i in range(dim)])
+    return F.expr("array(" + ", ".join(f"avg({e})" for e in _elements(vector, dim)) + ")")
 
 
 def checked_dim(vector: str | Column, dim: int) -> Column:

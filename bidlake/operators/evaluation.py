@@ -43,7 +43,7 @@ def embedding_quality(collection: DataFrame, dim: int, vector_column: str = "emb
     (|Σu|² − n) / (n (n − 1)), so no pair is formed.
     """
     vector = F.col(vector_column)
-    length = norm(vector)
+    length = norm(vector_column)
     valid = vector.isNotNull() & (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
     unit = collection.select(vector.alias("_v"), F.coalesce(F.when(valid, length > 0), F.lit(False)).alias("_ok"),
                              F.when(valid, length).alias("_len"))

@@ -64,8 +64,17 @@ def tender_lot_rows(tenders: DataFrame, lots: DataFrame, code: str | None = None
     members = lots.select(
         "tender_code", F.col("id").alias("lot_id"), F.col("name").alias("lot_name"),
         F.col("cpv_code").alias("lot_cpv_code"), F.col("base_amount").alias("lot_amount"))
-    return tenders.select("code", "title", "base_amount").join(
-        members, F.col("code") == F.col("tender_code"), "left").drop("tender_code")
+    parents = tenders.select("code", "title", "base_amount")
+    # the side that may be skewed leads an inner join, where AQE can split it; a left outer join
+    # from the parents could not
+    matched = members.join(parents, F.col("code") == F.col("tender_code")).drop("tender_code")
+    return matched.unionByName(without_lots(parents, lots), allowMissingColumns=True).select(
+        "code", "title", "base_amount", "lot_id", "lot_name", "lot_cpv_code", "lot_amount")
+
+
+def without_lots(tenders: DataFrame, lots: DataFrame) -> DataFrame:
+    parents = lots.select(F.col("tender_code").alias("code")).distinct()
+    return tenders.join(parents, "code", "left_anti")
 
 
 def chunk_context(chunk_ids: DataFrame, chunks: DataFrame, tenders: DataFrame, id_column: str = "id") -> DataFrame:
@@ -110,15 +119,11 @@ def related_tenders_many(tenders: DataFrame, sources: DataFrame | None = None, l
     entry = F.struct(
         F.col("publication_date").isNotNull().alias("dated"),
         (-F.unix_date("publication_date")).alias("age"),
-        "code", "title", "buyer_name", "cpv_code", "base_amount")
-    prefixes = F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.least(F.length("cpv_code"), F.lit(2))), lambda n: F.substring(F.col("cpv_code"), F.lit(1), n)))
-    by_division = tenders.filter("cpv_code is not null").select(F.explode(prefixes).alias("_division"), entry.alias("e"))
-    wanted = asked.select("_division").filter("_division is not null").distinct()
-    by_division = _leading(by_division.join(wanted, "_division", "left_semi"), "_division", limit + 1)
-    by_buyer = _leading(
-        tenders.filter("buyer_name is not null").select(F.col("buyer_name").alias("_buyer"), entry.alias("e")),
-        "_buyer", 2 * limit + 1)
+        "code", "title", "buyer_name", "cpv_code", "base_amount").alias("e")
+    by_division = _divisions(tenders.filter("cpv_code is not null").select(division.alias("_division"), entry), limit + 1)
+    by_buyer = _as_lists(_leading(
+        tenders.filter("buyer_name is not null").select(F.col("buyer_name").alias("_buyer"), entry),
+        "_buyer", 2 * limit + 1), "_buyer")
     joined = asked.join(by_division.withColumnRenamed("es", "near"), "_division", "left").join(
         by_buyer.withColumnRenamed("es", "same_buyer"), "_buyer", "left")
 
@@ -138,11 +143,24 @@ def related_tenders_many(tenders: DataFrame, sources: DataFrame | None = None, l
         "_r.base_amount", (-F.col("_r.order")).alias("similarity_score"))
 
 
+def _divisions(df: DataFrame, n: int) -> DataFrame:
+    """First n entries of every CPV division, and of the shorter prefixes a malformed code may ask
+    for; the latter are taken from the former, which hold few rows."""
+    own = _leading(df, "_division", n)
+    key = F.col("_division")
+    shorter = F.transform(F.sequence(F.lit(0), F.length(key)), lambda i: F.substring(key, F.lit(1), i))
+    return _as_lists(_leading(own.select(F.explode(shorter).alias("_division"), "e"), "_division", n), "_division")
+
+
 def _leading(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first n entries per key as a sorted array ``es`` (n rows per key at most)."""
+    """The first n entries per key, cut in every task before the shuffle."""
     order = Window.partitionBy(key).orderBy(F.asc("e.dated"), F.asc("e.age"), F.asc("e.code"))
-    kept = df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n)
-    return kept.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
+    return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+
+
+def _as_lists(df: DataFrame, key: str) -> DataFrame:
+    """One row per key with its few entries as an array ``es``."""
+    return df.groupBy(key).agg(F.collect_list("e").alias("es"))
 
 
 def same_buyer_and_cpv(tenders: DataFrame, code: str) -> DataFrame:

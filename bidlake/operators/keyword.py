@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from bidlake.functions.text import contains_all, query_terms, tokens
 
-QUERIES_PER_SCAN = 128
+QUERIES_PER_BLOCK = 1024
 
 
 def keyword_search(
@@ -32,29 +32,36 @@ def keyword_search(
 
 def keyword_search_many(
     queries: DataFrame, chunks: DataFrame, k: int = 5, qid_column: str = "qid", terms_column: str = "terms",
-    id_column: str = "id", text_column: str = "text",
+    id_column: str = "id", text_column: str = "text", block_size: int = QUERIES_PER_BLOCK,
 ) -> DataFrame:
-    """Top k per query as (qid, id, rank), every query tested inside one scan of the texts.
+    """Top k per query as (qid, id, rank), every query tested inside a scan of the texts.
 
     Only matching (qid, id) pairs leave the scan stage, and only k per query and task are
-    shuffled. Queries are fetched ``QUERIES_PER_SCAN`` at a time; each further batch is one more
-    scan, so a query set of any size is answered with bounded memory.
+    shuffled by the ranking. Up to ``block_size`` queries become one literal of the scan; a larger
+    set is packed into blocks of about that size, and every text meets every block in an equi
+    join on the block number.
     """
-    qid_type = queries.schema[qid_column].dataType
-    batches, batch = [], []
-    for row in queries.select(qid_column, terms_column).toLocalIterator():
-        batch.append((row[0], query_terms(row[1] or "")))
-        if len(batch) == QUERIES_PER_SCAN:
-            batches.append(batch)
-            batch = []
-    batches.append(batch)
-
-    def scan(items: list) -> DataFrame:
-        tests = [F.when(contains_all(text_column, terms), F.lit(qid).cast(qid_type)) for qid, terms in items]
-        found = F.array_compact(F.array(*tests)) if tests else F.array().cast(T.ArrayType(qid_type))
-        return chunks.select(F.explode(found).alias("qid"), F.col(id_column).alias("id"))
-
-    hits = reduce(DataFrame.unionByName, [scan(items) for items in batches if items or len(batches) == 1])
+    words = tokens(F.coalesce(terms_column, F.lit("")))
+    asked = queries.select(F.struct(
+        F.col(qid_column).alias("qid"),
+        F.filter(words, lambda w: ~w.rlike("[%_]")).alias("words"),
+        # only terms with wildcards need pattern matching
+        F.transform(F.filter(words, lambda w: w.rlike("[%_]")),
+                    lambda w: F.concat(F.lit("%"), F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit("%"))).alias("patterns"),
+    ).alias("q"))
+    few = asked.select(F.to_json("q").alias("j")).limit(block_size + 1).collect()
+    texts = chunks.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    if len(few) <= block_size:
+        literal = F.lit("[" + ",".join(row.j for row in few) + "]")
+        texts = texts.withColumn("queries", F.from_json(literal, T.ArrayType(asked.schema["q"].dataType)))
+    else:
+        n = -(-asked.count() // block_size)
+        packed = asked.groupBy(F.pmod(F.xxhash64("q.qid"), F.lit(n)).alias("block")).agg(F.collect_list("q").alias("queries"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        texts = texts.withColumn("block", every).join(packed, "block")
+    met = F.filter("queries", lambda q: F.forall(q["words"], lambda w: F.col("text").contains(w))
+                   & F.forall(q["patterns"], lambda p: F.like(F.col("text"), p)))
+    hits = texts.select(F.explode(F.transform(met, lambda q: q["qid"])).alias("qid"), "id")
     order = Window.partitionBy("qid").orderBy("id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -71,26 +78,26 @@ def bm25_search(
     terms = sorted({t.lower() for t in query_terms(query)})
     if not terms:
         raise ValueError("BM25 needs at least one term")
-    counted = chunks.select(id_column, tokens(F.lower(text_column)).alias("_tokens"))
+    # a text without the characters of any term cannot hold it as a token: tokenise the others only
+    any_term = reduce(lambda x, y: x | y, [F.lower(text_column).contains(term) for term in terms])
+    words = tokens(F.lower(text_column))
 
-    def frequency(i: int):
-        return F.size(F.filter("_tokens", lambda t: t == F.lit(terms[i])))
+    def counts(df: DataFrame) -> DataFrame:
+        split = df.select(id_column, words.alias("_tokens"))
+        n = F.size("_tokens")
+        return split.select(id_column, n.alias("_length"), *[
+            (n - F.size(F.array_remove("_tokens", term))).alias(f"_tf{i}") for i, term in enumerate(terms)])
 
-    counted = counted.select(
-        F.col(id_column), F.size("_tokens").alias("_length"),
-        *[frequency(i).alias(f"_tf{i}") for i in range(len(terms))])
-    stats = counted.agg(F.struct(
+    stats = counts(chunks).agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean_length"),
         *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).alias("s")).scalar()
-    matched = counted.filter(reduce(lambda x, y: x | y, [F.col(f"_tf{i}") > 0 for i in range(len(terms))]))
-    matched = matched.withColumn("_stats", stats)
+    matched = counts(chunks.filter(any_term)).withColumn("_stats", stats)
     score = F.lit(0.0)
     for i in range(len(terms)):
         n, df, tf = F.col("_stats.n"), F.col(f"_stats.df{i}"), F.col(f"_tf{i}")
         weight = F.log((n - df + 0.5) / (df + 0.5) + 1.0)
         length = F.lit(1.0 - b) + F.lit(b) * F.col("_length") / F.col("_stats.mean_length")
         score = score + weight * tf * (k1 + 1.0) / (tf + F.lit(k1) * length)
-    return (
-        matched.select(F.col(id_column), (F.rint(score * 1e9) / 1e9).alias("score"))
-        .orderBy(F.desc("score"), id_column).limit(k)
-    )
+    scored = matched.select(F.col(id_column), (F.rint(score * 1e9) / 1e9).alias("score"))
+    # every term weight is positive, so rows without a term come last and go after the cut
+    return scored.orderBy(F.desc("score"), id_column).limit(k).filter("score > 0")

@@ -2,8 +2,8 @@
 
 One query: generated arithmetic over the scan and a distributed take-ordered, no shuffle.
 Many queries: the query set is measured first. Up to ``QUERY_BYTES_LIMIT`` it travels with the
-tasks and each Arrow batch of the collection is scored by one matrix product; only k rows per
-query and task reach the shuffle. Beyond it both sides are cut into bounded blocks that meet
+tasks and each Arrow batch of the collection is scored by one matrix product; a task keeps only
+its k best rows per query, and those reach the shuffle. Beyond it both sides are cut into bounded blocks that meet
 once per pair of blocks, again keeping only k rows per query and block pair.
 """
 
@@ -21,7 +21,8 @@ from bidlake.functions.vectors import METRICS, SCORE_DIGITS, best_first, similar
 
 DEFAULT_K = 5
 QUERY_BYTES_LIMIT = 32 * 1024 * 1024
-BLOCK_ROWS = 16384
+BLOCK_BYTES = 64 * 1024 * 1024
+SCORES_AT_ONCE = 4_000_000
 
 
 def vector_topk(
@@ -59,7 +60,7 @@ def vector_topk_many(
     id_column: str = "id",
     vector_column: str = "embedding",
     query_bytes_limit: int = QUERY_BYTES_LIMIT,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Top-k per query as (qid, id, score, rank)."""
     if metric not in METRICS:
@@ -114,27 +115,45 @@ def _score(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return np.rint(product * scale) / scale
 
 
-def _best_of_batch(qids: list, queries: np.ndarray, ids: pa.Array, rows: np.ndarray, k: int, metric: str,
-                   types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
-    """k best rows per query of one batch, ties by id."""
-    scores = _score(queries, rows, metric)
-    order_key = scores if metric == "L2" else -scores
-    keep = min(k, order_key.shape[1])
-    ids_ranked = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object) if not pa.types.is_integer(ids.type)
-                                       else ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-    picked_q, picked_r = [], []
-    kth = np.partition(order_key, keep - 1, axis=1)[:, keep - 1]
-    for q in range(order_key.shape[0]):
-        candidates = np.flatnonzero(order_key[q] <= kth[q])
-        best = candidates[np.lexsort((ids_ranked[candidates], order_key[q][candidates]))][:keep]
-        picked_q.append(np.full(len(best), q))
-        picked_r.append(best)
-    q_index, r_index = np.concatenate(picked_q), np.concatenate(picked_r)
-    return pa.RecordBatch.from_arrays([
-        pa.array([qids[i] for i in q_index], type=types[0]),
-        ids.take(pa.array(r_index)).cast(types[1]),
-        pa.array(scores[q_index, r_index], type=pa.float64()),
-    ], names=["qid", "id", "score"])
+class _Best:
+    """k best rows per query seen so far, ties by id; memory is queries × k."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str) -> None:
+        self.queries, self.k, self.metric = queries, k, metric
+        self.limit = np.full(len(queries), np.inf)
+        self.q = np.zeros(0, dtype=np.int64)
+        self.key = np.zeros(0)
+        self.ids: np.ndarray | None = None
+
+    def add(self, ids: pa.Array, rows: np.ndarray) -> None:
+        key = _score(self.queries, rows, self.metric)
+        if self.metric != "L2":
+            key = -key
+        limit = self.limit
+        if key.shape[1] >= self.k:
+            limit = np.minimum(limit, np.partition(key, self.k - 1, axis=1)[:, self.k - 1])
+        q, r = np.nonzero(key <= limit[:, None])
+        names = ids.to_numpy(zero_copy_only=False)[r]
+        if self.ids is not None:
+            names = np.concatenate([self.ids, names])
+        q, key = np.concatenate([self.q, q]), np.concatenate([self.key, key[q, r]])
+        name_order = np.unique(names, return_inverse=True)[1]
+        order = np.lexsort((name_order, key, q))
+        q, key, names = q[order], key[order], names[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = nth < self.k
+        self.q, self.key, self.ids = q[kept], key[kept], names[kept]
+        full = nth[kept] == self.k - 1
+        self.limit[self.q[full]] = self.key[full]
+
+    def batch(self, qids: list, types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+        scores = self.key if self.metric == "L2" else -self.key
+        names = [] if self.ids is None else self.ids
+        return pa.RecordBatch.from_arrays([
+            pa.array([qids[i] for i in self.q], type=types[0]),
+            pa.array(names, type=types[1]),
+            pa.array(scores + 0.0, type=pa.float64()),
+        ], names=["qid", "id", "score"])
 
 
 def _arrow_types(schema: T.StructType) -> tuple[pa.DataType, pa.DataType]:
@@ -151,39 +170,47 @@ def _score_with_broadcast(rows: DataFrame, matrix: tuple[list, np.ndarray], k: i
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries = shared.value
-        step = max(1, 4_000_000 // max(len(qids), 1))
+        found = _Best(queries, k, metric)
+        step = max(1, SCORES_AT_ONCE // max(len(qids), 1))
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
+            for start in range(0, batch.num_rows if qids else 0, step):
                 part = batch.slice(start, step)
-                if part.num_rows and len(qids):
-                    yield _best_of_batch(qids, queries, part.column(0), _to_matrix(part.column(1)), k, metric, types)
+                found.add(part.column(0), _to_matrix(part.column(1)))
+        yield found.batch(qids, types)
 
     return rows.filter("vector is not null").mapInArrow(best, schema)
 
 
 def _score_by_blocks(questions: DataFrame, rows: DataFrame, k: int, metric: str, schema: T.StructType,
-                     block_rows: int) -> DataFrame:
-    """Blocks of at most about ``block_rows`` rows from each side; every pair of blocks is one
-    group. Blocks are chosen by hash of the (unique) id, so they are even and reproducible."""
-    n_q = max(1, -(-questions.count() // block_rows))
-    n_r = max(1, -(-rows.count() // block_rows))
-    left = questions.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)))
-    left = left.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_r - 1).cast("long"))))
-    right = rows.filter("vector is not null").withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(n_r)))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+                     block_rows: int | None) -> DataFrame:
+    """Cut both sides into blocks of about ``BLOCK_BYTES``; every pair of blocks is one group.
+
+    What is shuffled is each side once per block of the other, so large blocks keep it low. The
+    block of a row is the hash of its (unique) id: even and reproducible.
+    """
+    rows = rows.filter("vector is not null")
+    dim = questions.select(F.size("vector").alias("dim")).first().dim
+    size = block_rows or max(BLOCK_BYTES // (8 * max(dim, 1)), 1)
+    n_q = max(1, -(-questions.count() // size))
+    n_r = max(1, -(-rows.count() // size))
+
+    def blocks(own: str, n: int, other: str, n_other: int, df: DataFrame, key: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long")))
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, every)
+
+    left = blocks("qb", n_q, "rb", n_r, questions, "qid").groupBy("qb", "rb")
+    right = blocks("rb", n_r, "qb", n_q, rows, "id").groupBy("qb", "rb")
     types = _arrow_types(schema)
 
     def best(q_block: pa.Table, r_block: pa.Table) -> pa.Table:
-        if q_block.num_rows == 0 or r_block.num_rows == 0:
-            return pa.table({"qid": pa.array([], types[0]), "id": pa.array([], types[1]),
-                             "score": pa.array([], pa.float64())})
         qids = q_block.column("qid").to_pylist()
-        queries = _to_matrix(q_block.column("vector"))
-        ids = r_block.column("id").combine_chunks()
-        vectors = _to_matrix(r_block.column("vector"))
-        step = max(1, 4_000_000 // len(ids))
-        return pa.Table.from_batches([
-            _best_of_batch(qids[i:i + step], queries[i:i + step], ids, vectors, k, metric, types)
-            for i in range(0, len(qids), step)])
-
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(best, schema)
+        if not qids or not r_block.num_rows:
+            return pa.Table.from_batches([_Best(np.zeros((0, 1)), k, metric).batch([], types)])
+        found = _Best(_to_matrix(q_block.column("vector")), k, metric)
+        ids, vectors = r_block.column("id").combine_chunks(), _to_matrix(r_block.column("vector"))
+        step = max(1, SCORES_AT_ONCE // len(qids))
+        for start in range(0, len(ids), step):
+            found.add(ids.slice(start, step), vectors[start:start + step])
+        return pa.Table.from_batches([found.batch(qids, types)])
+
+    return left.cogroup(right).applyInArrow(best, schema)

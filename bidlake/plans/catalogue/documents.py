@@ -30,7 +30,7 @@ _SECTIONS = f"""{_PIECES},
 
 @query("d13_html_blocks", f"with {_PIECES} select page_id, cast(pos as int) as pos, type, text from block")
 def blocks(t):
-    found = html_blocks(t.pages.select("page_id", "html"), "html")
+    found = html_blocks(domain.pages(t), "html")
     return found.select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.type", "b.text")
 
 
@@ -38,7 +38,7 @@ def blocks(t):
     select concat(page_id, '#', section_index) as id, page_id, section_index, title, text, n_blocks,
            case when title is null then '' else title end as section_path from section""")
 def sections(t):
-    found = section_chunks(html_blocks(t.pages.select("page_id", "html"), "html"), "page_id")
+    found = section_chunks(html_blocks(domain.pages(t), "html"), "page_id")
     return found.select("id", "page_id", "section_index", "title", "text", F.size("blocks").alias("n_blocks"), "section_path")
 
 
@@ -50,7 +50,7 @@ def sections(t):
     select concat(source_chunk_id, '-', s // 80) as id, source_chunk_id, section_path, array_to_string(toks[s + 1:s + 100], ' ') as text
     from win""")
 def section_tokens(t):
-    found = document_chunks(html_blocks(t.pages.select("page_id", "html"), "html"), "page_id", 100, 20)
+    found = document_chunks(html_blocks(domain.pages(t), "html"), "page_id", 100, 20)
     return found.select("id", "source_chunk_id", "section_path", "text")
 
 
@@ -65,7 +65,7 @@ def chunks(t):
     select concat(doc_id, '-', s // 680) as id, cast(least(800, len(toks) - s) as int) as n_tokens,
            md5(array_to_string(toks[s + 1:s + 800], ' ')) as digest from win""")
 def chunks_default(t):
-    found = token_chunks(t.documents.select("doc_id", "text"), "doc_id", "text")
+    found = token_chunks(domain.documents(t), "doc_id", "text")
     return found.select("id", "n_tokens", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
@@ -93,7 +93,7 @@ _PATTERNS = {"amounts": r"[0-9]+(?:[.,][0-9]+)*", "organisations": r"[A-Z][a-z]+
     union all select doc_id, 'organisations', unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) from documents
     union all select doc_id, 'requirements', unnest(regexp_extract_all(text, '(?:[Dd]ass|[Ii]s) ')) from documents""")
 def entities(t):
-    found = t.documents.select("doc_id", X.entities("text", _PATTERNS).alias("e"))
+    found = domain.documents(t).select("doc_id", X.entities("text", _PATTERNS).alias("e"))
 
     def labelled(kind):
         return F.transform(F.col(f"e.{kind}"), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("entity")))
@@ -119,7 +119,7 @@ def language(t):
 @query("d10_similar_paragraphs")
 def similar_paragraphs(t):
     paragraphs = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
-    with_parts = t.documents.select("doc_id", paragraphs.alias("paragraphs"))
+    with_parts = domain.documents(t).select("doc_id", paragraphs.alias("paragraphs"))
     vectors = F.transform("paragraphs", lambda p: length_embedding(p, 4))
     return merge_similar_paragraphs(with_parts.select("doc_id", "paragraphs", vectors.alias("vectors")),
                                     "doc_id", "paragraphs", "vectors", 0.999, 200).drop("text")
@@ -129,7 +129,7 @@ def similar_paragraphs(t):
     select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'),
         '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{FFFD}\x{200B}\x{FEFF}]', '', 'g'), '[ \t\x{00A0}]+', ' ', 'g'))) as digest from documents""")
 def clean(t):
-    return t.documents.select("doc_id", F.md5(F.encode(X.clean("text"), "UTF-8")).alias("digest"))
+    return domain.documents(t).select("doc_id", F.md5(F.encode(X.clean("text"), "UTF-8")).alias("digest"))
 
 
 @query("d12_length_embedding", """
@@ -147,6 +147,6 @@ def embedding(t):
     select concat(source_chunk_id, '-', s // 680) as id, source_chunk_id, section_path, tender_id, 16 as dim,
            round(length(array_to_string(toks[s + 1:s + 800], ' ')) / 1000.0e0 + 3 / 16.0e0, 5) as fourth from win""")
 def ingest_blocks(t):
-    rows = ingest.ingest_blocks(html_blocks(t.pages.select("page_id", "html"), "html"), "page_id", 16)
+    rows = ingest.ingest_blocks(html_blocks(domain.pages(t), "html"), "page_id", 16)
     return rows.select("id", "source_chunk_id", "section_path", "tender_id", F.size("embedding").alias("dim"),
                        F.round(F.get("embedding", F.lit(3)).cast("double"), 5).alias("fourth"))

@@ -96,8 +96,7 @@ def enriched_left(t):
 @query("j7_no_lots", """
     select code, title from v_tender where not exists (select 1 from v_lot where tender_code = code)""", "v_tender v_lot")
 def no_lots(t):
-    with_lots = domain.lots(t).select(F.col("tender_code").alias("code"))
-    return domain.tenders(t).select("code", "title").join(with_lots, "code", "left_anti")
+    return graph.without_lots(domain.tenders(t).select("code", "title"), domain.lots(t))
 
 
 @query("j7_orphan_chunks", """

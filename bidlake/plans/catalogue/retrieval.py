@@ -93,7 +93,7 @@ def keyword(t):
       from c, s where a > 0 or b > 0 or c > 0)
     select doc_id, round(score, 6) as score from r order by r.score desc, doc_id limit 20""")
 def bm25(t):
-    return rounded(bm25_search(t.documents.select("doc_id", "text"), "The und QUE", 20, id_column="doc_id"))
+    return rounded(bm25_search(domain.documents(t), "The und QUE", 20, id_column="doc_id"))
 
 
 # One question over documents and their vectors, as hit lists of ten.
@@ -184,7 +184,7 @@ def batch_keywords(t):
     questions = domain.questions(t).select("qid", F.concat_ws(
         " ", F.substring(F.split_part("question", F.lit(" "), F.lit(1)), 1, 3),
         F.substring(F.split_part("question", F.lit(" "), F.lit(2)), 1, 2)).alias("terms"))
-    return keyword_search_many(questions, t.documents.select(F.col("doc_id").alias("id"), "text"), 5)
+    return keyword_search_many(questions, domain.documents(t).withColumnRenamed("doc_id", "id"), 5)
 
 
 @query("r8_multi_query", f"""with {_CENTROID},
@@ -235,7 +235,7 @@ _HITS = f"""with {_FIRST},
 def hits_with_text(t):
     top = vector_topk(domain.vectors(t), first_vector(t), 20).select(F.col("id").alias("doc_id"), "score")
     ranked = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "chunk_index"))
-    hits = domain.chunks(t).join(top, "doc_id").withColumn("qid", F.lit(0))
+    hits = domain.chunks(t, only=top).join(top, "doc_id").withColumn("qid", F.lit(0))
     return hits.withColumn("rank", ranked).select(
         "qid", "id", "tender_code", "text", "section_type", "chunk_index", "score", "rank")
 
@@ -401,6 +401,6 @@ def hybrid_many(t):
     asked = domain.questions(t).select(
         "qid", F.substring(F.split_part("question", F.lit(" "), F.lit(1)), 1, 3).alias("terms"),
         length_embedding("question", 64).alias("query_vector"))
-    documents = t.documents.select(F.col("doc_id").alias("id"), "text")
+    documents = domain.documents(t).withColumnRenamed("doc_id", "id")
     found = retrieval.hybrid_search_many(asked, domain.vectors(t), documents, 5)
     return rounded(found.select("qid", "id", "score", "rank"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,8 +69,13 @@ def expand_by_related(hits: DataFrame, tenders: DataFrame, chunks: DataFrame, se
     """Chunks of tenders related to the leading tenders of a result, a few each."""
     leading = (hits.groupBy("tender_code").agg(F.min("rank").alias("first")).orderBy("first", "tender_code")
                .limit(n_tenders))
-    sources = tenders.join(leading.select(F.col("tender_code").alias("code")), "code", "left_semi")
-    related = graph.related_tenders_many(tenders, sources, n_related).select(
+    # at most ``n_tenders`` rows come to the driver, and turn the later scans into literal filters
+    sources = tenders.filter(F.col("code").isin([row.tender_code for row in leading.collect()]))
+    asked = sources.select(F.substring("cpv_code", 1, 2).alias("division"), "buyer_name").collect()
+    near = [F.col("cpv_code").startswith(row.division) for row in asked if row.division is not None]
+    near += [F.col("buyer_name") == row.buyer_name for row in asked if row.buyer_name is not None]
+    candidates = tenders.filter(reduce(lambda x, y: x | y, near, F.lit(False)))
+    related = graph.related_tenders_many(candidates, sources, n_related).select(
         "source_code", F.col("code").alias("tender_code"), "similarity_score")
     wanted = chunks.filter(F.col("section_type") == section)
     # the first chunks per tender are chosen before the join, so a tender related to several is ranked once

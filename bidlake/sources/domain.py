@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.operators.chunking import token_chunks
-from bidlake.sources.tables import Tables
+from bidlake.sources.tables import Tables, spread
 
 CHUNK_SIZE = 200
 CHUNK_OVERLAP = 30
@@ -100,11 +100,24 @@ def sections(t: Tables) -> DataFrame:
     )
 
 
-def chunks(t: Tables, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Token chunks of every document (Chunk vertices, HAS_CHUNK by ``tender_code``)."""
-    documents = t.documents.select("doc_id", "text", "lang", "source").join(sections(t), "doc_id", "left")
-    documents = documents.withColumn("section_type", F.coalesce("section_type", F.lit("other")))
-    return token_chunks(documents, "doc_id", "text", size, overlap).select(
+def documents(t: Tables) -> DataFrame:
+    return spread(t.documents.select("doc_id", "text", "lang", "source"), "doc_id")
+
+
+def pages(t: Tables) -> DataFrame:
+    return spread(t.pages.select("page_id", "html"), "page_id")
+
+
+def _sectioned(t: Tables, only: DataFrame | None) -> DataFrame:
+    found = documents(t) if only is None else documents(t).join(only.select("doc_id"), "doc_id", "left_semi")
+    found = found.join(sections(t), "doc_id", "left")
+    return found.withColumn("section_type", F.coalesce("section_type", F.lit("other")))
+
+
+def chunks(t: Tables, only: DataFrame | None = None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Token chunks of every document (Chunk vertices, HAS_CHUNK by ``tender_code``), or of the
+    documents whose ``doc_id`` is in ``only``."""
+    return token_chunks(_sectioned(t, only), "doc_id", "text", size, overlap).select(
         "id", F.col("doc_id").cast("string").alias("tender_code"), "doc_id", "chunk_index", "text",
         "section_type", "lang", "source",
     )
@@ -112,9 +125,7 @@ def chunks(t: Tables, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> D
 
 def chunk_links(t: Tables, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """HAS_CHUNK edges and section of every chunk without building the chunk texts."""
-    documents = t.documents.select("doc_id", "text").join(sections(t), "doc_id", "left")
-    documents = documents.withColumn("section_type", F.coalesce("section_type", F.lit("other")))
-    return token_chunks(documents, "doc_id", "text", size, overlap, with_text=False).select(
+    return token_chunks(_sectioned(t, None), "doc_id", "text", size, overlap, with_text=False).select(
         "id", F.col("doc_id").cast("string").alias("tender_code"), "doc_id", "chunk_index", "section_type"
     )
 
