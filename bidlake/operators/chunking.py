@@ -23,6 +23,13 @@ _BLOCK_MARKUP = (
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+def _keyed(df: DataFrame, id_column: str) -> tuple[DataFrame, str]:
+    """Chunks get a column ``id`` of their own, so a document's ``id`` becomes ``document_id``."""
+    if id_column != "id":
+        return df, id_column
+    return df.withColumnRenamed("id", "document_id"), "document_id"
+
+
 def _spans(n: Column, size: int, overlap: int, min_tokens: int) -> Column:
     """(start, length) of each window over n tokens; a last window shorter than ``min_tokens``
     is given to its predecessor."""
@@ -49,12 +56,13 @@ def token_chunks(
 ) -> DataFrame:
     """Overlapping windows of whitespace tokens, one row each.
 
-    Adds ``id`` (``<id>-<index>``), ``chunk_index``, ``token_start``, ``n_tokens`` and, unless
+    Adds ``id`` (``<id>-<index>``; an ``id`` of the document becomes ``document_id``), ``chunk_index``, ``token_start``, ``n_tokens`` and, unless
     ``with_text=False``, ``text``; the other columns are kept. Only the finished windows are
     exploded: the token array of a long document is never copied per window.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
+    df, id_column = _keyed(df, id_column)
     kept = [c for c in df.columns if c != text_column]
     tokenised = df.select(*kept, tokens(text_column).alias("_tokens"))
     spans = tokenised.select(
@@ -120,7 +128,8 @@ def section_chunks(df: DataFrame, id_column: str, blocks_column: str = "blocks")
     ``page_numbers``, ``section_index``. Blocks before the first heading form a section without
     title.
     """
-    kept = [c for c in df.columns if c not in (blocks_column,)]
+    df, id_column = _keyed(df, id_column)
+    kept = [c for c in df.columns if c != blocks_column]
     numbered = df.select(*kept, F.col(blocks_column).alias("_blocks"))
     count = F.size("_blocks")
     # positions of headings, with position 0 added when the document opens without one
@@ -179,8 +188,8 @@ def document_chunks(
 
     Titles lead the text of their section, so a section that is only a heading still counts.
     """
-    sections = section_chunks(df, id_column, blocks_column)
-    sections = sections.select(
+    df, id_column = _keyed(df, id_column)
+    sections = section_chunks(df, id_column, blocks_column).select(
         F.col("id").alias("source_chunk_id"), F.col(id_column).alias("document_id"),
         "section_path", "page_numbers",
         F.concat_ws("\n", "title", F.nullif("text", F.lit(""))).alias("text"))
@@ -202,6 +211,7 @@ def merge_similar_paragraphs(
 
     Paragraphs and their unit vectors come as two arrays of one row; the fold runs in that row.
     """
+    df, id_column = _keyed(df, id_column)
     kept = [c for c in df.columns if c not in (paragraphs_column, vectors_column)]
     zipped = F.zip_with(paragraphs_column, vectors_column, lambda p, v: F.struct(p.alias("text"), v.alias("vector")))
     item_type = "struct<text:string,tokens:int>"

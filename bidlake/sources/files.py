@@ -29,7 +29,11 @@ PARSED_FILE = T.StructType([
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, filename, length, content) of binary files under a folder."""
+    """(path, filename, length, content) of binary files under a folder.
+
+    Empty files have nothing to split and do not appear; ``parse_files`` refuses them when they
+    arrive as rows.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content")
 
