@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ def keyword_search_many(
     Only matching (qid, id) pairs leave the scan stage, and only k per query and task are
     shuffled by the ranking. Up to ``block_size`` queries become one literal of the scan; a larger
     set is packed into blocks of about that size, and every text meets every block in an equi
-    join on the block number.
+    join on block and salt. The salt spreads the texts of one block over the shuffle partitions.
     """
     words = tokens(F.coalesce(terms_column, F.lit("")))
     asked = queries.select(F.struct(
@@ -57,8 +57,13 @@ def keyword_search_many(
     else:
         n = -(-asked.count() // block_size)
         packed = asked.groupBy(F.pmod(F.xxhash64("q.qid"), F.lit(n)).alias("block")).agg(F.collect_list("q").alias("queries"))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-        texts = texts.withColumn("block", every).join(packed, "block")
+        salts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n, 1)
+
+        def every(count: int) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+        texts = texts.withColumn("block", every(n)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        texts = texts.join(packed.withColumn("salt", every(salts)), ["block", "salt"])
     met = F.filter("queries", lambda q: F.forall(q["words"], lambda w: F.col("text").contains(w))
                    & F.forall(q["patterns"], lambda p: F.like(F.col("text"), p)))
     hits = texts.select(F.explode(F.transform(met, lambda q: q["qid"])).alias("qid"), "id")

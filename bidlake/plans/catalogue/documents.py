@@ -75,7 +75,7 @@ def preview(t):
 
 
 @query("d6_section_class", """
-    select case when contains(lower(p_name), 'requisiti') or contains(lower(p_name), 'ring') and false then 'requirements'
+    select case when contains(lower(p_name), 'requisiti') then 'requirements'
                 when contains(lower(p_name), 'scadenza') then 'deadlines' else 'other' end as section_type, count(*) as n
     from (select case p_partkey % 3 when 0 then concat(p_name, ' REQUISITI') when 1 then concat(p_name, ' Scadenza') else p_name end
           as p_name from part) group by 1""")

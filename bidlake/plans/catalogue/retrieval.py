@@ -174,25 +174,28 @@ def batch_blocks(t):
     return found.withColumn("score", F.round("score", 5))
 
 
-@query("r9_batch_keywords", """
-    with q as (select item_id as qid, text as question from benchmark),
-    w as (select qid, substring(split_part(question, ' ', 1), 1, 3) as a, substring(split_part(question, ' ', 2), 1, 2) as b from q)
-    select qid, doc_id as id, cast(row_number() over (partition by qid order by doc_id) as int) as rank
-    from w join documents on text like '%' || a || '%' and text like '%' || b || '%'
-    qualify row_number() over (partition by qid order by doc_id) <= 5""")
+# Every question as a whole is the keyword query: all of its terms must occur in the text.
+_KEYWORD_HITS = r"""
+    asked as (select item_id as qid, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as terms
+              from benchmark),
+    found as (select qid, doc_id as id from asked, documents
+              where len(list_filter(terms, lambda x: text not like concat('%', x, '%'))) = 0)"""
+
+
+@query("r9_batch_keywords", f"""with {_KEYWORD_HITS}
+    select qid, id, cast(row_number() over (partition by qid order by id) as int) as rank
+    from found qualify row_number() over (partition by qid order by id) <= 5""")
 def batch_keywords(t):
-    questions = domain.questions(t).select("qid", F.concat_ws(
-        " ", F.substring(F.split_part("question", F.lit(" "), F.lit(1)), 1, 3),
-        F.substring(F.split_part("question", F.lit(" "), F.lit(2)), 1, 2)).alias("terms"))
+    questions = domain.questions(t).withColumnRenamed("question", "terms")
     return keyword_search_many(questions, domain.documents(t).withColumnRenamed("doc_id", "id"), 5)
 
 
 @query("r8_multi_query", f"""with {_CENTROID},
-    m as (select 0 as qid, id, max(score) as score, count(*) as n_variants from hit where qid < 5 group by id)
+    m as (select 0 as qid, id, max(score) as score, count(*) as n_variants from hit group by id)
     select qid, id, round(score, 6) as score, n_variants, cast(row_number() over (order by m.score desc, id) as int) as rank
     from m order by m.score desc, id limit 10""")
 def multi_query(t):
-    hits = vector_topk_many(centroids(t).filter("qid < 5"), domain.vectors(t), 10)
+    hits = vector_topk_many(centroids(t), domain.vectors(t), 10)
     return rounded(fusion.best_per_id(hits.withColumn("qid", F.lit(0)), 10))
 
 
@@ -363,14 +366,14 @@ def route(t):
 @query("r12_graph_first", """
     select l.tender_code, l.id as lot_id, r.id as requirement_id, c.id as chunk_id, md5(c.text) as digest
     from v_tender t join v_lot l on l.tender_code = t.code join v_requirement r on r.id = l.requirement_id
-    join v_chunk c on c.tender_code = r.id and c.chunk_index = 0 where r.mandatory""",
+    join v_chunk c on c.tender_code = r.id where r.mandatory and t.code = '46'""",
        "v_tender v_lot v_requirement v_chunk")
 def graph_first(t):
-    chunks = domain.chunks(t).filter("chunk_index = 0")
-    stated = chunks.select(F.col("tender_code").alias("requirement_id"), F.col("id").alias("chunk_id"))
-    texts = chunks.select("id", F.md5(F.encode("text", "UTF-8")).alias("text"))
-    found = retrieval.graph_first(domain.tenders(t), domain.lots(t), domain.requirements(t), stated, texts)
-    return found.select("tender_code", "lot_id", "requirement_id", "chunk_id", F.col("text").alias("digest"))
+    stated = domain.chunk_links(t).select(F.col("tender_code").alias("requirement_id"), F.col("id").alias("chunk_id"))
+    found = retrieval.graph_first(
+        domain.tenders(t), domain.lots(t), domain.requirements(t), stated, domain.chunks(t), "46")
+    return found.select("tender_code", "lot_id", "requirement_id", "chunk_id",
+                        F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
 @query("r12_vector_first", _HITS + """
@@ -383,14 +386,13 @@ def vector_first(t):
     return retrieval.vector_first(hits, stated.join(mandatory, "requirement_id", "left_semi"))
 
 
-@query("r3_hybrid_many", """
-    with q as (select item_id as qid, substring(split_part(text, ' ', 1), 1, 3) as a,
-                      list_transform(range(64), lambda i: length(text) / 1000.0e0 + i / 64.0e0) as v from benchmark),
+@query("r3_hybrid_many", f"""with {_KEYWORD_HITS},
+    q as (select item_id as qid, list_transform(range(64), lambda i: length(text) / 1000.0e0 + i / 64.0e0) as v from benchmark),
     s as (select qid, vec_id as id, round(list_dot_product(embedding::double[], q.v), 9) as score from embeddings, q),
     vec as (select qid, id, score, row_number() over (partition by qid order by s.score desc, id) as ord from s
             qualify row_number() over (partition by qid order by s.score desc, id) <= 5),
-    kw as (select qid, doc_id as id, 1000000 + row_number() over (partition by qid order by doc_id) as ord
-           from q join documents on text like '%' || a || '%' qualify row_number() over (partition by qid order by doc_id) <= 5),
+    kw as (select qid, id, 1000000 + row_number() over (partition by qid order by id) as ord
+           from found qualify row_number() over (partition by qid order by id) <= 5),
     both_sides as (select qid, id, ord, 0.7e0 * score / max(score) over (partition by qid) as score from vec
                    union all select qid, id, ord, 1e0 - 0.7e0 from kw),
     best as (select qid, id, score, min(ord) over (partition by qid, id) as first from both_sides
@@ -399,8 +401,7 @@ def vector_first(t):
     from best qualify row_number() over (partition by qid order by best.score desc, first) <= 5""")
 def hybrid_many(t):
     asked = domain.questions(t).select(
-        "qid", F.substring(F.split_part("question", F.lit(" "), F.lit(1)), 1, 3).alias("terms"),
-        length_embedding("question", 64).alias("query_vector"))
+        "qid", F.col("question").alias("terms"), length_embedding("question", 64).alias("query_vector"))
     documents = domain.documents(t).withColumnRenamed("doc_id", "id")
     found = retrieval.hybrid_search_many(asked, domain.vectors(t), documents, 5)
     return rounded(found.select("qid", "id", "score", "rank"))
