@@ -72,27 +72,29 @@ def vector_topk_many(
         T.StructField("id", rows.schema["id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    matrix = _bounded_matrix(questions, query_bytes_limit)
+    # the width is read off the collection, which is stored, so that derived queries run only once
+    stored = rows.filter("vector is not null").select(F.size("vector").alias("dim")).first()
+    dim = stored.dim if stored else 1
+    matrix = _bounded_matrix(questions, dim, query_bytes_limit) if stored else ([], np.zeros((0, 1)))
     if matrix is not None:
         partial = _score_with_broadcast(rows, matrix, k, metric, schema)
     else:
-        partial = _score_by_blocks(questions, rows, k, metric, schema, block_rows)
+        partial = _score_by_blocks(questions, rows, k, metric, schema, block_rows or max(BLOCK_BYTES // (8 * dim), 1))
     order = Window.partitionBy("qid").orderBy(best_first("score", metric), "id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _bounded_matrix(questions: DataFrame, limit: int) -> tuple[list, np.ndarray] | None:
+def _bounded_matrix(questions: DataFrame, dim: int, limit: int) -> tuple[list, np.ndarray] | None:
     """The query set as (ids, matrix) if it fits ``limit`` bytes, else None. Never fetches more
     than the limit allows."""
-    first = questions.select(F.size("vector").alias("dim")).first()
-    if first is None:
-        return [], np.zeros((0, 1))
-    most = max(limit // (8 * max(first.dim, 1)), 1)
+    most = max(limit // (8 * dim), 1)
     fetched = questions.limit(most + 1).toArrow()
     if fetched.num_rows > most:
         return None
-    vectors = fetched.column("vector").combine_chunks()
-    return fetched.column("qid").to_pylist(), _to_matrix(vectors)
+    matrix = _to_matrix(fetched.column("vector"))
+    if len(matrix) and matrix.shape[1] != dim:
+        raise ValueError(f"Query embedding dim mismatch: expected {dim}")
+    return fetched.column("qid").to_pylist(), matrix
 
 
 def _to_matrix(vectors: pa.Array) -> np.ndarray:
@@ -182,15 +184,13 @@ def _score_with_broadcast(rows: DataFrame, matrix: tuple[list, np.ndarray], k: i
 
 
 def _score_by_blocks(questions: DataFrame, rows: DataFrame, k: int, metric: str, schema: T.StructType,
-                     block_rows: int | None) -> DataFrame:
-    """Cut both sides into blocks of about ``BLOCK_BYTES``; every pair of blocks is one group.
+                     size: int) -> DataFrame:
+    """Cut both sides into blocks of about ``size`` rows; every pair of blocks is one group.
 
     What is shuffled is each side once per block of the other, so large blocks keep it low. The
     block of a row is the hash of its (unique) id: even and reproducible.
     """
     rows = rows.filter("vector is not null")
-    dim = questions.select(F.size("vector").alias("dim")).first().dim
-    size = block_rows or max(BLOCK_BYTES // (8 * max(dim, 1)), 1)
     n_q = max(1, -(-questions.count() // size))
     n_r = max(1, -(-rows.count() // size))
 

@@ -82,7 +82,7 @@ def health(t):
 
 
 @query("a11_mean_vectors", """
-    select label, i - 1 as position, round(avg(cast(embedding[i] as double)), 6) as mean
+    select label, cast(i - 1 as int) as position, round(avg(cast(embedding[i] as double)), 6) as mean
     from embeddings, range(1, 65) r(i) group by all""")
 def mean_vectors(t):
     means = t.embeddings.groupBy("label").agg(mean_vector("embedding", 64).alias("v"))

@@ -133,7 +133,7 @@ def clean(t):
 
 
 @query("d12_length_embedding", """
-    select doc_id, i as position, round(length(text) / 1000.0e0 + i / 8.0e0, 6) as x from documents, range(8) r(i)""")
+    select doc_id, cast(i as int) as position, round(length(text) / 1000.0e0 + i / 8.0e0, 6) as x from documents, range(8) r(i)""")
 def embedding(t):
     vectors = t.documents.select("doc_id", length_embedding("text", 8).alias("v"))
     return vectors.select("doc_id", F.posexplode("v").alias("position", "x")).withColumn("x", F.round("x", 6))

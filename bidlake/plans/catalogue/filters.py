@@ -118,7 +118,7 @@ def serialised(t):
 
 
 @query("f22_vector_display", """
-    select vec_id, len(embedding) as dim, round(cast(embedding[5] as double), 6) as fifth from embeddings""")
+    select vec_id, cast(len(embedding) as int) as dim, round(cast(embedding[5] as double), 6) as fifth from embeddings""")
 def vector_display(t):
     shown = F.slice("embedding", 1, 5)
     return t.embeddings.select(

@@ -170,7 +170,7 @@ def batch_search(t):
 def batch_blocks(t):
     """The path for query sets beyond the size limit, forced by a limit of one query."""
     questions = domain.questions(t).select("qid", length_embedding("question", 64).alias("query_vector"))
-    found = vector_topk_many(questions, domain.vectors(t), 3, "L2", query_bytes_limit=1, block_rows=128)
+    found = vector_topk_many(questions, domain.vectors(t), 3, "L2", query_bytes_limit=1)
     return found.withColumn("score", F.round("score", 5))
 
 
@@ -275,7 +275,7 @@ def overlap_rerank(t):
 @query("r5_budget", _HITS + r"""
     n as (select id, rank, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) as n_tokens from hits),
     s as (select *, sum(n_tokens) over (order by rank) as tokens_so_far from n)
-    select id, cast(rank as int) as rank, n_tokens, cast(tokens_so_far as bigint) as tokens_so_far from s where tokens_so_far <= 2000""",
+    select id, cast(rank as int) as rank, cast(n_tokens as int) as n_tokens, cast(tokens_so_far as bigint) as tokens_so_far from s where tokens_so_far <= 2000""",
        "v_tender v_chunk")
 def budget(t):
     kept = fusion.within_budget(hits_with_text(t))

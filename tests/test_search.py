@@ -141,3 +141,17 @@ def test_embedding_quality_counts_bad_vectors(spark, vectors):
 def test_length_embedding(spark):
     v = spark.sql("select 'abcd' as t").select(length_embedding("t", 4).alias("v")).first().v
     assert v == pytest.approx([0.004, 0.254, 0.504, 0.754])
+
+
+def test_task_functions_need_no_package_on_the_executor(tmp_path):
+    """What Spark ships to a worker must load where this package cannot be imported."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "task.bin").write_bytes(cloudpickle.dumps(vector_search._Best))
+    code = ("import sys, importlib.util as u; sys.path = [p for p in sys.path if 'repo' not in p and p]; "
+            "from pyspark import cloudpickle; assert u.find_spec('bidlake') is None; "
+            "assert cloudpickle.loads(open('task.bin', 'rb').read()).__name__ == '_Best'")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)
