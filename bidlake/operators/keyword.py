@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from bidlake.functions.text import contains_all, query_terms, tokens
 
 QUERIES_PER_BLOCK = 1024
+BLOCK_CHARS = 8_000_000
 
 
 def keyword_search(
@@ -37,9 +38,10 @@ def keyword_search_many(
     """Top k per query as (qid, id, rank), every query tested inside a scan of the texts.
 
     Only matching (qid, id) pairs leave the scan stage, and only k per query and task are
-    shuffled by the ranking. Up to ``block_size`` queries become one literal of the scan; a larger
-    set is packed into blocks of about that size, and every text meets every block in an equi
-    join on block and salt. The salt spreads the texts of one block over the shuffle partitions.
+    shuffled by the ranking. Up to ``block_size`` queries of ``BLOCK_CHARS`` together become one
+    literal of the scan. A larger set is packed into blocks of about that size, and every text
+    meets every block in an equi join on block and salt; the salt spreads the texts of one block
+    over the shuffle partitions. Query ids are unique.
     """
     words = tokens(F.coalesce(terms_column, F.lit("")))
     asked = queries.select(F.struct(
@@ -49,13 +51,13 @@ def keyword_search_many(
         F.transform(F.filter(words, lambda w: w.rlike("[%_]")),
                     lambda w: F.concat(F.lit("%"), F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit("%"))).alias("patterns"),
     ).alias("q"))
-    few = asked.select(F.to_json("q").alias("j")).limit(block_size + 1).collect()
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json("q"))).alias("chars")).first()
+    n = max(-(-size.n // block_size), -(-(size.chars or 0) // BLOCK_CHARS), 1)
     texts = chunks.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    if len(few) <= block_size:
-        literal = F.lit("[" + ",".join(row.j for row in few) + "]")
+    if n == 1:
+        literal = F.lit("[" + ",".join(row.j for row in asked.select(F.to_json("q").alias("j")).collect()) + "]")
         texts = texts.withColumn("queries", F.from_json(literal, T.ArrayType(asked.schema["q"].dataType)))
     else:
-        n = -(-asked.count() // block_size)
         packed = asked.groupBy(F.pmod(F.xxhash64("q.qid"), F.lit(n)).alias("block")).agg(F.collect_list("q").alias("queries"))
         salts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n, 1)
 
