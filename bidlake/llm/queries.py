@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlake.llm import mixing, packing, sharding, token_store
+from bidlake.llm import language, mixing, packing, sharding, token_store, toxicity
 from bidlake.llm.tokens import vocabulary_path
 
 
@@ -20,15 +20,26 @@ def op3_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_subword_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, folder, "labels")))
+
+
 def op5_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents")).select("doc_id", "n_bytes", "depth", "shard", "shard_bytes", "shard_docs")
 
 
+def op6_subword_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.stored_index(_table(spark, folder, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_pareto_mix, op5_extendible_shards, op10_token_store)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op3_pareto_mix, op4_subword_toxicity, op5_extendible_shards, op6_subword_language, op10_token_store)}
 
 SQL = {
     "op3_pareto_mix": r"""
