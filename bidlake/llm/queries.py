@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bidlake.llm import language, mixing, packing, sharding, token_store, toxicity
+from bidlake.llm import hnsw, language, mixing, packing, sharding, token_store, toxicity, vector_dedup
 from bidlake.llm.tokens import vocabulary_path
 
 
@@ -12,10 +13,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), vocabulary_path())
 
 
+def op2_hnsw_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    return hnsw.search(hnsw.build_index(rows, 11), rows.filter(F.col("id") % 100 == 0), 10)
+
+
 def op3_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,12 +44,17 @@ def op6_subword_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op9_pca_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_vectors(spark, folder))
+
+
 def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.stored_index(_table(spark, folder, "documents"), vocabulary_path())
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_pareto_mix, op4_subword_toxicity, op5_extendible_shards, op6_subword_language, op10_token_store)}
+    op1_best_fit_packing, op2_hnsw_neighbours, op3_pareto_mix, op4_subword_toxicity, op5_extendible_shards,
+    op6_subword_language, op9_pca_tiles, op10_token_store)}
 
 SQL = {
     "op3_pareto_mix": r"""
