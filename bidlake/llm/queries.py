@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import hnsw, language, mixing, packing, sharding, suffixes, token_store, toxicity, vector_dedup
+from bidlake.llm import hnsw, language, mixing, packing, sharding, signature_join, suffixes, token_store, toxicity, vector_dedup
 from bidlake.llm.tokens import vocabulary_path
 
 
@@ -44,6 +44,10 @@ def op6_subword_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op7_signature_join(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_join.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, folder, "documents"))
 
@@ -58,7 +62,7 @@ def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_hnsw_neighbours, op3_pareto_mix, op4_subword_toxicity, op5_extendible_shards,
-    op6_subword_language, op8_suffix_dedup, op9_pca_tiles, op10_token_store)}
+    op6_subword_language, op7_signature_join, op8_suffix_dedup, op9_pca_tiles, op10_token_store)}
 
 SQL = {
     "op3_pareto_mix": r"""

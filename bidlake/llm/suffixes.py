@@ -25,8 +25,8 @@ from bidlake.llm.anchors import anchors, span_hashes
 from bidlake.llm.common import byte_strings, ranges, shuffle_partitions, stage, text_steps
 
 WINDOW = 200
-BATCH_BYTES = 1 << 20
-BUCKET_BYTES = 6 << 20
+BATCH_BYTES = 2_000_000
+BUCKET_BYTES = 1_500_000
 HOT_CONTEXTS = 50_000
 
 
@@ -34,26 +34,33 @@ def suffix_ranks(data: np.ndarray, window: int) -> np.ndarray:
     """Lexicographic rank of the ``window`` bytes from every place, by prefix doubling."""
     if len(data) < window:
         return np.zeros(0, np.int64)
-    length = 1
-    rank = data.astype(np.int64)
-    if window >= 8:
-        value = np.zeros(len(data) - 7, np.uint64)
-        for k in range(8):
-            value = (value << np.uint64(8)) | data[k:len(data) - 7 + k]
-        rank, length = _dense(value), 8
+    length = min(5, window)
+    value = np.zeros(len(data) - length + 1, np.uint64)
+    for k in range(length):
+        value = (value << np.uint64(8)) | data[k:len(data) - length + 1 + k]
+    rank, bits = _dense(value, 8 * length), max(len(data).bit_length(), 1)
     while length < window:
         step = min(length, window - length)
         n = len(rank) - step
-        rank = _dense((rank[:n].astype(np.uint64) << np.uint64(32)) | rank[step:].astype(np.uint64))
+        rank = _dense((rank[:n].astype(np.uint64) << np.uint64(bits)) | rank[step:].astype(np.uint64), 2 * bits)
         length += step
     return rank
 
 
-def _dense(value: np.ndarray) -> np.ndarray:
-    order = np.argsort(value)
-    ordered = value[order]
+def _order(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ascending order of ``value``, the values in that order); ties by place."""
+    at = max(len(value).bit_length(), 1)
+    if bits + at <= 64:  # sorting value and place in one word is much faster than sorting places
+        packed = np.sort((value.astype(np.uint64) << np.uint64(at)) | np.arange(len(value), dtype=np.uint64))
+        return (packed & np.uint64((1 << at) - 1)).astype(np.int64), packed >> np.uint64(at)
+    order = np.argsort(value, kind="stable")
+    return order, value[order]
+
+
+def _dense(value: np.ndarray, bits: int) -> np.ndarray:
+    order, ordered = _order(value, bits)
     rank = np.empty(len(value), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+    rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
     return rank
 
 
@@ -63,9 +70,9 @@ class Level:
     def __init__(self, data: np.ndarray, places: np.ndarray, numbers: np.ndarray, batches: int, window: int):
         self.data, self.batches, self.window = data, batches, window
         rank = suffix_ranks(data, window)[places] if len(places) else places
-        order = np.argsort(rank, kind="stable")
+        order, ordered = _order(rank, max(len(data).bit_length(), 1))
         self.suffixes, self.numbers = places[order], numbers[order]
-        same = rank[order][1:] == rank[order][:-1]
+        same = ordered[1:] == ordered[:-1]
         self.repeated = np.zeros(len(places), bool)
         self.repeated[1:] |= same
         self.repeated[:-1] |= same
