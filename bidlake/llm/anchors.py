@@ -73,11 +73,15 @@ def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     """A hash of every data[begin:end], from running sums of two polynomials."""
     out = np.zeros(len(begins), np.uint64)
     for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
-        powers = np.full(len(data) + 1, base, np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(powers[:-1] * (data.astype(np.uint64) + np.uint64(1)), out=sums[1:])
-        # brought to one common power, so that equal bytes give equal values at any place
-        out = mixed(out * np.uint64(31) + (sums[ends] - sums[begins]) * powers[len(data) - begins])
+        np.cumsum(_powers(base, len(data)) * (data.astype(np.uint64) + np.uint64(1)), out=sums[1:])
+        # divided by the power of the first place, so that equal bytes give equal values anywhere
+        out = mixed(out * np.uint64(31) + (sums[ends] - sums[begins]) * _powers(pow(base, -1, 1 << 64), len(data) + 1)[begins])
     return out
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ..., n - 1 modulo 2 ** 64."""
+    powers = np.full(n, base, np.uint64)
+    powers[:1] = 1
+    return np.multiply.accumulate(powers, out=powers)
