@@ -146,3 +146,25 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 "score": pa.array(top), "rejected": pa.array(~known | (top < model.least))})
 
     return kept.mapInArrow(score, SCHEMA)
+
+
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` whose text is not rejected, with all their columns."""
+    scored = docs.withColumn("_letters", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, starts in text_steps(_with_lowered(batches), "_lower"):
+            known = batch.column("_letters").to_numpy(zero_copy_only=False)
+            if model.model is None:
+                known = np.zeros(len(known), bool)
+            else:
+                z, _ = model.scores(data, starts)
+                known = known & (softmax(z / model.temperature).max(axis=1) >= model.least)
+            yield batch.select(docs.columns).filter(pa.array(known))
+
+    return scored.mapInArrow(keep, docs.schema)
+
+
+def _with_lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.append_column("_lower", lowered(batch.select(["text"])).column("text"))

@@ -127,3 +127,13 @@ def _inside(rows: DataFrame, cut: DataFrame, bucket: str) -> DataFrame:
     """The rows in the bucket that the cut falls in: about one in BUCKETS of a source."""
     at = _plain(cut).select("s2", F.col(bucket).alias("cut_at"))
     return rows.join(at, F.col("source").eqNullSafe(F.col("s2")) & (F.col(bucket) == F.col("cut_at")), "left_semi")
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; rows it does not take are left out."""
+    wanted = mix(docs, **options).filter("copies > 0").groupBy(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_words": size})
+    taken = keyed.join(wanted, (F.col("_key") == F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
