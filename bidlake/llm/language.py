@@ -150,6 +150,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of ``docs`` whose text is not rejected, with all their columns."""
+    columns = docs.columns
     scored = docs.withColumn("_letters", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,7 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
             else:
                 z, _ = model.scores(data, starts)
                 known = known & (softmax(z / model.temperature).max(axis=1) >= model.least)
-            yield batch.select(docs.columns).filter(pa.array(known))
+            yield batch.select(columns).filter(pa.array(known))
 
     return scored.mapInArrow(keep, docs.schema)
 
