@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Text bytes that one numpy step works on; longer Arrow batches are cut into several steps.
 STEP_BYTES = 12_000_000
+# The same for steps that hold several 64-bit numbers per byte.
+SMALL_STEP_BYTES = 4_000_000
 # White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import components, mixed, stage, text_steps
+from bidlake.llm.common import SMALL_STEP_BYTES, components, mixed, stage, text_steps
 from bidlake.llm.shingles import shingle_sets
 
 PERCENT = 75
@@ -235,7 +235,7 @@ def _counted(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, starts in text_steps(batches):
+    for batch, data, starts in text_steps(batches, step_bytes=SMALL_STEP_BYTES):
         tokens, sizes = shingle_sets(data, starts)
         h1, h2 = _hashes(tokens, sizes)
         low = np.concatenate([[0], np.cumsum(tokens < _HALF)])
@@ -250,7 +250,7 @@ _DOC = np.dtype([("id", "<i8"), ("set", "<u4"), ("upper", "<u4"), ("count", "<u4
 
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Counted tokens (32 bits each) dealt by hash, with the documents they come from."""
-    for batch, data, starts in text_steps(batches):
+    for batch, data, starts in text_steps(batches, step_bytes=SMALL_STEP_BYTES):
         tokens, sizes = shingle_sets(data, starts)
         h1, _ = _hashes(tokens, sizes)
         keep = _counted(tokens, sizes)
@@ -295,7 +295,7 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets of the rows whose class is open (a doc_id may have rows of other classes)."""
-    for batch, data, starts in text_steps(batches):
+    for batch, data, starts in text_steps(batches, step_bytes=SMALL_STEP_BYTES):
         tokens, sizes = shingle_sets(data, starts)
         h1, h2 = _hashes(tokens, sizes)
         own = (h1.view(np.int64) == batch.column("c1").to_numpy()) & (h2.view(np.int64) == batch.column("c2").to_numpy())

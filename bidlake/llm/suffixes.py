@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.llm.anchors import anchors, span_hashes
-from bidlake.llm.common import byte_strings, ranges, shuffle_partitions, stage, text_steps
+from bidlake.llm.common import SMALL_STEP_BYTES, byte_strings, ranges, shuffle_partitions, stage, text_steps
 
 WINDOW = 200
 BATCH_BYTES = 2_000_000
@@ -138,7 +138,7 @@ def _found(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """k1, k2, start, length, anchor, single, hot: the contexts of anchors met more than once, each
     occurrence of those met twice (anchor null) and one of every distinct one that needs its bytes."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in text_steps(batches):
+        for batch, data, starts in text_steps(batches, step_bytes=SMALL_STEP_BYTES):
             text, first, last, hashed = anchors(data, starts, window)
             if not len(text):
                 continue
