@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -50,6 +51,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker lives on, and its executor has a limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", step_bytes: int = STEP_BYTES) -> Iterator[tuple]:
     """Slices of Arrow batches as (batch slice, bytes of all texts, start of each text plus the end).
 
@@ -69,6 +79,8 @@ def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", step_byt
             last = min(max(last, first + 1), n)
             yield batch.slice(first, last - first), data[ends[first]:ends[last]], ends[first:last + 1] - ends[first]
             first = last
+        del array, ends, data
+        tidy()
 
 
 def words_of(data: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import SMALL_STEP_BYTES, components, mixed, stage, text_steps
+from bidlake.llm.common import SMALL_STEP_BYTES, components, mixed, stage, text_steps, tidy
 from bidlake.llm.shingles import shingle_sets
 
 PERCENT = 75
 SMALL_SET = 64  # sets below this are judged by all their tokens
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 1_500_000
 BLOCK_SETS = 512
 LEAF_SETS = 4
 BITMAP_BITS = 2048
@@ -151,7 +151,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = max(-(-total // BUCKET_TOKENS), 1)
     shared = kept.filter("doc_id is not null").mapInArrow(
         lambda batches: _deal(batches, buckets), "bucket int, docs binary, tokens binary"
-    ).groupBy("bucket").applyInArrow(_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    ).groupBy("bucket").applyInArrow(
+        lambda key, table: _shared(table, buckets), "part int, counts binary"
+    ).groupBy("part").applyInArrow(_summed, "doc_id long, shared long")
     overlap = F.ceil(F.col("n") * PERCENT / 100)
     open_ = classes.join(shared, F.col("id") == F.col("doc_id")).filter(
         F.col("shared") >= F.greatest(F.col("counted") - (F.col("n") - overlap), F.lit(1)))
@@ -273,8 +275,11 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                                               "tokens": pa.array([short[part].tobytes()], pa.binary())})
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """Per document of a bucket how many of its judged tokens another set holds too. Different tokens
+_COUNT = np.dtype([("id", "<i8"), ("shared", "<u4")])
+
+
+def _shared(table: pa.Table, parts: int) -> pa.Table:
+    """Per document of a bucket, packed and dealt by doc_id, how many of its judged tokens another set holds too. Different tokens
     that agree in 32 bits count as shared, which keeps a class open but settles none wrongly."""
     docs = np.concatenate([np.frombuffer(x, _DOC) for x in table.column("docs").to_pylist()])
     tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()])
@@ -289,8 +294,27 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     after = np.arange(len(tokens)) - np.repeat(np.cumsum(count) - count, count)
     hit &= after < np.repeat(count - docs["upper"].astype(np.int64), count)
     total = np.bincount(owner, hit, len(docs)).astype(np.int64)
-    some = total > 0
-    return pa.table({"doc_id": pa.array(docs["id"][some], pa.int64()), "shared": pa.array(total[some], pa.int64())})
+    some = np.flatnonzero(total > 0)
+    part = (mixed(np.ascontiguousarray(docs["id"][some]).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    some = some[np.argsort(part, kind="stable")]
+    part = np.sort(part)
+    rows = np.zeros(len(some), _COUNT)
+    rows["id"], rows["shared"] = docs["id"][some], total[some]
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    out = pa.table({"part": pa.array(full.astype(np.int32)),
+                    "counts": pa.array([rows[cuts[k]:cuts[k + 1]].tobytes() for k in full], pa.binary())})
+    del tokens, pairs, shared, owner, place, hit, after
+    tidy()
+    return out
+
+
+def _summed(key: tuple, table: pa.Table) -> pa.Table:
+    """Shared tokens of each document over all buckets."""
+    rows = np.concatenate([np.frombuffer(x, _COUNT) for x in table.column("counts").to_pylist()])
+    ids, place = np.unique(rows["id"], return_inverse=True)
+    return pa.table({"doc_id": pa.array(ids, pa.int64()),
+                     "shared": pa.array(np.bincount(place, rows["shared"], len(ids)).astype(np.int64))})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.llm.anchors import anchors, span_hashes
-from bidlake.llm.common import SMALL_STEP_BYTES, byte_strings, ranges, shuffle_partitions, stage, text_steps
+from bidlake.llm.common import SMALL_STEP_BYTES, byte_strings, ranges, shuffle_partitions, stage, text_steps, tidy
 
 WINDOW = 200
 BATCH_BYTES = 2_000_000
@@ -226,6 +226,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BU
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(context))[:len(first)] - 1
         at = context[first]
+        tidy()
         start = table.column("start").to_numpy()[at] + place[first]
         return pa.table({"k1": table.column("k1").to_numpy()[at], "k2": table.column("k2").to_numpy()[at],
                          "start": start, "end": start + (place[last] - place[first]) + window})
