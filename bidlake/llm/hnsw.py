@@ -229,7 +229,7 @@ def _answer(asked: dict, shard: dict, k: int, breadth: int, out: list[list]) ->
     array = lambda name, kind: np.frombuffer(shard[name], kind)
     levels = array("levels", np.int64)
     graph = Hierarchy(array("vectors", np.float64).reshape(n, width), levels, array("ground", np.int32).reshape(n, -1),
-                      array("upper", np.int32).reshape(int(levels.sum()), -1), shard["entry"])
+                      array("upper", np.int32).reshape(int(levels.sum()), LINKS), shard["entry"])
     ids, each = array("ids", np.int64), array("ids_each", np.int32)
     first = np.cumsum(each) - each
     for q_id, q in zip(np.frombuffer(asked["ids"], np.int64), np.frombuffer(asked["asked"], np.float64).reshape(-1, width), strict=True):
