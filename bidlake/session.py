@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold on any cluster; sizes (executors, memory, shuffle partitions)
@@ -29,17 +27,12 @@ def build_session(app_name: str = "bidlake", master: str | None = None, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; invent one only for a local master."""
+    """Use the shared checkpoint folder that the session names, else one in its warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="bidlake-checkpoint-"))
-    else:
-        raise RuntimeError("iterative operators need spark.checkpoint.dir on shared storage")
+    context.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

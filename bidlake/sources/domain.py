@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.operators.chunking import token_chunks
-from bidlake.sources.tables import Tables, spread
+from bidlake.sources.tables import Tables
 
 CHUNK_SIZE = 200
 CHUNK_OVERLAP = 30
@@ -101,11 +101,11 @@ def sections(t: Tables) -> DataFrame:
 
 
 def documents(t: Tables) -> DataFrame:
-    return spread(t.documents.select("doc_id", "text", "lang", "source"), "doc_id")
+    return t.documents.select("doc_id", "text", "lang", "source")
 
 
 def pages(t: Tables) -> DataFrame:
-    return spread(t.pages.select("page_id", "html"), "page_id")
+    return t.pages.select("page_id", "html")
 
 
 def _sectioned(t: Tables, only: DataFrame | None) -> DataFrame:

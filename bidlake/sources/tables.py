@@ -24,12 +24,3 @@ class Tables:
         if name not in self._read:
             self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._read[name]
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core for costly per-row work when a scan has fewer splits than there are cores.
-
-    A scan with enough splits, as any large table has, is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
