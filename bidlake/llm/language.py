@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlake.llm.common import text_steps
-from bidlake.llm.subwords import Model, bags, distinct_words, lowered, softmax, train
+from bidlake.llm.subwords import Model, all_words, bags, distinct_words, lowered, softmax, train
 
 SAMPLE_PER_LANGUAGE = 400
 MAX_LANGUAGES = 200
@@ -62,37 +62,18 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
     if not languages:
         return LanguageModel(None, [])
     label_of = np.array([languages.index(x) for x in sample.column("lang").to_pylist()])
-    parts, texts = [], []
-    for batch, data, starts in text_steps(map(lowered, sample.select(["text"]).combine_chunks().to_batches())):
-        words, number, text = distinct_words(data, starts)
-        parts.append((words, number, text + sum(map(len, texts))))
-        texts.append(batch)
-    owner, bucket, label, doc = [], [], [], []
-    base = 0
-    for words, number, text in parts:
-        if not len(number):
-            continue
-        order_in = np.arange(len(text)) - np.searchsorted(text, text, side="left")
-        _, segment = np.unique(text * (1 << 32) + order_in // SEGMENT_WORDS, return_inverse=True)
-        word_of, gram = bags(words, SIZES, BUCKETS)
-        count = np.bincount(word_of, minlength=len(words))
-        first = np.cumsum(count) - count
-        repeat = count[number]
-        at = np.repeat(first[number] - (np.cumsum(repeat) - repeat), repeat) + np.arange(repeat.sum())
-        owner.append(np.repeat(segment, repeat) + base)
-        bucket.append(gram[at])
-        start_of = np.searchsorted(segment, np.arange(segment.max() + 1))
-        doc.append(text[start_of])
-        label.append(label_of[text[start_of]])
-        base += int(segment.max()) + 1
-    if not owner:
+    words, number, text = all_words(sample)
+    if not len(number):
         return LanguageModel(None, [])
-    owner, bucket, label, doc = map(np.concatenate, (owner, bucket, label, doc))
-    checked = doc % 5 == 0
-    keep = ~checked[owner]
-    weights = 1.0 / np.maximum(np.bincount(label, minlength=len(languages)), 1)
-    model = LanguageModel(train(owner[keep], bucket[keep], label, len(languages), BUCKETS, SIZES, epochs=3,
-                                weight=(weights * len(label) / len(languages))[label].clip(0, 5)), languages)
+    place = np.arange(len(text)) - np.searchsorted(text, text, side="left")
+    first = np.flatnonzero(place % SEGMENT_WORDS == 0)
+    size = np.diff(first, append=len(text))
+    doc = text[first]
+    keep = doc % 5 != 0
+    label = label_of[doc[keep]]
+    weights = 1.0 / np.maximum(np.bincount(label_of[doc], minlength=len(languages)), 1)
+    model = LanguageModel(train(number[np.repeat(keep, size)], size[keep], label, bags(words, SIZES, BUCKETS), len(languages),
+                                BUCKETS, SIZES, epochs=3, weight=(weights * len(doc) / len(languages))[label].clip(0, 5)), languages)
     _calibrate(model, sample, label_of)
     return model
 
@@ -101,7 +82,8 @@ def _calibrate(model: LanguageModel, sample: pa.Table, label_of: np.ndarray) ->
     """Temperature by least log loss, and the rejection score, on documents left out of training."""
     rows = np.arange(0, len(label_of), 5)
     logits, full = [], []
-    for _, data, starts in text_steps(map(lowered, sample.take(pa.array(rows)).select(["text"]).combine_chunks().to_batches())):
+    left_out = sample.take(pa.array(rows)).select(["text"]).to_batches(max_chunksize=256)
+    for _, data, starts in text_steps(map(lowered, left_out), step_bytes=2_000_000):
         z, has = model.scores(data, starts)
         logits.append(z)
         full.append(has)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from bidlake.llm.common import byte_strings, mixed, ranges, words_of
+from bidlake.llm.common import byte_strings, mixed, ranges, text_steps, words_of
 
 _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[ord("a"):ord("z") + 1] = True
@@ -34,6 +34,20 @@ def distinct_words(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.n
     return words.dictionary, words.indices.to_numpy().astype(np.int64), text
 
 
+def all_words(texts: pa.Table, step_bytes: int = 2_000_000) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``distinct_words`` of a whole table of texts, read in small steps; numbers are 32 bits wide."""
+    parts, owners, before = [], [], 0
+    for batch, data, starts in text_steps(map(lowered, texts.select(["text"]).to_batches(max_chunksize=256)), step_bytes=step_bytes):
+        begins, ends, text = words_of(data, starts, _WORD_BYTES)
+        parts.append(byte_strings(data, begins, ends).dictionary_encode())
+        owners.append((text + before).astype(np.int32))
+        before += len(batch)
+    if not parts:
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    joined = pa.chunked_array(parts).unify_dictionaries()
+    return joined.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in joined.chunks]), np.concatenate(owners)
+
+
 def bags(words: pa.Array, sizes: tuple[int, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket) of every n-gram of ``words``, by word."""
     offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
@@ -78,37 +92,40 @@ class Model:
         return sums, np.bincount(number, minlength=len(words))
 
 
-def train(owner: np.ndarray, bucket: np.ndarray, label: np.ndarray, classes: int, buckets: int, sizes: tuple[int, int],
-          dim: int = 8, epochs: int = 5, rate: float = 2.0, together: int = 256, weight: np.ndarray | None = None,
-          seed: int = 1) -> Model:
-    """Train embeddings and softmax jointly on bags: n-gram ``bucket`` belongs to bag ``owner``
-    (ascending), bag i has class ``label[i]``. Same input, same model."""
+def train(words: np.ndarray, size: np.ndarray, label: np.ndarray, grams: tuple[np.ndarray, np.ndarray], classes: int,
+          buckets: int, sizes: tuple[int, int], dim: int = 8, epochs: int = 5, rate: float = 2.0, together: int = 256,
+          weight: np.ndarray | None = None, seed: int = 1) -> Model:
+    """Train embeddings and softmax jointly on bags of words: bag i holds the next ``size[i]`` of
+    ``words`` and has class ``label[i]``; ``grams`` are the ``bags`` of all words. N-grams of a bag are
+    looked up when its turn comes, so memory is that of the words. Same input, same model."""
     random = np.random.default_rng(seed)
-    n = len(label)
     vectors = random.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     matrix = random.normal(0, 1 / np.sqrt(dim), (dim, classes)).astype(np.float32)
     bias = np.zeros(classes, np.float32)
-    size = np.bincount(owner, minlength=n)
+    grams_of = np.bincount(grams[0], minlength=int(words.max(initial=-1)) + 1)
+    first_gram = np.cumsum(grams_of) - grams_of
     first = np.cumsum(size) - size
     full = np.flatnonzero(size)
-    weight = np.ones(n, np.float32) if weight is None else weight.astype(np.float32)
+    weight = np.ones(len(label), np.float32) if weight is None else weight.astype(np.float32)
     steps, step = max(epochs * -(-len(full) // together), 1), 0
     for _ in range(epochs):
         order = random.permutation(full)
         for i in range(0, len(order), together):
             rows = order[i:i + together]
-            count = size[rows]
-            ids = bucket[ranges(first[rows], count)]
-            bag = np.add.reduceat(vectors[ids], np.cumsum(count) - count, axis=0) / count[:, None]
+            members = words[ranges(first[rows], size[rows])]
+            ids = grams[1][ranges(first_gram[members], grams_of[members])]
+            count = np.add.reduceat(grams_of[members], np.cumsum(size[rows]) - size[rows])
+            grams_in = count.astype(np.float32)[:, None]
+            bag = np.add.reduceat(vectors[ids], np.cumsum(count) - count, axis=0) / grams_in
             z = bag @ matrix + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), label[rows]] -= 1
             p *= weight[rows, None]
             lr = np.float32(rate * (1 - step / steps))
-            back = (p @ matrix.T) / count[:, None]
+            back = (p @ matrix.T) / grams_in
             np.add.at(vectors, ids, np.repeat(-lr * back, count, axis=0))
-            matrix -= lr * (bag.T @ p) / len(rows)
+            matrix -= lr / len(rows) * (bag.T @ p)
             bias -= lr * p.mean(axis=0)
             step += 1
     return Model(vectors @ matrix, bias, sizes)

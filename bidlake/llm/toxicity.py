@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from bidlake.llm.common import text_steps
 from bidlake.llm.language import held_out
-from bidlake.llm.subwords import Model, bags, distinct_words, lowered, train
+from bidlake.llm.subwords import Model, all_words, bags, distinct_words, lowered, train
 
 SAMPLE_TOXIC = 1500
 SAMPLE_CLEAN = 3000
@@ -74,8 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     toxic_doc = sample.column("toxic").to_numpy().astype(bool)
     if not len(toxic_doc) or toxic_doc.all() or not toxic_doc.any():
         return ToxicityModel(None)
-    words, number, text = distinct_words(*next(text_steps(
-        map(lowered, sample.select(["text"]).combine_chunks().to_batches()), step_bytes=1 << 40))[1:])
+    words, number, text = all_words(sample)
     left_out = np.arange(len(toxic_doc)) % 4 == 0
     mine = ~left_out[text]
     pairs = np.unique(text[mine] * np.int64(len(words)) + number[mine])  # a word counts once per document
@@ -86,15 +85,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     # words that chance alone would not keep out of every clean document
     need = np.ceil(np.log(CHANCE) / np.log(toxic_doc.mean()))
     positive = open_ & (in_toxic >= min(need, in_toxic[open_].max(initial=0)))
-    owner, bucket = bags(words, SIZES, BUCKETS)
+    grams = bags(words, SIZES, BUCKETS)
     model = ToxicityModel(None)
     for turn in range(ROUNDS):
         balance = np.sqrt(clean.sum() / max(positive.sum(), 1)).clip(1, BALANCE)
         unsure = open_ & (turn > 0)  # words not chosen count as not toxic from the second round on
         weight = np.where(positive, balance, np.where(clean | unsure, 1.0, 0.0))
-        rows = weight > 0
-        held = rows[owner]
-        model.model = train(owner[held], bucket[held], positive.astype(np.int64), 2, BUCKETS, SIZES, epochs=EPOCHS,
+        size = (weight > 0).astype(np.int64)  # a bag is one word
+        model.model = train(np.flatnonzero(size), size, positive.astype(np.int64), grams, 2, BUCKETS, SIZES, epochs=EPOCHS,
                             rate=4.0, weight=weight, seed=turn + 1)
         logit = model.word_logits(words)
         chosen = open_ & (logit > SURE_LOGIT)
