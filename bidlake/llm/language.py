@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import text_steps
+from bidlake.llm.common import SMALL_STEP_BYTES, text_steps
 from bidlake.llm.subwords import Model, all_words, bags, distinct_words, lowered, softmax, train
 
 SAMPLE_PER_LANGUAGE = 400
@@ -55,8 +55,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
         F.col("doc_id").cast("long").alias("doc_id"), "lang")
     chosen = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
     ids = chosen.select("doc_id", F.col("lang").alias("l")).orderBy("r", "l").limit(per_language * MAX_LANGUAGES)
-    # bounded by the limit above: the texts of the sample
-    sample = docs.join(ids, (docs["doc_id"] == ids["doc_id"]) & (docs["lang"] == ids["l"])).select(
+    # the limit bounds the broadcast (80,000 rows of an id and a language) and the texts of the sample
+    sample = docs.join(F.broadcast(ids), (docs["doc_id"] == ids["doc_id"]) & (docs["lang"] == ids["l"])).select(
         ids["doc_id"], F.col("l").alias("lang"), "text").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     languages = sorted(set(sample.column("lang").to_pylist()))
     if not languages:
@@ -111,7 +111,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in text_steps(map(lowered, batches)):
+        for batch, data, starts in text_steps(map(lowered, batches), step_bytes=SMALL_STEP_BYTES):
             n = len(starts) - 1
             best, top = np.zeros(n, np.int64), np.zeros(n)
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
@@ -136,7 +136,7 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     scored = docs.withColumn("_letters", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in text_steps(_with_lowered(batches), "_lower"):
+        for batch, data, starts in text_steps(_with_lowered(batches), "_lower", SMALL_STEP_BYTES):
             known = batch.column("_letters").to_numpy(zero_copy_only=False)
             if model.model is None:
                 known = np.zeros(len(known), bool)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import text_steps
+from bidlake.llm.common import SMALL_STEP_BYTES, text_steps
 from bidlake.llm.language import held_out
 from bidlake.llm.subwords import Model, all_words, bags, distinct_words, lowered, train
 
@@ -68,8 +68,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     chosen = marked.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(
         marked.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
     texts = docs.filter(~held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # bounded by the limits above: the texts of the sample
-    sample = texts.join(chosen, F.col("id") == F.col("doc_id")).filter("text is not null").select("doc_id", "toxic", "text").toArrow()
+    # the limits bound the broadcast (4,500 rows of an id and a label) and the texts of the sample
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).filter("text is not null").select("doc_id", "toxic", "text").toArrow()
     sample = sample.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     toxic_doc = sample.column("toxic").to_numpy().astype(bool)
     if not len(toxic_doc) or toxic_doc.all() or not toxic_doc.any():
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
                        F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in text_steps(map(lowered, batches)):
+        for batch, data, starts in text_steps(map(lowered, batches), step_bytes=SMALL_STEP_BYTES):
             p = np.zeros(len(starts) - 1) if model.model is None else model.probability(model.largest(data, starts))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(p),
