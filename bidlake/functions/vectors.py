@@ -15,7 +15,8 @@ METRICS = ("IP", "L2", "COSINE")
 # id decides, whatever order a path sums in.
 SCORE_DIGITS = 9
 _SCALE = float(10**SCORE_DIGITS)
-# Beyond this width the generated sum outgrows one JVM method and the array form is used.
+# Beyond this width the generated sum outgrows one JVM method and the array form is used; the
+# result is the same, as widths are checked.
 UNROLL_LIMIT = 128
 
 
@@ -63,7 +64,8 @@ def norm(vector: str, dim: int | None = None) -> Column:
 
 def similarity(vector: str, query: Sequence[float], metric: str = "IP") -> Column:
     """Score of a vector column against a literal query: higher is better for IP and COSINE,
-    lower for L2 (squared distance)."""
+    lower for L2 (squared distance). A null vector has no score; one of another width, or with a
+    null or NaN component, fails the job."""
     query = [float(q) for q in query]
     if metric == "IP":
         score = dot(vector, query)
@@ -77,10 +79,21 @@ def similarity(vector: str, query: Sequence[float], metric: str = "IP") -> Colum
     elif metric == "COSINE":
         length = math.sqrt(sum(q * q for q in query))
         both = norm(vector, len(query)) * length
-        score = F.when(both > 0, dot(vector, query) / both).otherwise(0.0)
+        score = F.when(both == 0, 0.0).otherwise(dot(vector, query) / both)
     else:
         raise ValueError(f"metric must be one of {METRICS}")
-    return ranked_score(score)
+    return _sound(vector, len(query), ranked_score(score))
+
+
+def _sound(vector: str, dim: int, score: Column) -> Column:
+    """The score of a vector of ``dim`` numbers. A null or NaN component shows in the score, so
+    components are not visited again."""
+    stored = F.col(vector)
+    width = F.concat(F.lit(f"Embedding dim mismatch: expected {dim}, got "), F.size(stored).cast("string"))
+    return (F.when(stored.isNull(), F.lit(None).cast("double"))
+            .when(F.size(stored) != dim, F.raise_error(width).cast("double"))
+            .when(score.isNull() | F.isnan(score), F.raise_error(F.lit("Embedding holds a null or NaN component")).cast("double"))
+            .otherwise(score))
 
 
 def best_first(score: str | Column, metric: str = "IP") -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from bidlake.functions.text import first_truthy, token_count
 
 ALPHA = 0.7
-KEYWORD_ORDINAL = 1_000_000
 MAX_CONTEXT_TOKENS = 2000
 
 Reranker = Callable[[DataFrame, int], DataFrame]
@@ -37,29 +36,27 @@ def hybrid_fusion(
     # a null or zero maximum divides by nothing
     vector = vector_hits.withColumn("_best", F.coalesce(best, F.lit(1.0)))
     share = F.when(F.col("_best") != 0, F.coalesce("score", F.lit(0.0)) / F.nullif("_best", F.lit(0.0))).otherwise(0.0)
-    vector = vector.withColumn("score", F.lit(float(alpha)) * share).drop("_best")
-    keyword = keyword_hits.withColumn("score", F.lit(1.0 - float(alpha)))
-    keyword = keyword.withColumn("ord", F.col("ord") + KEYWORD_ORDINAL)
+    vector = vector.withColumn("score", F.lit(float(alpha)) * share).withColumn("_side", F.lit(0)).drop("_best")
+    keyword = keyword_hits.withColumn("score", F.lit(1.0 - float(alpha))).withColumn("_side", F.lit(1))
     both = vector.unionByName(keyword, allowMissingColumns=True)
     key = first_truthy(F.col("id").cast("string"),
                        F.col("source_chunk_id") if "source_chunk_id" in both.columns else F.lit(None).cast("string"))
     both = both.withColumn("_key", key).filter("_key is not null")
     per_key = Window.partitionBy("qid", "_key")
-    both = both.withColumn("_first", F.min("ord").over(per_key))
+    both = both.withColumn("_first", F.min(F.struct("_side", "ord")).over(per_key))
     if mode == "sum":
         # a list counts once per key, with its best row
-        side = F.when(F.col("ord") >= KEYWORD_ORDINAL, 1).otherwise(0)
         of_list = Window.partitionBy("qid", "_key", "_side").orderBy(F.desc("score"), "ord")
-        both = both.withColumn("_side", side).withColumn("_nth", F.row_number().over(of_list)).filter("_nth = 1")
+        both = both.withColumn("_nth", F.row_number().over(of_list)).filter("_nth = 1")
         both = both.withColumn("_total", F.sum("score").over(per_key))
         chosen = F.row_number().over(per_key.orderBy("_side"))
         kept = both.withColumn("_nth", chosen).filter("_nth = 1").withColumn("score", F.col("_total"))
-        kept = kept.drop("_side", "_total")
+        kept = kept.drop("_total")
     else:
-        chosen = F.row_number().over(per_key.orderBy(F.desc("score"), "ord"))
+        chosen = F.row_number().over(per_key.orderBy(F.desc("score"), "_side", "ord"))
         kept = both.withColumn("_nth", chosen).filter("_nth = 1")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "_first")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).drop("_nth", "_first", "_key", "ord")
+    ranked = kept.withColumn("rank", F.row_number().over(order)).drop("_nth", "_first", "_key", "_side", "ord")
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 

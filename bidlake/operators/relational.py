@@ -83,9 +83,13 @@ def delete_lots(lots: DataFrame, documents: DataFrame, keys: DataFrame) -> tuple
 
 def partial_update(table: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
     """Apply patches carrying ``set_fields``: a listed field takes the patch value, null included;
-    any other keeps its own. One patch per key; patches of unknown keys do nothing."""
+    any other keeps its own. Patches of unknown keys do nothing; two patches of one key fail the job
+    (order them with ``last_per_key`` first)."""
     values = [c for c in patches.columns if c not in (key, "set_fields")]
-    patch = patches.select(F.col(key), F.struct("set_fields", *values).alias("_patch"))
+    grouped = patches.groupBy(key).agg(F.first(F.struct("set_fields", *values)).alias("_patch"), F.count(F.lit(1)).alias("_n"))
+    repeated = F.raise_error(F.concat(F.lit("more than one patch of key "), F.col(key).cast("string")))
+    patch = grouped.select(key, F.when(F.col("_n") == 1, F.col("_patch")).otherwise(
+        repeated.cast(grouped.schema["_patch"].dataType)).alias("_patch"))
     joined = table.join(patch, key, "left")
     columns = []
     for c in table.columns:

@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +40,13 @@ def vector_topk(
     """The k rows most similar to one query vector, with ``score``; ties go to the smaller id.
 
     A filter on ``collection`` is evaluated before scoring. ``min_score`` keeps scores above it.
+    Rows without a vector take no part; a vector of another width than the query's, or with a null
+    or NaN component, fails the job.
     """
     if dim is not None and len(query) != dim:
         raise ValueError(f"Query embedding dim mismatch: expected {dim}")
     fields = [f for f in (output_fields or collection.columns) if f not in (vector_column, id_column)]
-    scored = collection.select(
+    scored = collection.filter(F.col(vector_column).isNotNull()).select(
         id_column, *fields, similarity(vector_column, query, metric).alias("score"))
     if min_score is not None:
         scored = scored.filter(F.col("score") > min_score)
@@ -62,10 +65,11 @@ def vector_topk_many(
     query_bytes_limit: int = QUERY_BYTES_LIMIT,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Top-k per query as (qid, id, score, rank)."""
+    """Top-k per query as (qid, id, score, rank). Rows and queries without a vector take no part;
+    vectors of unequal width, or with a null or NaN component, fail the job on every path."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    questions = queries.select(F.col(qid_column).alias("qid"), F.col(query_column).cast("array<double>").alias("vector"))
+    questions = queries.select(F.col(qid_column).alias("qid"), F.col(query_column).cast("array<double>").alias("vector")).filter("vector is not null")
     rows = collection.select(F.col(id_column).alias("id"), F.col(vector_column).alias("vector"))
     schema = T.StructType([
         T.StructField("qid", questions.schema["qid"].dataType),
@@ -79,7 +83,7 @@ def vector_topk_many(
     if matrix is not None:
         partial = _score_with_broadcast(rows, matrix, k, metric, schema)
     else:
-        partial = _score_by_blocks(questions, rows, k, metric, schema, block_rows or max(BLOCK_BYTES // (8 * dim), 1))
+        partial = _score_by_blocks(questions, rows, k, metric, schema, block_rows or max(BLOCK_BYTES // (8 * max(dim, 1)), 1), dim)
     order = Window.partitionBy("qid").orderBy(best_first("score", metric), "id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -87,30 +91,39 @@ def vector_topk_many(
 def _bounded_matrix(questions: DataFrame, dim: int, limit: int) -> tuple[list, np.ndarray] | None:
     """The query set as (ids, matrix) if it fits ``limit`` bytes, else None. Never fetches more
     than the limit allows."""
-    most = max(limit // (8 * dim), 1)
+    most = max(limit // (8 * max(dim, 1)), 1)
     fetched = questions.limit(most + 1).toArrow()
     if fetched.num_rows > most:
         return None
-    matrix = _to_matrix(fetched.column("vector"))
-    if len(matrix) and matrix.shape[1] != dim:
-        raise ValueError(f"Query embedding dim mismatch: expected {dim}")
-    return fetched.column("qid").to_pylist(), matrix
+    return fetched.column("qid").to_pylist(), _to_matrix(fetched.column("vector"), dim)
 
 
-def _to_matrix(vectors: pa.Array) -> np.ndarray:
+def _to_matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    """The vectors as rows; a vector of another width or with a null or NaN component is an error."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1)
+    widths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    wrong = np.flatnonzero(widths != dim)
+    if len(wrong):
+        raise ValueError(f"Embedding dim mismatch: expected {dim}, got {widths[wrong[0]]}")
+    components = vectors.flatten()
+    flat = components.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if components.null_count or np.isnan(flat).any():
+        raise ValueError("Embedding holds a null or NaN component")
+    return flat.reshape(len(vectors), dim)
 
 
 def _score(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     """queries × rows scores, rounded to the ranking precision."""
-    product = queries @ rows.T
     if metric == "L2":
-        product = (queries**2).sum(axis=1)[:, None] - 2.0 * product + (rows**2).sum(axis=1)[None, :]
-        product = np.maximum(product, 0.0)
-    elif metric == "COSINE":
+        # gaps squared one component at a time: the expanded form cancels for close or long vectors
+        product = np.zeros((len(queries), len(rows)))
+        for q, r in zip(queries.T, rows.T):
+            gap = q[:, None] - r[None, :]
+            product += gap * gap
+    else:
+        product = queries @ rows.T
+    if metric == "COSINE":
         lengths = np.sqrt((queries**2).sum(axis=1))[:, None] * np.sqrt((rows**2).sum(axis=1))[None, :]
         product = np.divide(product, lengths, out=np.zeros_like(product), where=lengths > 0)
     scale = 10.0**SCORE_DIGITS
@@ -169,6 +182,7 @@ def _score_with_broadcast(rows: DataFrame, matrix: tuple[list, np.ndarray], k: i
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(matrix)
     types = _arrow_types(schema)
+    dim = matrix[1].shape[1]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries = shared.value
@@ -177,14 +191,14 @@ def _score_with_broadcast(rows: DataFrame, matrix: tuple[list, np.ndarray], k: i
         for batch in batches:
             for start in range(0, batch.num_rows if qids else 0, step):
                 part = batch.slice(start, step)
-                found.add(part.column(0), _to_matrix(part.column(1)))
+                found.add(part.column(0), _to_matrix(part.column(1), dim))
         yield found.batch(qids, types)
 
     return rows.filter("vector is not null").mapInArrow(best, schema)
 
 
 def _score_by_blocks(questions: DataFrame, rows: DataFrame, k: int, metric: str, schema: T.StructType,
-                     size: int) -> DataFrame:
+                     size: int, dim: int) -> DataFrame:
     """Cut both sides into blocks of about ``size`` rows; every pair of blocks is one group.
 
     What is shuffled is each side once per block of the other, so large blocks keep it low. The
@@ -206,8 +220,8 @@ def _score_by_blocks(questions: DataFrame, rows: DataFrame, k: int, metric: str,
         qids = q_block.column("qid").to_pylist()
         if not qids or not r_block.num_rows:
             return pa.Table.from_batches([_Best(np.zeros((0, 1)), k, metric).batch([], types)])
-        found = _Best(_to_matrix(q_block.column("vector")), k, metric)
-        ids, vectors = r_block.column("id").combine_chunks(), _to_matrix(r_block.column("vector"))
+        found = _Best(_to_matrix(q_block.column("vector"), dim), k, metric)
+        ids, vectors = r_block.column("id").combine_chunks(), _to_matrix(r_block.column("vector"), dim)
         step = max(1, SCORES_AT_ONCE // len(qids))
         for start in range(0, len(ids), step):
             found.add(ids.slice(start, step), vectors[start:start + step])

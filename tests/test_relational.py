@@ -147,3 +147,10 @@ def test_changes_budget_and_lifecycle(spark):
     lots = spark.createDataFrame([("a", "x"), ("b", "x")], "tender_code string, status string")
     kept, new_lots = W.archive(state, lots, state.filter("code <> 'c'"))
     assert rows(kept) == [("a", "published"), ("b", "archived"), ("c", "closed")] and rows(new_lots) == [("a", "x"), ("b", "archived")]
+
+
+def test_two_patches_of_one_key_fail(spark):
+    table = spark.createDataFrame([("a", 1)], "id string, x int")
+    patches = spark.createDataFrame([("a", ["x"], 2), ("a", ["x"], 3)], "id string, set_fields array<string>, x int")
+    with pytest.raises(Exception, match="more than one patch of key a"):
+        R.partial_update(table, patches).collect()

@@ -155,3 +155,39 @@ def test_task_functions_need_no_package_on_the_executor(tmp_path):
             "from pyspark import cloudpickle; assert u.find_spec('bidlake') is None; "
             "assert cloudpickle.loads(open('task.bin', 'rb').read()).__name__ == '_Best'")
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)
+
+
+def _rows(spark, *vectors):
+    return spark.createDataFrame([(f"v{i}", v) for i, v in enumerate(vectors)], "id string, embedding array<float>")
+
+
+def _search(spark, path, rows, query, metric):
+    if path == "one":
+        return vector_topk(rows, query, 3, metric).collect()
+    questions = spark.createDataFrame([(1, query), (2, query), (3, None)], "qid int, query_vector array<float>")
+    limit = {"query_bytes_limit": 1, "block_rows": 1} if path == "blocks" else {}
+    return vector_topk_many(questions, rows, 3, metric, **limit).filter("qid = 1").orderBy("rank").collect()
+
+
+@pytest.mark.parametrize("path", ["one", "many", "blocks"])
+@pytest.mark.parametrize("metric", ["IP", "L2", "COSINE"])
+def test_unsound_vectors_fail_on_every_path(spark, path, metric):
+    for bad in ([1.0], [1.0, 2.0, 3.0], [float("nan"), 1.0], [None, 1.0]):
+        with pytest.raises(Exception, match="Embedding"):
+            _search(spark, path, _rows(spark, [1.0, 2.0], bad, None), [1.0, 1.0], metric)
+
+
+@pytest.mark.parametrize("path", ["one", "many", "blocks"])
+def test_rows_without_vector_take_no_part(spark, path):
+    got = _search(spark, path, _rows(spark, [1.0, 2.0], None, [3.0, 0.0]), [1.0, 1.0], "IP")
+    assert [(r.id, r.score) for r in got] == [("v0", 3.0), ("v2", 3.0)]
+
+
+@pytest.mark.parametrize("width", [127, 128, 129])
+def test_widths_around_the_generated_sum_behave_alike(spark, width):
+    rows = _rows(spark, [1.0] * width, [2.0] * width)
+    for metric in ("IP", "L2"):
+        one, many = (_search(spark, path, rows, [1.0] * width, metric) for path in ("one", "many"))
+        assert [(r.id, r.score) for r in one] == [(r.id, r.score) for r in many]
+    with pytest.raises(Exception, match="dim mismatch"):
+        _search(spark, "one", _rows(spark, [1.0] * (width + 1)), [1.0] * width, "IP")
