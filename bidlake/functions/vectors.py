@@ -87,13 +87,13 @@ def similarity(vector: str, query: Sequence[float], metric: str = "IP") -> Colum
 
 def _sound(vector: str, dim: int, score: Column) -> Column:
     """The score of a vector of ``dim`` numbers. A null or NaN component shows in the score, so
-    components are not visited again."""
+    components are not visited again; the score is named once, to keep the generated code small."""
     stored = F.col(vector)
     width = F.concat(F.lit(f"Embedding dim mismatch: expected {dim}, got "), F.size(stored).cast("string"))
+    unsound = F.raise_error(F.lit("Embedding holds a null or NaN component")).cast("double")
     return (F.when(stored.isNull(), F.lit(None).cast("double"))
             .when(F.size(stored) != dim, F.raise_error(width).cast("double"))
-            .when(score.isNull() | F.isnan(score), F.raise_error(F.lit("Embedding holds a null or NaN component")).cast("double"))
-            .otherwise(score))
+            .otherwise(F.coalesce(F.nanvl(score, F.lit(None).cast("double")), unsound)))
 
 
 def best_first(score: str | Column, metric: str = "IP") -> Column:
