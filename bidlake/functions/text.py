@@ -105,6 +105,12 @@ def entities(text: str | Column, patterns: Mapping[str, str] = ENTITY_PATTERNS)
     ])
 
 
+def entity_flags(text: str | Column, patterns: Mapping[str, str] = ENTITY_PATTERNS) -> Column:
+    """Struct ``has_<type>`` of whether a text holds an entity of each type; null for a null text."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.struct(*[column.rlike(pattern).alias(f"has_{name}") for name, pattern in patterns.items()])
+
+
 def first_truthy(first: str | Column, second: str | Column) -> Column:
     """``first`` unless null or empty, else ``second``."""
     return F.coalesce(F.nullif(first, F.lit("")), second)

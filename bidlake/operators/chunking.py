@@ -15,11 +15,17 @@ MAX_TOKENS = 800
 MIN_TOKENS = 400
 OVERLAP_TOKENS = 120
 
-# Markup stripped before reading blocks, block tags, and character entities.
+# Markup stripped before reading blocks, block tags, tags that end a run of text
+# between blocks, and character entities.
 _HIDDEN_MARKUP = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
 _BLOCK_MARKUP = (
     r"(?is)<h[1-6][^>]*>.*?</h[1-6]>|<p(?: [^>]*)?>.*?</p>|<li[^>]*>.*?</li>|<table[^>]*>.*?</table>"
 )
+_CONTAINER_MARKUP = (
+    r"(?is)</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|figcaption|figure|footer|form|head|header|hr|html"
+    r"|main|nav|ol|p|pre|section|title|ul)(?:[ \t\r\n][^>]*)?/?>"
+)
+_CUT = "\u0001"
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
@@ -94,29 +100,37 @@ def _plain(markup: Column) -> Column:
 def html_blocks(df: DataFrame, html_column: str, page_number: int = 1) -> DataFrame:
     """Replace an HTML column by ``blocks``: array of (page_number, type, level, text).
 
-    Tags read are headings, paragraphs, list items and tables, in document order.
+    Headings, paragraphs, list items and tables keep their type; any other text becomes paragraphs,
+    cut at container tags. Everything stays in document order.
     """
-    pieces = F.regexp_extract_all(
-        F.regexp_replace(html_column, _HIDDEN_MARKUP, " "), F.lit(_BLOCK_MARKUP), F.lit(0))
+    visible = F.regexp_replace(F.regexp_replace(html_column, _HIDDEN_MARKUP, " "), _CUT, " ")
+    # blocks stand at odd places, what lies between them at even ones
+    pieces = F.split(F.regexp_replace(visible, f"({_BLOCK_MARKUP})", f"{_CUT}$1{_CUT}"), _CUT)
     kept = [c for c in df.columns if c != html_column]
 
+    def tagged(piece: Column, i: Column) -> Column:
+        inner = F.transform(F.split(piece, _CONTAINER_MARKUP), lambda x: F.struct(F.lit("").alias("tag"), x.alias("markup")))
+        whole = F.array(F.struct(F.lower(F.substring(piece, 2, 2)).alias("tag"), piece.alias("markup")))
+        return F.when(i % 2 == 1, whole).otherwise(inner)
+
     def block(piece: Column) -> Column:
-        tag = F.lower(F.substring(piece, 2, 2))
+        tag = piece["tag"]
         level = F.when(tag.rlike("^h[1-6]$"), F.substring(tag, 2, 1).cast("int"))
         kind = (F.when(level.isNotNull(), "heading").when(tag == "li", "list_item")
                 .when(tag == "ta", "table").otherwise("paragraph"))
         return F.struct(F.lit(page_number).alias("page_number"), kind.alias("type"), level.alias("level"),
-                        _plain(piece).alias("text"))
+                        _plain(piece["markup"]).alias("text"))
 
-    return df.select(*kept, F.filter(F.transform(pieces, block), lambda b: b["text"] != "").alias("blocks"))
+    blocks = F.transform(F.flatten(F.transform(pieces, tagged)), block)
+    return df.select(*kept, F.filter(blocks, lambda b: b["text"] != "").alias("blocks"))
 
 
 def page_blocks(df: DataFrame, pages_column: str = "pages") -> DataFrame:
-    """Flatten parsed pages into one ``blocks`` array in reading order."""
+    """Flatten parsed pages into one ``blocks`` array in reading order; blocks keep all their fields."""
     kept = [c for c in df.columns if c != pages_column]
+    fields = df.schema[pages_column].dataType.elementType["blocks"].dataType.elementType.fieldNames()
     flat = F.flatten(F.transform(pages_column, lambda p: F.transform(p["blocks"], lambda b: F.struct(
-        p["page_number"].alias("page_number"), b["type"].alias("type"), b["level"].alias("level"),
-        b["text"].alias("text")))))
+        p["page_number"].alias("page_number"), *[b[f].alias(f) for f in fields if f != "page_number"]))))
     return df.select(*kept, flat.alias("blocks"))
 
 

@@ -77,14 +77,18 @@ def without_lots(tenders: DataFrame, lots: DataFrame) -> DataFrame:
     return tenders.join(parents, "code", "left_anti")
 
 
-def chunk_context(chunk_ids: DataFrame, chunks: DataFrame, tenders: DataFrame, id_column: str = "id") -> DataFrame:
-    """Tender context of the given chunk ids; unknown ids vanish and repeated ids count once."""
+def chunk_context(chunk_ids: DataFrame, chunks: DataFrame, tenders: DataFrame, id_column: str = "id",
+                  extra: Sequence[str] = ()) -> DataFrame:
+    """Tender context of the given chunk ids; unknown ids vanish and repeated ids count once.
+
+    ``extra`` names further columns of ``chunks`` to carry along.
+    """
     wanted = chunk_ids.select(F.col(id_column).alias("chunk_id")).distinct()
-    links = chunks.select(F.col("id").alias("chunk_id"), "tender_code")
+    links = chunks.select(F.col("id").alias("chunk_id"), "tender_code", *extra)
     return (
         wanted.join(links, "chunk_id").join(tenders, F.col("tender_code") == F.col("code"))
         .select("chunk_id", "tender_code", F.col("title").alias("tender_title"), "buyer_name", "cpv_code",
-                "base_amount", "publication_date"))
+                "base_amount", "publication_date", *extra))
 
 
 def related_tenders(tenders: DataFrame, code: str, limit: int = 5) -> DataFrame:
@@ -301,8 +305,10 @@ def tenders_classified(tenders: DataFrame, classified_as: DataFrame, prefix: str
 
 def entities_of_chunks(edges: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     """Entities linked to the given chunks in either direction of the edge (src, dst)."""
-    both = edges.select(F.col("dst").alias("chunk_id"), F.col("src").alias("entity")).unionByName(
-        edges.select(F.col("src").alias("chunk_id"), F.col("dst").alias("entity")))
+    # an edge is read once and turned both ways inside its row
+    ways = F.array(F.struct(F.col("dst").alias("chunk_id"), F.col("src").alias("entity")),
+                   F.struct(F.col("src").alias("chunk_id"), F.col("dst").alias("entity")))
+    both = edges.select(F.inline(ways))
     return both.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi").distinct()
 
 

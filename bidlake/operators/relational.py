@@ -51,9 +51,14 @@ def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True)
 
 
-def document_rows(rows: DataFrame, bucket: str) -> DataFrame:
-    """New documents with their id and storage path ``tender[/lot]/<id>_<filename>``."""
-    ident = stable_id("tender_id", F.coalesce("lot_id", F.lit("")), "filename")
+def document_rows(rows: DataFrame, bucket: str, upload_key: str | None = None) -> DataFrame:
+    """New documents with their id and storage path ``tender[/lot]/<id>_<filename>``.
+
+    ``upload_key`` names a column that tells uploads of one file name apart (a content hash or a
+    request number); without it a file name is one document of its tender and lot.
+    """
+    ident = stable_id("tender_id", F.coalesce("lot_id", F.lit("")), "filename",
+                      *([F.col(upload_key).cast("string")] if upload_key else []))
     unique_name = F.concat(ident, F.lit("_"), F.col("filename"))
     return rows.select(
         ident.alias("id"), *rows.columns,

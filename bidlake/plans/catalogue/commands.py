@@ -33,6 +33,17 @@ def document_rows(t):
     return relational.document_rows(rows, "documents")
 
 
+@query("c2_repeated_uploads", """
+    with up as (select cast(l_orderkey as varchar) as tender_id,
+        sha256(concat_ws(chr(31), l_orderkey, '', 'offer.pdf', concat_ws('/', l_linenumber, l_partkey, l_suppkey))) as id from lineitem)
+    select id, tender_id, concat(tender_id, '/', id, '_offer.pdf') as storage_path from up""")
+def repeated_uploads(t):
+    rows = t.lineitem.select(
+        F.col("l_orderkey").cast("string").alias("tender_id"), F.lit(None).cast("string").alias("lot_id"),
+        F.lit("offer.pdf").alias("filename"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey").alias("upload"))
+    return relational.document_rows(rows, "documents", "upload").select("id", "tender_id", "storage_path")
+
+
 @query("c3_delete", """
     select id, title, status, base_amount from (select code as id, title, status, base_amount from v_tender)
     where id not in (select distinct cast(doc_id as varchar) from labels where toxic = 1)""", "v_tender")

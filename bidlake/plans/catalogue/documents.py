@@ -5,15 +5,21 @@ from pyspark.sql import functions as F
 from bidlake.functions import text as X
 from bidlake.functions.vectors import length_embedding
 from bidlake.operators.chunking import document_chunks, html_blocks, merge_similar_paragraphs, section_chunks, token_chunks
-from bidlake.plans import ingest
+from bidlake.plans import ingest, retrieval
 from bidlake.plans.catalogue.registry import query
 from bidlake.sources import domain
 
 _PIECES = r"""
-    piece as (select page_id, unnest(ps) as piece, unnest(range(len(ps))) as n from (
-        select page_id, regexp_extract_all(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'),
-            '(?is)<h[1-6][^>]*>.*?</h[1-6]>|<p(?: [^>]*)?>.*?</p>|<li[^>]*>.*?</li>|<table[^>]*>.*?</table>') as ps from pages)),
-    plain as (select page_id, n, lower(substring(piece, 2, 2)) as tag,
+    shown as (select page_id, string_split(regexp_replace(
+            regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'),
+            '(?is)<h[1-6][^>]*>.*?</h[1-6]>|<p(?: [^>]*)?>.*?</p>|<li[^>]*>.*?</li>|<table[^>]*>.*?</table>',
+            chr(1) || '\0' || chr(1), 'g'), chr(1)) as parts from pages),
+    part_of as (select page_id, unnest(parts) as part, unnest(range(len(parts))) as k from shown),
+    bits as (select page_id, k, case when k % 2 = 1 then [part] else regexp_split_to_array(part,
+            '(?is)</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|figcaption|figure|footer|form|head|header|hr|html|main|nav|ol|p|pre|section|title|ul)(?:[ \t\r\n][^>]*)?/?>') end as ps
+        from part_of),
+    piece as (select page_id, unnest(ps) as piece, k % 2 = 1 as whole, k * 1000000 + unnest(range(len(ps))) as n from bits),
+    plain as (select page_id, n, case when whole then lower(substring(piece, 2, 2)) else '' end as tag,
         trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(piece, '(?s)<[^>]*>', ' ', 'g'),
             '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) as text
         from piece),
@@ -69,6 +75,19 @@ def chunks_default(t):
     return found.select("id", "n_tokens", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
+@query("d2_min_tokens", f"""with {_SECTIONS},
+    tok as (select concat(page_id, '#', section_index) as source,
+        list_filter(regexp_split_to_array(concat_ws(chr(10), title, nullif(text, '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as toks
+        from section),
+    win as (select source, toks, len(toks) as n, unnest(range(0, greatest(len(toks) - 5 - 1, 0) + 1, 35)) as s from tok where len(toks) > 0),
+    fit as (select *, max(s) over (partition by source) as last from win where s = 0 or n - s >= 20),
+    made as (select concat(source, '-', s // 35) as id, toks[s + 1:case when s = last then n else s + 40 end] as ts from fit)
+    select id, cast(len(ts) as int) as n_tokens, md5(array_to_string(ts, ' ')) as digest from made""")
+def min_tokens(t):
+    found = document_chunks(html_blocks(domain.pages(t), "html"), "page_id", 40, 5, 20)
+    return found.select("id", "n_tokens", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query("d4_preview", "select doc_id, coalesce(substring(text, 1, 200), '') as text_preview from documents")
 def preview(t):
     return t.documents.select("doc_id", X.preview("text").alias("text_preview"))
@@ -106,9 +125,8 @@ def entities(t):
     select regexp_matches(text, '[0-9]+(?:[.,][0-9]+)*') as has_amounts,
            regexp_matches(text, '[A-Z][a-z]+ [A-Z][a-z]+') as has_organisations, count(*) as n from documents group by all""")
 def entity_flags(t):
-    return t.documents.groupBy(
-        F.col("text").rlike(_PATTERNS["amounts"]).alias("has_amounts"),
-        F.col("text").rlike(_PATTERNS["organisations"]).alias("has_organisations")).agg(F.count(F.lit(1)).alias("n"))
+    flags = t.documents.select(F.inline(F.array(X.entity_flags("text", _PATTERNS))))
+    return flags.groupBy("has_amounts", "has_organisations").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("d9_language", "select lang, count(*) as n from documents group by 1")
@@ -116,13 +134,29 @@ def language(t):
     return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d10_similar_paragraphs")
+@query("d10_similar_paragraphs", r"""
+    with recursive ps as (select doc_id, list_filter(string_split(text, chr(10)), lambda p: trim(p, ' ') <> '') as parts from documents),
+    par as (select doc_id, unnest(parts) as body, unnest(range(len(parts))) as n from ps),
+    sized as (select doc_id, n, body, len(list_filter(regexp_split_to_array(body, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) as toks,
+        list_transform(range(4), lambda i: length(body) / 1000.0e0 + i / 4.0e0) as v from par),
+    near as (select a.doc_id, a.n, a.body, a.toks, coalesce(list_cosine_similarity(a.v, b.v) >= 0.999, false) as alike
+        from sized a left join sized b on b.doc_id = a.doc_id and b.n = a.n - 1),
+    chain(doc_id, n, chunk_index, total) as (
+        select doc_id, n, 0, toks from near where n = 0
+        union all
+        select x.doc_id, x.n, case when x.alike and c.total + x.toks <= 200 then c.chunk_index else c.chunk_index + 1 end,
+               case when x.alike and c.total + x.toks <= 200 then c.total + x.toks else x.toks end
+        from chain c join near x on x.doc_id = c.doc_id and x.n = c.n + 1)
+    select concat(doc_id, '-', chunk_index) as id, doc_id, cast(chunk_index as int) as chunk_index, cast(sum(toks) as int) as n_tokens,
+           md5(string_agg(body, chr(10) order by n)) as digest
+    from chain join near using (doc_id, n) group by doc_id, chunk_index""")
 def similar_paragraphs(t):
     paragraphs = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
     with_parts = domain.documents(t).select("doc_id", paragraphs.alias("paragraphs"))
     vectors = F.transform("paragraphs", lambda p: length_embedding(p, 4))
-    return merge_similar_paragraphs(with_parts.select("doc_id", "paragraphs", vectors.alias("vectors")),
-                                    "doc_id", "paragraphs", "vectors", 0.999, 200).drop("text")
+    merged = merge_similar_paragraphs(with_parts.select("doc_id", "paragraphs", vectors.alias("vectors")),
+                                      "doc_id", "paragraphs", "vectors", 0.999, 200)
+    return merged.withColumn("digest", F.md5(F.encode("text", "UTF-8"))).drop("text")
 
 
 @query("d11_clean", r"""
@@ -139,6 +173,19 @@ def embedding(t):
     return vectors.select("doc_id", F.posexplode("v").alias("position", "x")).withColumn("x", F.round("x", 6))
 
 
+@query("f21_citation_fields", f"""with {_SECTIONS},
+    tok as (select concat(page_id, '#', section_index) as source_chunk_id, coalesce(title, '') as section_path,
+        list_filter(regexp_split_to_array(concat_ws(chr(10), title, nullif(text, '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as toks
+        from section),
+    win as (select *, unnest(range(0, greatest(len(toks) - 120 - 1, 0) + 1, 680)) as s from tok where len(toks) > 0)
+    select concat(source_chunk_id, '-', s // 680) as id, section_path, source_chunk_id, 1 as page,
+           cast(s // 680 as varchar) as chunk_index from win""")
+def citation_fields(t):
+    found = retrieval.citations(ingest.ingest_blocks(html_blocks(domain.pages(t), "html"), "page_id", 4))
+    return found.select("id", "section_path", "source_chunk_id", F.get("page_numbers", F.lit(0)).alias("page"),
+                        F.col("metadata")["chunk_index"].alias("chunk_index"))
+
+
 @query("c5_ingest_blocks", f"""with {_SECTIONS},
     tok as (select concat(page_id, '#', section_index) as source_chunk_id, cast(page_id as varchar) as tender_id, coalesce(title, '') as section_path,
         list_filter(regexp_split_to_array(concat_ws(chr(10), title, nullif(text, '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as toks

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from bidlake.functions import text as X
 from bidlake.functions.vectors import length_embedding, mean_vector
-from bidlake.operators import evaluation, fusion
+from bidlake.operators import evaluation, fusion, graph
 from bidlake.operators.keyword import bm25_search, keyword_search, keyword_search_many
 from bidlake.operators.vector_search import vector_topk, vector_topk_many
 from bidlake.plans import ingest, retrieval
@@ -235,8 +235,12 @@ _HITS = f"""with {_FIRST},
             from hits h join v_tender t on t.code = h.tender_code),"""
 
 
+def top_documents(t):
+    return vector_topk(domain.vectors(t), first_vector(t), 20).select(F.col("id").alias("doc_id"), "score")
+
+
 def hits_with_text(t):
-    top = vector_topk(domain.vectors(t), first_vector(t), 20).select(F.col("id").alias("doc_id"), "score")
+    top = top_documents(t)
     ranked = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "chunk_index"))
     hits = domain.chunks(t, only=top).join(top, "doc_id").withColumn("qid", F.lit(0))
     return hits.withColumn("rank", ranked).select(
@@ -289,10 +293,32 @@ def budget(t):
     select id, tender_code, score from b order by b.score desc, old_rank limit 10""", "v_tender v_chunk")
 def with_context(t):
     hits = hits_with_text(t).select("qid", "id", "score", "rank")
-    found = retrieval.search_with_context(hits, domain.chunk_links(t), domain.tenders(t), 10, "1997-01-01")
+    links = domain.chunk_links(t, only=top_documents(t))
+    found = retrieval.search_with_context(hits, links, domain.tenders(t), 10, "1997-01-01")
     return rounded(found.select("id", "tender_code", "score"))
 
 
+@query("j6_enrich", _HITS + """
+    e as (select h.id, t.title as tender_title, t.buyer_name, t.cpv_code from hits h join v_tender t on t.code = h.tender_code
+          where t.status = 'open') select * from e""", "v_tender v_chunk")
+def enriched(t):
+    return _enriched(t, False)
+
+
+@query("j6b_enrich_keep_all", _HITS + """
+    e as (select h.id, t.title as tender_title, t.buyer_name, t.cpv_code from hits h
+          left join v_tender t on t.code = h.tender_code and t.status = 'open') select * from e""", "v_tender v_chunk")
+def enriched_all(t):
+    return _enriched(t, True)
+
+
+def _enriched(t, keep_all):
+    hits = hits_with_text(t).select("id", "score")
+    open_tenders = domain.tenders(t).filter("status = 'open'")
+    context = graph.chunk_context(hits, domain.chunk_links(t, only=top_documents(t)), open_tenders)
+    return retrieval.enrich(hits, context, keep_all).select("id", "tender_title", "buyer_name", "cpv_code")
+
+
 @query("a10_context_order", _HITS + """
     f as (select id, tender_code, rank, min(rank) over (partition by tender_code) as first from hits)
     select id, tender_code, cast(dense_rank() over (order by first) as int) as tender_position,
@@ -319,13 +345,42 @@ def confidence(t):
 
 @query("r7_answer_context", _HITS + r"""
     n as (select *, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) as n_tokens from hits where rank <= 5),
-    s as (select *, sum(n_tokens) over (order by rank) as so_far from n)
-    select qid, 'first vector' as question, count(*) as n_citations, md5(concat('CONTEXT:' || chr(10),
-           string_agg(text, chr(10) || chr(10) order by rank), chr(10) || chr(10) || 'QUESTION: ', 'first vector')) as answer
-    from s where so_far <= 500 group by 1""", "v_tender v_chunk")
+    s as (select *, sum(n_tokens) over (order by rank) as so_far from n),
+    c as (select qid, count(*) as n, string_agg(text, chr(10) || chr(10) order by rank) as context from s where so_far <= 500 group by 1)
+    select cast(r_regionkey as int) as qid, r_name as question, coalesce(n, 0) as n_citations, md5(concat('CONTEXT:' || chr(10),
+           coalesce(context, ''), chr(10) || chr(10) || 'QUESTION: ', r_name)) as answer
+    from region left join c on qid = r_regionkey""", "v_tender v_chunk")
 def answer_context(t):
-    hits = hits_with_text(t).withColumn("question", F.lit("first vector"))
-    return retrieval.answer_context(hits, k=5, max_tokens=500, generate=lambda p: F.md5(F.encode(p, "UTF-8")))
+    # region 0 asks for the first vector; the others find nothing and are answered all the same
+    questions = t.region.select(F.col("r_regionkey").cast("int").alias("qid"), F.col("r_name").alias("question"))
+    return retrieval.answer_context(
+        hits_with_text(t), questions, k=5, max_tokens=500, generate=lambda p: F.md5(F.encode(p, "UTF-8")))
+
+
+@query("r6_rewrite", r"""
+    with q as (select item_id as qid, text as question,
+            list_transform(range(64), lambda i: length(concat('Domanda: ', text)) / 1000.0e0 + i / 64.0e0) as v from benchmark),
+    s as (select qid, vec_id as id, round(list_dot_product(embedding::double[], q.v), 9) as score from embeddings, q),
+    top as (select qid, id, row_number() over (partition by qid order by s.score desc, id) as rank from s
+            qualify row_number() over (partition by qid order by s.score desc, id) <= 3),
+    n as (select qid, rank, text, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) as n_tokens
+          from top join documents on doc_id = id),
+    b as (select *, sum(n_tokens) over (partition by qid order by rank) as so_far from n),
+    c as (select qid, count(*) as n, string_agg(text, chr(10) || chr(10) order by rank) as context from b where so_far <= 300 group by 1)
+    select q.qid, question, coalesce(n, 0) as n_citations,
+           md5(concat('CONTEXT:' || chr(10), coalesce(context, ''), chr(10) || chr(10) || 'QUESTION: ', question)) as answer
+    from q left join c on c.qid = q.qid""")
+def rewrite(t):
+    def rewritten(questions):
+        return questions.withColumn("question", F.concat(F.lit("Domanda: "), "question"))
+
+    def retrieve(questions):
+        asked = questions.select("qid", length_embedding("question", 64).alias("query_vector"))
+        hits = vector_topk_many(asked, domain.vectors(t), 3)
+        return hits.join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+
+    return retrieval.answer_questions(domain.questions(t), retrieve, rewritten, k=3, max_tokens=300,
+                                      generate=lambda p: F.md5(F.encode(p, "UTF-8")))
 
 
 @query("f21_citations", _HITS + """

@@ -33,9 +33,9 @@ def collection_rows(chunks: DataFrame, dim: int, embed: Embedder | None = None)
 
 
 def ingest_blocks(documents: DataFrame, id_column: str, dim: int, embed: Embedder | None = None,
-                  size: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
-    """Documents with a ``blocks`` array to collection rows."""
-    return collection_rows(document_chunks(documents, id_column, size, overlap), dim, embed)
+                  size: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, min_tokens: int = 0) -> DataFrame:
+    """Documents with a ``blocks`` array to collection rows; ``min_tokens`` as in ``token_chunks``."""
+    return collection_rows(document_chunks(documents, id_column, size, overlap, min_tokens), dim, embed)
 
 
 def upsert_chunks(collection: DataFrame, rows: DataFrame, order: str = "ord") -> DataFrame:

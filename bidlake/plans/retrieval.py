@@ -50,9 +50,7 @@ def enrich(hits: DataFrame, context: DataFrame, keep_all: bool = False) -> DataF
 def search_with_context(hits: DataFrame, chunks: DataFrame, tenders: DataFrame, k: int,
                         recent_from: str = "2025-01-01") -> DataFrame:
     """Over-fetched hits (2k per query) enriched, boosted by tender features and cut to k."""
-    context = graph.chunk_context(hits, chunks, tenders)
-    section = chunks.select("id", "section_type")
-    enriched = enrich(hits, context).join(section, "id", "left")
+    enriched = enrich(hits, graph.chunk_context(hits, chunks, tenders, extra=("section_type",)))
     boosted = fusion.rescored(fusion.metadata_boost(recent_from=recent_from))
     return fusion.rerank(enriched, k, boosted)
 
@@ -98,25 +96,45 @@ def vector_first(hits: DataFrame, mentioned_in: DataFrame) -> DataFrame:
     return hits.join(mentioned_in.withColumnRenamed("chunk_id", "id"), "id", "left")
 
 
+def answer_questions(
+    questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame],
+    rewrite: Callable[[DataFrame], DataFrame] | None = None, k: int = 5,
+    reranker: fusion.Reranker | None = None, max_tokens: int = fusion.MAX_CONTEXT_TOKENS,
+    generate: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Rewrite, retrieve, rerank, assemble and generate for ``questions`` (qid, question).
+
+    ``rewrite`` returns the questions as retrieval shall see them; ``retrieve`` maps them to hits
+    (qid, rank, id, score, text, …). The prompt holds the question as it was asked, and a question
+    without hits still gets its row.
+    """
+    hits = retrieve(rewrite(questions) if rewrite else questions)
+    return answer_context(hits, questions, k, reranker, max_tokens, generate)
+
+
 def answer_context(
-    hits: DataFrame, rewrite: Callable[[DataFrame], DataFrame] | None = None, k: int = 5,
+    hits: DataFrame, questions: DataFrame | None = None, k: int = 5,
     reranker: fusion.Reranker | None = None, max_tokens: int = fusion.MAX_CONTEXT_TOKENS,
     generate: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Rerank, keep what fits the token budget and mark citations; with ``generate`` (a function
     on the prompt column, e.g. a pandas UDF around a model) also the answer per question.
 
-    ``hits``: (qid, question, rank, id, score, text, …). No hits give no rows.
+    ``hits``: (qid, rank, id, score, text, …). With ``questions`` (qid, question) every question is
+    answered, from an empty context if nothing was found; else the hits carry ``question``, and
+    no hits give no rows.
     """
-    if rewrite:
-        hits = rewrite(hits)
     chosen = fusion.within_budget(fusion.rerank(hits, k, reranker), max_tokens)
     if generate is None:
         return chosen
     # at most k texts per question, within the budget
-    prompts = chosen.groupBy("qid", "question").agg(
+    prompts = chosen.groupBy("qid", *(["question"] if questions is None else [])).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda c: c["text"]), "\n\n")
         .alias("context"), F.count(F.lit(1)).alias("n_citations"))
+    if questions is not None:
+        prompts = questions.select("qid", "question").join(prompts, "qid", "left").select(
+            "qid", "question", F.coalesce("context", F.lit("")).alias("context"),
+            F.coalesce("n_citations", F.lit(0)).alias("n_citations"))
     prompt = F.concat(F.lit("CONTEXT:\n"), "context", F.lit("\n\nQUESTION: "), "question")
     return prompts.select("qid", "question", "n_citations", generate(prompt).alias("answer"))
 

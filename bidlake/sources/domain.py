@@ -123,9 +123,10 @@ def chunks(t: Tables, only: DataFrame | None = None, size: int = CHUNK_SIZE, ove
     )
 
 
-def chunk_links(t: Tables, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """HAS_CHUNK edges and section of every chunk without building the chunk texts."""
-    return token_chunks(_sectioned(t, None), "doc_id", "text", size, overlap, with_text=False).select(
+def chunk_links(t: Tables, only: DataFrame | None = None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """HAS_CHUNK edges and section of every chunk without building the chunk texts, or of the
+    documents whose ``doc_id`` is in ``only``."""
+    return token_chunks(_sectioned(t, only), "doc_id", "text", size, overlap, with_text=False).select(
         "id", F.col("doc_id").cast("string").alias("tender_code"), "doc_id", "chunk_index", "section_type"
     )
 

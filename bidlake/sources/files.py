@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,15 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidlake.functions.validation import upload_error
+from bidlake.schemas import BLOCK
 
 Parser = Callable[[str, bytes], list[dict]]
 
-_PARSED_BLOCK = T.StructType([
-    T.StructField("page_number", T.IntegerType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("level", T.IntegerType()),
-    T.StructField("text", T.StringType()),
-])
+_PARSED_BLOCK = T.StructType([T.StructField("page_number", T.IntegerType()), *BLOCK.fields])
+_BLOCK_FIELDS = tuple(BLOCK.fieldNames())
 PARSED_FILE = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("filename", T.StringType()),
@@ -54,8 +52,8 @@ def parse_files(files: DataFrame, parser: Parser) -> DataFrame:
                 found = None
                 if error is None:
                     try:
-                        found = [{"page_number": int(b.get("page_number") or 1), "type": b.get("type"),
-                                  "level": b.get("level"), "text": b.get("text")} for b in parser(name, content)]
+                        found = [{"page_number": int(b.get("page_number") or 1), **{f: b.get(f) for f in _BLOCK_FIELDS}}
+                                 for b in parser(name, content)]
                     except Exception as problem:  # one bad file must not end the job
                         error = f"{type(problem).__name__}: {problem}"
                 blocks.append(found)
@@ -90,15 +88,22 @@ def read_open_data(spark: SparkSession, path: str, schema: T.StructType, kind: s
     raise ValueError("kind must be 'csv' or 'json'")
 
 
-def put_blobs(rows: DataFrame, root: str) -> None:
-    """Append (storage_path, content) to a blob table, spread by path hash."""
-    rows.select("storage_path", "content", F.pmod(F.xxhash64("storage_path"), F.lit(256)).alias("bucket")).write.mode(
-        "append").partitionBy("bucket").parquet(root)
+def put_blobs(rows: DataFrame, root: str, version: int | None = None) -> None:
+    """Append (storage_path, content) to a blob table, spread by path hash.
+
+    ``version`` (default: the time of the call in nanoseconds) orders puts of one path; a put that
+    is repeated leaves an older version behind, which readers pass over. Buckets are gathered
+    before the write, so that tasks do not each write a file to every bucket.
+    """
+    stored = rows.select(
+        "storage_path", "content", F.lit(time.time_ns() if version is None else version).cast("long").alias("version"),
+        F.pmod(F.xxhash64("storage_path"), F.lit(256)).alias("bucket"))
+    stored.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(root)
 
 
 def get_blob(spark: SparkSession, root: str, storage_path: str) -> DataFrame:
-    """The content stored at a path; only its bucket is listed and read."""
+    """The newest content stored at a path; only its bucket is listed and read."""
     bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(storage_path)), F.lit(256)).alias("b")).first().b
     stored = spark.read.parquet(root)
-    return stored.filter((F.col("bucket") == bucket) & (F.col("storage_path") == storage_path)).select(
-        "storage_path", "content")
+    return stored.filter((F.col("bucket") == bucket) & (F.col("storage_path") == storage_path)).orderBy(
+        F.desc("version")).limit(1).select("storage_path", "content")

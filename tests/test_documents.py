@@ -69,13 +69,22 @@ def test_html_blocks_skip_scripts(spark):
     html = "<script>var t='<p>no</p>'</script><h2 class=x>Title &amp; more</h2><p>a <b>b</b></p><ul><li>i</li></ul><pre>z</pre><table><tr><td>c</td></tr></table>"
     got = C.html_blocks(spark.createDataFrame([(1, html)], "p int, html string"), "html").first().blocks
     assert [(b.type, b.level, b.text) for b in got] == [
-        ("heading", 2, "Title & more"), ("paragraph", None, "a b"), ("list_item", None, "i"), ("table", None, "c")]
+        ("heading", 2, "Title & more"), ("paragraph", None, "a b"), ("list_item", None, "i"), ("paragraph", None, "z"),
+        ("table", None, "c")]
+
+
+def test_html_blocks_keep_all_text(spark):
+    html = "<html><head><title>T</title></head><body>top <b>bold</b><div>one<div>two</div>three<p>p</p></div><li>open<footer>end</footer></body>"
+    got = C.html_blocks(spark.createDataFrame([(1, html), (2, None), (3, "")], "p int, html string"), "html").orderBy("p").collect()
+    assert [b.text for b in got[0].blocks] == ["T", "top bold", "one", "two", "three", "p", "open", "end"]
+    assert got[1].blocks is None and got[2].blocks == []
 
 
 def test_parsed_pages_flatten(spark):
     doc = [("d", "f.pdf", "it", [(1, [("heading", "H", 1, None, None, None, None, {"k": "v"})]), (2, [("paragraph", "t", None, [1.0], [["c"]], 9.0, "f", None)])])]
     flat = C.page_blocks(spark.createDataFrame(doc, schemas.PARSED_DOCUMENT)).first().blocks
     assert [(b.page_number, b.type, b.text) for b in flat] == [(1, "heading", "H"), (2, "paragraph", "t")]
+    assert flat[0].extra == {"k": "v"} and flat[1].bbox == [1.0] and flat[1].raw_cells == [["c"]] and flat[1].font_name == "f"
 
 
 def test_similar_paragraphs_merge(spark):
@@ -117,6 +126,17 @@ def test_hybrid_search_and_answer(spark):
     answer = retrieval.answer_context(hits, generate=F.upper).first()
     assert answer.answer == "CONTEXT:\nONE\n\nTWO\n\nQUESTION: Q" and answer.n_citations == 2
     assert retrieval.answer_context(hits.filter("false"), generate=F.upper).count() == 0
+    questions = spark.createDataFrame([(0, "q"), (1, "other")], "qid int, question string")
+    seen = []
+
+    def retrieve(asked):
+        seen.extend(r.question for r in asked.orderBy("qid").collect())
+        return hits.drop("question")
+
+    rewritten = retrieval.answer_questions(questions, retrieve, lambda q: q.withColumn("question", F.upper("question")), generate=F.lower)
+    assert seen == ["Q", "OTHER"]
+    assert {(r.qid, r.n_citations, r.answer) for r in rewritten.collect()} == {
+        (0, 2, "context:\none\n\ntwo\n\nquestion: q"), (1, 0, "context:\n\n\nquestion: other")}
 
 
 def test_files_continue_past_failures(spark, tmp_path):
@@ -126,7 +146,8 @@ def test_files_continue_past_failures(spark, tmp_path):
     def parser(name, content):
         if content == b"boom":
             raise ValueError("broken")
-        return [{"page_number": 1, "type": "paragraph", "text": content.decode()}]
+        return [{"page_number": 1, "type": "paragraph", "text": content.decode(), "bbox": [0.0, 1.0], "raw_cells": [["c"]],
+                 "font_size": 9.5, "font_name": "f", "extra": {"k": "v"}}]
 
     # an empty file has no split to read, so the folder source cannot deliver it; a row can
     empty = spark.createDataFrame([("mem:d.pdf", "d.pdf", 0, bytearray(b""))], "path string, filename string, length long, content binary")
@@ -134,6 +155,8 @@ def test_files_continue_past_failures(spark, tmp_path):
     parsed = files.parse_files(found, parser)
     rows = {r.filename: r for r in parsed.collect()}
     assert rows["a.pdf"].error is None and rows["a.pdf"].blocks[0].text == "one"
+    block = rows["a.pdf"].blocks[0]
+    assert (block.bbox, block.raw_cells, block.font_size, block.font_name, block.extra) == ([0.0, 1.0], [["c"]], 9.5, "f", {"k": "v"})
     assert rows["b.DOCX"].error == "ValueError: broken" and rows["c.exe"].error.startswith("Unsupported") and "empty" in rows["d.pdf"].error
     assert files.failed(parsed).count() == 3
     retried = files.retry_failed(found, parsed, lambda n, c: [{"text": "ok"}])
@@ -145,6 +168,8 @@ def test_blobs_text_and_open_data(spark, tmp_path):
     files.put_blobs(spark.createDataFrame([("t/1_a.pdf", bytearray(b"A")), ("t/2_b.pdf", bytearray(b"B"))], "storage_path string, content binary"), root)
     assert bytes(files.get_blob(spark, root, "t/2_b.pdf").first().content) == b"B"
     assert files.get_blob(spark, root, "none").count() == 0
+    files.put_blobs(spark.createDataFrame([("t/2_b.pdf", bytearray(b"new"))], "storage_path string, content binary"), root)
+    assert [bytes(r.content) for r in files.get_blob(spark, root, "t/2_b.pdf").collect()] == [b"new"]
     (tmp_path / "x.txt").write_text("line one\nline two")
     assert files.read_text_documents(spark, str(tmp_path / "x.txt")).first().text == "line one\nline two"
     schema = T.StructType([T.StructField("code", T.StringType()), T.StructField("base_amount", T.DoubleType())])

@@ -65,6 +65,8 @@ def test_document_rows_are_reproducible(spark):
     first, again = rows(R.document_rows(new, "bucket").select("storage_path")), rows(R.document_rows(new, "bucket").select("storage_path"))
     assert first == again and len(set(first)) == 2
     assert any(p[0].startswith("t1/l1/") for p in first) and all(p[0].endswith("_x.pdf") for p in first)
+    twice = spark.createDataFrame([("t1", None, "x.pdf", 1), ("t1", None, "x.pdf", 2)], "tender_id string, lot_id string, filename string, request int")
+    assert R.document_rows(twice, "bucket", "request").select("id").distinct().count() == 2
 
 
 def test_write_never_overwrites(spark, table, tmp_path):
