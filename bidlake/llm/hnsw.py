@@ -25,6 +25,7 @@ LINKS = 16
 BUILD_BREADTH = 64
 SEARCH_BREADTH = 128
 SPARE = 16  # room beyond the limit before a neighbour list is pruned
+MOST_TASKS = 20_000  # tasks of one build; beyond, a task builds several shards one after another
 
 
 class Hierarchy:
@@ -169,7 +170,10 @@ def build_index(rows: DataFrame, ids_kept: int, shard_nodes: int = SHARD_NODES)
         F.col("id").cast("long").alias("id"), F.transform(F.col("vector").cast("array<double>"), lambda x: x + 0.0).alias("vector"))
     nodes = stage(distinct_vectors(held, ids_kept), "nodes")
     shards = nodes.groupBy("width").agg(F.ceil(F.count("*") / shard_nodes).cast("int").alias("shards"))
+    # a shard takes seconds to build and few bytes to ship, so tasks are dealt by shards, not by bytes
+    tasks = min(int(shards.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]), MOST_TASKS)
     dealt = nodes.join(shards, "width").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    dealt = dealt.repartition(2 * tasks, "width", "shard")
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         vectors = matrix(table.column("vector")).astype(np.float64)
