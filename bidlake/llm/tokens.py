@@ -4,12 +4,15 @@ A text is cut only where the byte-level pattern always ends a piece: between ASC
 letters, digits and punctuation, before a blank and after a line feed next to them. Equal pieces of
 a step are encoded once, and a worker remembers pieces between tasks. Pieces of one class are one
 unit of the pattern and go straight to the library's merge model; all others take its whole path.
-The ids are those of encoding the text whole, which the tests check.
+An added token of the vocabulary inside a text is a piece of its own, as the library matches it, and
+the texts before and after it are cut as if they stood alone. The ids are those of encoding the text
+whole, which the tests check.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +60,12 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that take blanks or need word borders are not supported")
+        self.added = [t.content.encode() for t in added]
+        # the longest of those that begin at one place, as the library does
+        self.any_added = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         self.letters = _byte_letters()
         separator = self.letters[_SEPARATOR]
         self.merges = Tokenizer(self.library.model)
@@ -101,7 +109,28 @@ class Encoder:
         kind[lead + 1] = _LETTER
         return kind
 
+    def _added(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) of every added token that the library matches in the texts."""
+        raw, texts, spans = data.tobytes(), set(), []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(starts, at, side="right")) - 1
+                end = int(starts[text + 1])
+                if at + len(token) <= end:
+                    texts.add(text)
+                    at = raw.find(token, end)
+                else:  # it lies across two texts
+                    at = raw.find(token, at + 1)
+        for text in sorted(texts):
+            spans += [m.span() for m in self.any_added.finditer(raw, int(starts[text]), int(starts[text + 1]))]
+        found = np.array(spans, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
     def _cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        begin, end = self._added(data, starts)
+        if len(begin):
+            starts = np.union1d(starts, np.concatenate([begin, end]))
         kind = self._class_of(data)
         plain = (kind >= _LETTER) & (kind <= _MARK)
         cut = np.zeros(len(data) + 1, bool)
@@ -112,6 +141,7 @@ class Encoder:
         follows = plain.copy()
         follows[starts[starts < len(data)]] = False  # the next text does not follow this one
         inner[:-1] |= ((right[:-1] == _BLANK) | (right[:-1] == _FEED)) & follows[2:]
+        cut[ranges(begin, end - begin)] = False
         cut[starts] = True
         return np.flatnonzero(cut)
 
@@ -141,6 +171,7 @@ class Encoder:
         odds = np.concatenate([[0], np.cumsum(odd | blank)])
         lengths = np.diff(ends)
         simple = (odds[ends[1:]] == odds[ends[:-1]]) & ~((lengths == 1) & (kind[ends[:-1]] == _BLANK))
+        simple &= ~pc.is_in(words, value_set=pa.array(self.added, pa.large_binary())).to_numpy(zero_copy_only=False)
         sizes = np.zeros(len(words), np.int64)
         parts: list = [None] * len(words)
         other = np.flatnonzero(~simple)

@@ -59,6 +59,19 @@ def test_encoder_equals_the_library(library):
             assert ids[before[i]:before[i + 1]].tolist() == _ids(library, text)
 
 
+def test_added_tokens_equal_the_library(library):
+    random.seed(4)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<", "|>", "a", "12", " ", "\n", "'s", "é", "’", "."]
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "<|endof", "text|>", "<|endof", "text|><|endoftext|>"] + [
+        "".join(random.choices(parts, k=random.randint(0, 9))) for _ in range(5000)]
+    assert _ids(library, texts[0]) == [3826, 220, 50256, 994]
+    encoder = Encoder(vocabulary_path())
+    for part, data, starts in text_steps(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]), step_bytes=20_000):
+        ids, before = encoder.encode(data, starts)
+        for i, text in enumerate(part.column("text").to_pylist()):
+            assert ids[before[i]:before[i + 1]].tolist() == _ids(library, text)
+
+
 def test_token_store(spark, small, library, odd, empty):
     rows = token_store.stored_index(small, vocabulary_path()).orderBy("doc_id").collect()
     start = 0
