@@ -4,9 +4,9 @@
    windows have equal anchors. Tasks send packed arrays of anchors, dealt by hash.
 2. An anchor met once owns no repeated window. The bytes that an anchor's windows span are its
    context. A context met twice repeats every window in it, and needs no bytes.
-3. Distinct contexts of one anchor may still share windows. Their bytes go to buckets of bounded size
-   by anchor, where a logarithmic family of suffix arrays takes them batch by batch: a batch is
-   indexed, levels of equal size are merged, and a merge marks what is equal over WINDOW bytes.
+3. Distinct contexts of one anchor may still share windows. Their bytes go to buckets of about
+   BUCKET_BYTES by anchor, each with one suffix array that marks what is equal over WINDOW bytes. Only
+   a bucket above BATCH_BYTES is taken in batches; their arrays are joined by ranking them anew.
    An anchor with more than ``HOT_CONTEXTS`` distinct contexts is dealt out window by window instead.
 4. The marked spans return to their documents.
 """
