@@ -195,6 +195,18 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in language.predict(odd, language.fit(empty)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("learnt", [["en"], ["en", "fr"], ["en", "fr", "de"]])
+def test_unlearnt_languages_are_rejected(spark, learnt):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.filter(F.col("lang").isin(learnt)))
+    rows = language.predict(docs, model).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").collect()
+    clean = [r.rejected for r in rows if r.lang in learnt]
+    strange = [r.rejected for r in rows if r.lang not in learnt and r.n >= 200]
+    assert sum(clean) <= 0.01 * len(clean) and sum(strange) >= 0.9 * len(strange) > 0
+    texts = docs.filter(F.col("lang") == "es").limit(50)
+    assert language.accepted(texts, model).count() < 10
+
+
 def test_toxicity(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
