@@ -36,6 +36,11 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def one_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """One of the ``rows`` of each key, whatever their order: that of the smallest hash of ``text``."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), F.md5("text"))).alias("text"))
+
+
 class LanguageModel:
     """A trained model with its languages, temperature, rejection score and bound of strangeness.
 
@@ -73,12 +78,13 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageMod
     """Learn from text and non-null lang of rows outside the held-out fold."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "lang")
+        F.col("doc_id").cast("long").alias("doc_id"), "lang").distinct()
     chosen = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
     ids = chosen.select("doc_id", F.col("lang").alias("l")).orderBy("r", "l").limit(per_language * MAX_LANGUAGES)
     # the limit bounds the broadcast (80,000 rows of an id and a language) and the texts of the sample
-    sample = docs.join(F.broadcast(ids), (docs["doc_id"] == ids["doc_id"]) & (docs["lang"] == ids["l"])).select(
-        ids["doc_id"], F.col("l").alias("lang"), "text").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    texts = docs.filter("text is not null").join(F.broadcast(ids), (docs["doc_id"] == ids["doc_id"]) & (docs["lang"] == ids["l"])).select(
+        ids["doc_id"], F.col("l").alias("lang"), "text")
+    sample = one_each(texts, "doc_id", "lang").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     languages = sorted(set(sample.column("lang").to_pylist()))
     if not languages:
         return LanguageModel(None, [])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.llm.common import SMALL_STEP_BYTES, text_steps
-from bidlake.llm.language import held_out
+from bidlake.llm.language import held_out, one_each
 from bidlake.llm.subwords import Model, all_words, bags, distinct_words, lowered, train
 
 SAMPLE_TOXIC = 1500
@@ -69,7 +69,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         marked.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
     texts = docs.filter(~held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     # the limits bound the broadcast (4,500 rows of an id and a label) and the texts of the sample
-    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).filter("text is not null").select("doc_id", "toxic", "text").toArrow()
+    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).filter("text is not null").select("doc_id", "toxic", "text")
+    sample = one_each(found, "doc_id", "toxic").toArrow()
     sample = sample.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     toxic_doc = sample.column("toxic").to_numpy().astype(bool)
     if not len(toxic_doc) or toxic_doc.all() or not toxic_doc.any():

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from bidlake.llm import (hnsw, language, mixing, packing, sharding, signature_join, suffixes, token_store, toxicity,
                          vector_dedup)
 from bidlake.llm.common import fresh_folder, text_steps
+from bidlake.llm.subwords import all_words
 from bidlake.llm.tokens import Encoder, vocabulary_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string"
@@ -219,6 +220,23 @@ def test_toxicity(spark, odd, empty):
     assert {r.score for r in toxicity.score(odd, toxicity.fit(docs, labels.filter("toxic = 0"))).collect()} == {0.0}
 
 
+def test_samples_hold_one_row_of_a_repeated_id(spark, monkeypatch):
+    sizes = []
+
+    def noted(table, **options):
+        sizes.append(table.num_rows)
+        return all_words(table, **options)
+
+    monkeypatch.setattr(language, "all_words", noted)
+    monkeypatch.setattr(toxicity, "all_words", noted)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:20]
+    rows = [(i, f"word{i} und text", "en") for i in ids] + [(ids[0], f"other {k % 7}", "en") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language.fit(docs, per_language=10)
+    toxicity.fit(docs, spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int"))
+    assert sizes == [10, 20]
+
+
 def _words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
 
