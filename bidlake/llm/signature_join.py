@@ -10,8 +10,8 @@
 4. Blocks are joined by dual traversal of signature trees: a node holds the OR of its members' token
    bitmaps, their size range and the fewest bits of a member. For x under A and y under B at least
    (fewest bits in A) - (common bits) tokens of x are not in y, which bounds the overlap; pairs of
-   nodes that cannot reach 3/4 are cut off, as are those already in one component. Leaves
-   intersect whole sets. A block pair returns a spanning forest of its links.
+   nodes that cannot reach 3/4 are cut off. Every pair of sets that is left is intersected whole. A
+   block pair returns a spanning forest of its links and each member's number of links in it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import SMALL_STEP_BYTES, components, mixed, stage, text_steps, tidy
+from bidlake.llm.common import SMALL_STEP_BYTES, components, local_roots, mixed, ranges, stage, text_steps, tidy
 from bidlake.llm.shingles import shingle_sets
 
 PERCENT = 75
@@ -73,80 +73,83 @@ def _reaches(a: tuple, b: tuple) -> bool:
     return True
 
 
-def _links(x: np.ndarray, y: np.ndarray) -> bool:
-    small, large = (x, y) if len(x) <= len(y) else (y, x)
-    if 100 * len(small) < PERCENT * len(large):
-        return False
-    at = np.searchsorted(large, small)
-    overlap = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * overlap >= PERCENT * (len(x) + len(y) - overlap)
-
-
-def join_trees(one: SignatureTree, two: SignatureTree, root: np.ndarray, at: int) -> list[tuple[int, int]]:
-    """Links that join components, found by dual traversal; ``two`` may be ``one``.
-
-    ``root`` holds the component of every set; sets of ``two`` stand from ``at`` on. It is updated.
-    """
-    found = []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def tops(tree: SignatureTree, node: tuple, base: int) -> set:
-        return {top(base + int(i)) for i in tree.order[node[4]:node[5]]}
-
+def join_trees(one: SignatureTree, two: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
+    """All links between sets of ``one`` and of ``two``, found by dual traversal; ``two`` may be ``one``,
+    whose links are then met once each."""
     same = one is two
+    near = np.zeros((len(one.sets), len(two.sets)), bool)
     todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
         a, b = one.nodes[i], two.nodes[j]
         if not (same and i == j) and not _reaches(a, b):
             continue
-        joined = tops(one, a, 0) | tops(two, b, at)
-        if len(joined) == 1:
-            continue
         if a[6] < 0 and b[6] < 0:
-            for p in one.order[a[4]:a[5]]:
-                for q in two.order[b[4]:b[5]]:
-                    x, y = top(int(p)), top(at + int(q))
-                    if x != y and _links(one.sets[p], two.sets[q]):
-                        root[max(x, y)] = min(x, y)
-                        found.append((int(p), int(q)))
+            near[np.ix_(one.order[a[4]:a[5]], two.order[b[4]:b[5]])] = True
         elif same and i == j:
             todo += [(a[6], a[7]), (a[7], a[7]), (a[6], a[6])]
         elif b[6] < 0 or (a[6] >= 0 and a[5] - a[4] >= b[5] - b[4]):
             todo += [(a[6], j), (a[7], j)]
         else:
             todo += [(i, b[6]), (i, b[7])]
-    return found
-
-
-def _tree(table: pa.Table) -> tuple[np.ndarray, SignatureTree]:
+    if same:
+        near = np.triu(near | near.T, 1)
+    near &= 100 * np.minimum.outer(one.size, two.size) >= PERCENT * np.maximum.outer(one.size, two.size)
+    words, place = np.unique(np.concatenate(two.sets), return_inverse=True)
+    first = np.cumsum(two.size) - two.size
+    held = np.zeros(len(words), np.int32)
+    found1, found2 = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p in np.flatnonzero(near.any(axis=1)):
+        q, x = np.flatnonzero(near[p]), one.sets[p]
+        at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+        at = at[words[at] == x]
+        held[at] = 1
+        n = two.size[q]
+        overlap = np.add.reduceat(held[place[ranges(first[q], n)]], np.cumsum(n) - n)
+        held[at] = 0
+        q = q[100 * overlap >= PERCENT * (len(x) + n - overlap)]
+        found1.append(np.full(len(q), p))
+        found2.append(q)
+    return np.concatenate(found1), np.concatenate(found2)
+
+
+def _tree(table: pa.Table) -> tuple[np.ndarray, np.ndarray, SignatureTree]:
     """Members of a block in the order of their least tokens, so that alike sets are neighbours."""
     ids = table.column("id").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
     least = np.array([s[0] for s in sets])
-    return ids, SignatureTree(sets, np.lexsort((ids, least)))
+    return ids, table.column("copies").to_numpy(), SignatureTree(sets, np.lexsort((ids, least)))
+
+
+_LINKS = "a long, b long, links long"
 
 
-def _forest(ids1: np.ndarray, ids2: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
-    a, b = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
-    return pa.table({"a": pa.array(ids1[a], pa.int64()), "b": pa.array(ids2[b], pa.int64())})
+def _linked(ids: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """A spanning forest of the links (a, b) between members, without a number, and the links of each
+    linked member as a loop; a link to a class counts its copies."""
+    root = local_roots(len(ids), a, b)
+    far = np.flatnonzero(root != np.arange(len(ids)))
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, a, copies[b])
+    np.add.at(links, b, copies[a])
+    some = np.flatnonzero(links)
+    return pa.table({"a": pa.array(np.concatenate([ids[far], ids[some]]), pa.int64()),
+                     "b": pa.array(np.concatenate([ids[root[far]], ids[some]]), pa.int64()),
+                     "links": pa.array(np.concatenate([np.zeros(len(far), np.int64), links[some]]), pa.int64())})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, n_links per row of ``docs`` (doc_id, text).
 
     Texts without words, and null texts, have no shingles and link with nothing. Rows of one doc_id
-    are one node; a row with a null doc_id has a null component and links with nothing. Other
-    columns are not read. No rows give no rows.
+    are one node; a row with a null doc_id has a null component and links with nothing. ``n_links``
+    counts the other rows whose text links with the text of this row. Other columns are not read. No
+    rows give no rows.
     """
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stage(kept.mapInArrow(_summary, "doc_id long, n long, counted long, h1 long, h2 long"), "sets")
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "counted", "h1", "h2").agg(F.min("doc_id").alias("id"))
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "counted", "h1", "h2").agg(
+        F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     total = rows.agg(F.coalesce(F.sum("counted"), F.lit(0))).first()[0]
     buckets = max(-(-total // BUCKET_TOKENS), 1)
     shared = kept.filter("doc_id is not null").mapInArrow(
@@ -157,9 +160,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     overlap = F.ceil(F.col("n") * PERCENT / 100)
     open_ = classes.join(shared, F.col("id") == F.col("doc_id")).filter(
         F.col("shared") >= F.greatest(F.col("counted") - (F.col("n") - overlap), F.lit(1)))
-    open_ = open_.select("id", F.col("h1").alias("c1"), F.col("h2").alias("c2"))
-    whole = kept.join(open_, F.col("doc_id") == F.col("id")).select("doc_id", "text", "c1", "c2")
-    sets = stage(whole.mapInArrow(_sets, "id long, n long, tokens binary").dropDuplicates(["id"]), "open_sets")
+    open_ = open_.select("id", F.col("h1").alias("c1"), F.col("h2").alias("c2"), "copies")
+    whole = kept.join(open_, F.col("doc_id") == F.col("id")).select("doc_id", "text", "c1", "c2", "copies")
+    sets = stage(whole.mapInArrow(_sets, "id long, n long, copies long, tokens binary").dropDuplicates(["id"]), "open_sets")
 
     tokens = sets.mapInArrow(_token_rows, "id long, n long, token long")
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
@@ -175,13 +178,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = sets.join(cells.select("id", F.col("component").alias("cell")), "id").withColumn(
         "block", F.floor((F.row_number().over(order) - 1) / BLOCK_SETS).cast("int"))
     placed = stage(placed, "blocks")
-    links = placed.groupBy("cell", "block").applyInArrow(_within, "a long, b long").unionByName(_across(placed))
+    links = stage(placed.groupBy("cell", "block").applyInArrow(_within, _LINKS).unionByName(_across(placed)), "links")
     groups = components(links)
+    counts = links.groupBy(F.col("a").alias("counted_id")).agg(F.sum("links").alias("links"))
+    numbered = classes.withColumnRenamed("id", "class_id").join(counts, F.col("class_id") == F.col("counted_id"), "left")
 
-    members = rows.filter("n > 0 and doc_id is not null").join(classes.withColumnRenamed("id", "class_id"), ["n", "counted", "h1", "h2"])
+    members = rows.filter("n > 0 and doc_id is not null").join(numbered, ["n", "counted", "h1", "h2"])
     named = members.join(groups, F.col("class_id") == F.col("id"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"))
-    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    alone = rows.filter("n = 0 or doc_id is null").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return named.unionByName(alone)
 
 
@@ -201,24 +208,24 @@ def _across(placed: DataFrame) -> DataFrame:
     pairs = stage(one.join(two, (F.col("cell") == F.col("cell2")) & (F.col("i") < F.col("j")) & (
         PERCENT * F.col("low2") <= 100 * F.col("high1"))).select("cell", "i", "j"), "pairs")
     left = placed.join(pairs, (placed["cell"] == pairs["cell"]) & (placed["block"] == pairs["i"])).select(
-        pairs["cell"].alias("c"), "i", "j", F.col("id").alias("id"), "tokens")
-    other = placed.select(*(F.col(c).alias(c + "_2") for c in ("cell", "block", "id", "tokens")))
+        pairs["cell"].alias("c"), "i", "j", F.col("id").alias("id"), "copies", "tokens")
+    other = placed.select(*(F.col(c).alias(c + "_2") for c in ("cell", "block", "id", "copies", "tokens")))
     p2 = pairs.select(*(F.col(c).alias(c + "_2p") for c in ("cell", "i", "j")))
     right = other.join(p2, (F.col("cell_2") == F.col("cell_2p")) & (F.col("block_2") == F.col("j_2p"))).select(
-        F.col("cell_2p"), "i_2p", "j_2p", "id_2", "tokens_2")
+        F.col("cell_2p"), "i_2p", "j_2p", "id_2", "copies_2", "tokens_2")
 
     def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        ids1, one_ = _tree(a.select(["id", "tokens"]))
-        ids2, two_ = _tree(b.select(["id_2", "tokens_2"]).rename_columns(["id", "tokens"]))
-        root = np.arange(len(ids1) + len(ids2))
-        return _forest(ids1, ids2, join_trees(one_, two_, root, len(ids1)))
+        ids1, copies1, one_ = _tree(a.select(["id", "copies", "tokens"]))
+        ids2, copies2, two_ = _tree(b.select(["id_2", "copies_2", "tokens_2"]).rename_columns(["id", "copies", "tokens"]))
+        p, q = join_trees(one_, two_)
+        return _linked(np.concatenate([ids1, ids2]), np.concatenate([copies1, copies2]), p, len(ids1) + q)
 
-    return left.groupBy("c", "i", "j").cogroup(right.groupBy("cell_2p", "i_2p", "j_2p")).applyInArrow(meet, "a long, b long")
+    return left.groupBy("c", "i", "j").cogroup(right.groupBy("cell_2p", "i_2p", "j_2p")).applyInArrow(meet, _LINKS)
 
 
 def _within(key: tuple, table: pa.Table) -> pa.Table:
-    ids, tree = _tree(table)
-    return _forest(ids, ids, join_trees(tree, tree, np.arange(len(ids)), 0))
+    ids, copies, tree = _tree(table)
+    return _linked(ids, copies, *join_trees(tree, tree))
 
 
 def _hashes(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,4 +334,5 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.flatnonzero(own)
         yield pa.RecordBatch.from_pydict({
             "id": batch.column("doc_id").take(pa.array(rows)), "n": pa.array(sizes[rows].astype(np.int64)),
+            "copies": batch.column("copies").take(pa.array(rows)),
             "tokens": pa.array([tokens[ends[i]:ends[i + 1]].tobytes() for i in rows], pa.binary())})

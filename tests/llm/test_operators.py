@@ -290,6 +290,25 @@ def test_trees_over_several_blocks(spark, monkeypatch):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(signature_join, "BLOCK_SETS", block)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(30):
+        copy = list(words)
+        for _ in range(rng.randint(0, 2)):
+            copy[rng.randrange(60)] = f"x{rng.randint(0, 5)}"
+        texts.append(" ".join(copy))
+    texts += [texts[0], "alone here", texts[3], ""]
+    sets = [_set(t) for t in texts]
+    want = {i: sum(bool(a) and i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    rows = [*enumerate(texts), (None, texts[0])]
+    got = signature_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == {**want, None: 0}
+
+
 def _removed(texts, window):
     raw = [(t or "").encode() for t in texts]
     seen = {}
