@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import hnsw, language, mixing, packing, sharding, signature_join, suffixes, token_store, toxicity, vector_dedup
+from bidlake.llm import hnsw, language, lines, mixing, packing, sharding, signature_join, suffixes, token_store, toxicity, vector_dedup
 from bidlake.llm.tokens import vocabulary_path
 
 
@@ -60,9 +60,14 @@ def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.stored_index(_table(spark, folder, "documents"), vocabulary_path())
 
 
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, folder, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_hnsw_neighbours, op3_pareto_mix, op4_subword_toxicity, op5_extendible_shards,
-    op6_subword_language, op7_signature_join, op8_suffix_dedup, op9_pca_tiles, op10_token_store)}
+    op6_subword_language, op7_signature_join, op8_suffix_dedup, op9_pca_tiles, op10_token_store, op12_line_dedup)}
 
 SQL = {
     "op3_pareto_mix": r"""
@@ -119,4 +124,20 @@ SQL = {
         select doc_id, cast(n_bytes as bigint) as n_bytes, cast(s.d as int) as depth,
                substr(lpad(bin(hash), 48, '0'), 1, s.d) as shard, cast(s.b as bigint) as shard_bytes, s.c as shard_docs
         from fits""",
+    "op12_line_dedup": r"""
+        with docs as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as split from documents),
+        lines as (select row, doc_id, unnest(split) as line, generate_subscripts(split, 1) as pos from docs),
+        keyed as (
+            select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from lines),
+        common as (
+            select key, max(doc_id) as hi from keyed where length(key) >= 20 group by key
+            having count(distinct doc_id) + max(cast(doc_id is null as int)) >= 3),
+        judged as (
+            select k.*, c.key is not null and (k.doc_id < hi or k.doc_id is null and hi is not null) as dropped
+            from keyed k left join common c on k.key = c.key)
+        select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
+        from judged group by row, doc_id""",
 }
