@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import hnsw, language, lines, mixing, packing, sharding, signature_join, suffixes, token_store, toxicity, vector_dedup
+from bidlake.llm import alignment, hnsw, language, lines, mixing, packing, sharding, signature_join, suffixes, token_store, toxicity, vector_dedup
 from bidlake.llm.tokens import vocabulary_path
 
 
@@ -65,9 +65,14 @@ def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment_digest(_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_hnsw_neighbours, op3_pareto_mix, op4_subword_toxicity, op5_extendible_shards,
-    op6_subword_language, op7_signature_join, op8_suffix_dedup, op9_pca_tiles, op10_token_store, op12_line_dedup)}
+    op6_subword_language, op7_signature_join, op8_suffix_dedup, op9_pca_tiles, op10_token_store, op12_line_dedup,
+    op13_token_alignment)}
 
 SQL = {
     "op3_pareto_mix": r"""
