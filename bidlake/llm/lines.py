@@ -7,8 +7,8 @@ lose all their lines except those of the largest doc_id that holds them.
 Only 16 bytes of each key's SHA-256 travel. They are range-partitioned and sorted by hash, then by
 document (largest first) and position, so that one stream over a partition meets the document that
 keeps a line before all others. The result is a keep bitmap per document, in words of ``WORD_BITS``
-lines; words without a dropped line are left out. Texts are read again to apply the bitmaps and are
-shuffled only where the bitmaps are too many to broadcast.
+lines; words without a dropped line are left out. Texts are read again to apply the bitmaps and meet
+them in one join.
 
 A key of very many lines would fill one range, so keys that a frequency sketch (its size is fixed)
 reports as frequent are taken out first: their documents are aggregated in every task before they meet,
@@ -33,7 +33,6 @@ WORD_BITS = 64
 # A key is frequent if it has more than one line in FREQUENT; at most FREQUENT keys can be so.
 FREQUENT = 512
 TRACKED = 8192
-BROADCAST_BYTES = 4_000_000
 _BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -116,10 +115,8 @@ def _dense(words: Column) -> Column:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` as (row, n_lines, n_dropped, kept): ``row`` is the caller's, ``kept`` the text left."""
-    size = bitmaps.agg(F.sum(64 + 24 * F.size("words"))).first()[0] or 0
-    bits = bitmaps.select("doc", "t1", "t2", "n_dropped", _dense(F.col("words")).alias("bits"))
+    bits = bitmaps.select("doc", "t1", "t2", "n_dropped", _dense(F.col("words")).alias("bits")).alias("b")
     side = _with_text_key(docs, doc_id, text).alias("d")
-    bits = (F.broadcast(bits) if size <= BROADCAST_BYTES else bits).alias("b")
     same = F.col("d.doc").eqNullSafe(F.col("b.doc")) & (F.col("d.t1") == F.col("b.t1")) & (F.col("d.t2") == F.col("b.t2"))
     found = side.join(bits, same, "left").select("d.row", "d.body", "b.n_dropped", "b.bits")
     shift = (lambda i: F.call_function("shiftrightunsigned", F.get(F.col("bits"), (i / WORD_BITS).cast("int")), i % WORD_BITS))

@@ -49,9 +49,8 @@ def _rows():
     return rows + rng.sample(rows, 10)
 
 
-@pytest.mark.parametrize(("frequent", "limit", "min_docs"), [(lines.FREQUENT, lines.BROADCAST_BYTES, 3), (2, 0, 3), (40, 10, 3), (40, 10, 5)])
-def test_dedup_equals_a_plain_reading(spark, monkeypatch, frequent, limit, min_docs):
-    monkeypatch.setattr(lines, "BROADCAST_BYTES", limit)
+@pytest.mark.parametrize(("frequent", "min_docs"), [(lines.FREQUENT, 3), (2, 3), (40, 3), (40, 5)])
+def test_dedup_equals_a_plain_reading(spark, frequent, min_docs):
     rows = _rows()
     table = spark.createDataFrame([(d, t, "x", "y", 1, "z", "w") for d, t in rows], DOCS).repartition(5)
     found = lines.dedup_lines(table, min_docs=min_docs, frequent=frequent).collect()
