@@ -21,6 +21,9 @@ _COMPARISONS = {
 }
 
 
+OPERATORS = tuple(_COMPARISONS)
+
+
 def matches(spec: Mapping[str, Any]) -> Column:
     """Condition for ``{"field": value}``, ``{"field": {"$op": value}}`` and ``{"$and": [...]}``.
 
@@ -36,13 +39,14 @@ def matches(spec: Mapping[str, Any]) -> Column:
             for operator, operand in value.items():
                 if operator not in _COMPARISONS:
                     raise ValueError(f"unknown filter operator {operator}")
-                parts.append(_COMPARISONS[operator](_field(name), operand))
+                parts.append(_COMPARISONS[operator](field_column(name), operand))
         else:
-            parts.append(_field(name) == F.lit(value))
+            parts.append(field_column(name) == F.lit(value))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def _field(name: str) -> Column:
+def field_column(name: str) -> Column:
+    """A column, or by a dotted name an entry of a map or struct column."""
     head, _, key = name.partition(".")
     return F.col(head)[key] if key else F.col(head)
 

@@ -141,17 +141,24 @@ class _Best:
         self.ids: np.ndarray | None = None
 
     def add(self, ids: pa.Array, rows: np.ndarray) -> None:
-        key = _score(self.queries, rows, self.metric)
+        self.merge([self.candidates(np.arange(len(self.queries)), ids, rows)])
+
+    def candidates(self, chosen: np.ndarray, ids: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, key, id) of the rows that may be among the k best of the ``chosen`` queries."""
+        key = _score(self.queries[chosen], rows, self.metric)
         if self.metric != "L2":
             key = -key
-        limit = self.limit
+        limit = self.limit[chosen]
         if key.shape[1] >= self.k:
             limit = np.minimum(limit, np.partition(key, self.k - 1, axis=1)[:, self.k - 1])
         q, r = np.nonzero(key <= limit[:, None])
-        names = ids.to_numpy(zero_copy_only=False)[r]
+        return chosen[q], key[q, r], ids.to_numpy(zero_copy_only=False)[r]
+
+    def merge(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Take in candidates, keeping k per query."""
         if self.ids is not None:
-            names = np.concatenate([self.ids, names])
-        q, key = np.concatenate([self.q, q]), np.concatenate([self.key, key[q, r]])
+            found = [(self.q, self.key, self.ids), *found]
+        q, key, names = (np.concatenate(part) for part in zip(*found, strict=True))
         name_order = np.unique(names, return_inverse=True)[1]
         order = np.lexsort((name_order, key, q))
         q, key, names = q[order], key[order], names[order]

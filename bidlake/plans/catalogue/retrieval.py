@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from bidlake.functions import text as X
 from bidlake.functions.vectors import length_embedding, mean_vector
 from bidlake.operators import evaluation, fusion, graph
+from bidlake.operators.filtered_search import vector_topk_filtered
 from bidlake.operators.keyword import bm25_search, keyword_search, keyword_search_many
 from bidlake.operators.vector_search import vector_topk, vector_topk_many
 from bidlake.plans import ingest, retrieval
@@ -174,6 +175,26 @@ def batch_blocks(t):
     return found.withColumn("score", F.round("score", 5))
 
 
+# Each label asks for the vectors near its mean, every one under a filter document of its own.
+_FILTERS = (
+    '{"lang": "en"}', '{"source": {"$in": ["src1", "src4", "src9"]}, "n_chars": {"$gte": 500}}',
+    '{"$or": [{"lang": "de"}, {"label": {"$lt": 3}}]}', '{"n_chars": {"$gt": 300, "$lte": 4000.5}, "lang": {"$ne": "fr"}}', None)
+
+
+@query("f12_batch_filters", f"""with {_CENTROID},
+    rows as (select vec_id as id, embedding, label, lang, source, n_chars from embeddings join documents on doc_id = vec_id),
+    scored as (select qid, id, round(list_dot_product(embedding::double[], c.v), 9) as score from rows, centroid c
+        where case qid % 5 when 0 then lang = 'en' when 1 then source in ('src1', 'src4', 'src9') and n_chars >= 500
+            when 2 then lang = 'de' or label < 3 when 3 then n_chars > 300 and n_chars <= 4000.5 and lang <> 'fr' else true end)
+    select qid, id, round(score, 6) as score, cast(row_number() over (partition by qid order by scored.score desc, id) as int) as rank
+    from scored qualify row_number() over (partition by qid order by scored.score desc, id) <= 10""")
+def batch_filters(t):
+    documents = F.array(*map(F.lit, _FILTERS))
+    questions = centroids(t).withColumn("filter", F.get(documents, (F.col("qid") % len(_FILTERS)).cast("int")))
+    fields = t.documents.select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    return rounded(vector_topk_filtered(questions, domain.vectors(t).join(fields, "id"), 10))
+
+
 # Every question as a whole is the keyword query: all of its terms must occur in the text.
 _KEYWORD_HITS = r"""
     asked as (select item_id as qid, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as terms
