@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from bidlake.functions.text import contains_all, query_terms, tokens
+from bidlake.functions.keywords import all_of
+from bidlake.functions.text import WHITESPACE, contains_all, query_terms, tokens
+from bidlake.operators.keyword_batch import matching, parsed
 
-QUERIES_PER_BLOCK = 1024
+QUERIES_PER_BLOCK = 200_000
 BLOCK_CHARS = 8_000_000
 
 
@@ -33,42 +37,32 @@ def keyword_search(
 
 def keyword_search_many(
     queries: DataFrame, chunks: DataFrame, k: int = 5, qid_column: str = "qid", terms_column: str = "terms",
-    id_column: str = "id", text_column: str = "text", block_size: int = QUERIES_PER_BLOCK,
+    id_column: str = "id", text_column: str = "text", block_size: int = QUERIES_PER_BLOCK, syntax: bool = False,
 ) -> DataFrame:
-    """Top k per query as (qid, id, rank), every query tested inside a scan of the texts.
+    """Top k per query as (qid, id, rank), ordered by id.
 
-    Only matching (qid, id) pairs leave the scan stage, and only k per query and task are
-    shuffled by the ranking. Up to ``block_size`` queries of ``BLOCK_CHARS`` together become one
-    literal of the scan. A larger set is packed into blocks of about that size, and every text
-    meets every block in an equi join on block and salt; the salt spreads the texts of one block
-    over the shuffle partitions. Query ids are unique.
+    A query asks for all of its whitespace-separated terms; with ``syntax`` it is read as boolean
+    keyword syntax (``functions.keywords``). A query without terms matches every row. Up to
+    ``block_size`` queries of about ``BLOCK_CHARS`` together become one automaton, which travels with
+    the tasks; a text is read once per automaton and only (qid, id) pairs leave the scan stage, k per
+    query and task reaching the ranking. Query ids are unique.
     """
-    words = tokens(F.coalesce(terms_column, F.lit("")))
-    asked = queries.select(F.struct(
-        F.col(qid_column).alias("qid"),
-        F.filter(words, lambda w: ~w.rlike("[%_]")).alias("words"),
-        # only terms with wildcards need pattern matching
-        F.transform(F.filter(words, lambda w: w.rlike("[%_]")),
-                    lambda w: F.concat(F.lit("%"), F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit("%"))).alias("patterns"),
-    ).alias("q"))
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json("q"))).alias("chars")).first()
+    asked = queries.select(F.col(qid_column).alias("qid"), F.col(terms_column).cast("string").alias("query"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("query")).alias("chars")).first()
     n = max(-(-size.n // block_size), -(-(size.chars or 0) // BLOCK_CHARS), 1)
     texts = chunks.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    if n == 1:
-        literal = F.lit("[" + ",".join(row.j for row in asked.select(F.to_json("q").alias("j")).collect()) + "]")
-        texts = texts.withColumn("queries", F.from_json(literal, T.ArrayType(asked.schema["q"].dataType)))
-    else:
-        packed = asked.groupBy(F.pmod(F.xxhash64("q.qid"), F.lit(n)).alias("block")).agg(F.collect_list("q").alias("queries"))
-        salts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n, 1)
-
-        def every(count: int) -> Column:
-            return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-
-        texts = texts.withColumn("block", every(n)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        texts = texts.join(packed.withColumn("salt", every(salts)), ["block", "salt"])
-    met = F.filter("queries", lambda q: F.forall(q["words"], lambda w: F.col("text").contains(w))
-                   & F.forall(q["patterns"], lambda p: F.like(F.col("text"), p)))
-    hits = texts.select(F.explode(F.transform(met, lambda q: q["qid"])).alias("qid"), "id")
+    schema = T.StructType([T.StructField("qid", asked.schema["qid"].dataType), T.StructField("id", texts.schema["id"].dataType)])
+    types = tuple(to_arrow_type(f.dataType) for f in schema)
+    hits = None
+    for block in range(n):
+        # one block of bounded size at a time; its automaton is built in the tasks
+        part = asked if n == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == block)
+        held = part.toArrow()
+        words = held.column("query").to_pylist()
+        steps = parsed(words) if syntax else [all_of([x for x in re.split(WHITESPACE, w or "") if x]) for w in words]
+        shared = chunks.sparkSession.sparkContext.broadcast((held.column("qid").to_pylist(), steps))
+        found = texts.mapInArrow(matching(shared, not syntax, types), schema)
+        hits = found if hits is None else hits.unionByName(found)
     order = Window.partitionBy("qid").orderBy("id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

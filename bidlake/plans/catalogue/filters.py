@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from bidlake.functions import keywords as K
 from bidlake.functions import text as X
 from bidlake.functions import validation as V
 from bidlake.functions.filters import matches, optional_equals
 from bidlake.operators import graph, relational
-from bidlake.operators.keyword import keyword_search
+from bidlake.operators.keyword import keyword_search, keyword_search_many
 from bidlake.plans.catalogue.registry import query
 from bidlake.sources import catalog, domain
 
@@ -86,6 +87,36 @@ def boolean_keywords(t):
     return t.documents.filter(condition).select("doc_id", "lang")
 
 
+_SYNTAX = ("the AND (\"of the\" OR Und) -ting", "que OR NOT the", "NOT (un OR der) AND en", "\"la \" OR le er")
+
+
+@query("f16_syntax", """
+    select qid, doc_id from documents, (values
+        (0, 'the', 'of the', 'Und', 'ting'), (1, 'que', 'the', '', ''), (2, 'un', 'der', 'en', ''), (3, 'la ', 'le', 'er', '')) q(qid, a, b, c, d)
+    where case qid when 0 then contains(text, a) and (contains(text, b) or contains(text, c)) and not contains(text, d)
+        when 1 then contains(text, a) or not contains(text, b)
+        when 2 then not (contains(text, a) or contains(text, b)) and contains(text, c)
+        else contains(text, a) or (contains(text, b) and contains(text, c)) end""")
+def syntax(t):
+    asked = F.array(*[F.struct(F.lit(i).alias("qid"), K.postfix(q).alias("steps")) for i, q in enumerate(_SYNTAX)])
+    met = F.filter("asked", lambda q: K.holds(F.col("text"), q["steps"]))
+    return t.documents.select("doc_id", "text", asked.alias("asked")).select(F.explode(F.transform(met, lambda q: q["qid"])).alias("qid"), "doc_id")
+
+
+@query("f16_batch_syntax", r"""
+    with w as (select item_id as qid, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as w from benchmark),
+    found as (select qid, doc_id as id from w, documents where contains(text, w[1]) and
+        (contains(text, w[2]) or contains(text, concat(w[3], ' ', w[4]))) and not contains(text, w[5]))
+    select qid, id, cast(row_number() over (partition by qid order by id) as int) as rank
+    from found qualify row_number() over (partition by qid order by id) <= 25""")
+def batch_syntax(t):
+    """One boolean query per question, from its first words: all queries in one reading of the texts."""
+    word = [F.get(X.tokens("text"), i) for i in range(5)]
+    asked = t.benchmark.select(F.col("item_id").alias("qid"), F.concat(
+        word[0], F.lit(" ("), word[1], F.lit(' OR "'), word[2], F.lit(" "), word[3], F.lit('") -'), word[4]).alias("terms"))
+    return keyword_search_many(asked, domain.documents(t).withColumnRenamed("doc_id", "id"), 25, syntax=True)
+
+
 @query("f17_timeline", """
     select code, title, publication_date as date, base_amount as amount, buyer_name as buyer from v_tender
     where starts_with(cpv_code, '1') and publication_date between date '1996-01-01' and date '1998-12-31'""", "v_tender")
