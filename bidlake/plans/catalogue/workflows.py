@@ -1,8 +1,9 @@
 """Business rules over whole tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bidlake.operators import graph, workflows
+from bidlake.operators import clauses, graph, workflows
 from bidlake.plans.catalogue.registry import query
 from bidlake.sources import domain
 
@@ -64,6 +65,57 @@ def change_detection(t):
     return workflows.change_set(edition("closed"), edition("open"), "requirement_id", ["n_lots", "last_lot"])
 
 
+# Two versions of every document: the second drops, edits, moves and adds numbered clauses.
+@query("u3_clauses", r"""
+    with recursive split as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+    old as (select doc_id, pos, concat(pos, '. ', line) as clause from split),
+    revised as (
+        select doc_id, case when pos % 9 = 8 then pos + 4.5 else pos end as place, case when pos % 5 = 4 then clause || ' (rev.)' else clause end as clause
+        from old where pos % 7 <> 3
+        union all select doc_id, pos + 0.25, 'new ' || clause from old where pos % 6 = 1),
+    new as (select doc_id, row_number() over (partition by doc_id order by place) - 1 as pos, clause from revised),
+    met as (select o.doc_id, o.pos as i, n.pos as j, row_number() over (partition by o.doc_id order by o.pos) as s
+            from old o join new n on o.doc_id = n.doc_id and o.clause = n.clause),
+    piles as (
+        select doc_id, cast(0 as bigint) as s, cast([] as bigint[]) as tops, 0 as level from (select distinct doc_id from met)
+        union all
+        select p.doc_id, m.s, tops[1:len(list_filter(tops, lambda x: x < m.j))] || [m.j] || tops[len(list_filter(tops, lambda x: x < m.j)) + 2:],
+               cast(len(list_filter(tops, lambda x: x < m.j)) + 1 as int)
+        from piles p join met m on m.doc_id = p.doc_id and m.s = p.s + 1),
+    levels as (select m.*, p.level from met m join piles p on p.doc_id = m.doc_id and p.s = m.s),
+    behind as (select a.doc_id, a.s, max(b.s) as b from levels a join levels b on a.doc_id = b.doc_id and b.level = a.level - 1 and b.s < a.s group by all),
+    run as (
+        select doc_id, max(s) as s from levels l where level = (select max(level) from levels x where x.doc_id = l.doc_id) group by doc_id
+        union all
+        select r.doc_id, b.b from run r join behind b on b.doc_id = r.doc_id and b.s = r.s),
+    kept as (select m.* from met m join run r on r.doc_id = m.doc_id and r.s = m.s),
+    moved as (select * from met m where not exists (select 1 from run r where r.doc_id = m.doc_id and r.s = m.s)),
+    gone as (
+        select o.doc_id, o.pos, o.clause, (select count(*) from kept k where k.doc_id = o.doc_id and k.i < o.pos) as gap
+        from old o where not exists (select 1 from met m where m.doc_id = o.doc_id and m.i = o.pos)),
+    come as (
+        select n.doc_id, n.pos, n.clause, (select count(*) from kept k where k.doc_id = n.doc_id and k.j < n.pos) as gap
+        from new n where not exists (select 1 from met m where m.doc_id = n.doc_id and m.j = n.pos)),
+    paired as (
+        select coalesce(g.doc_id, c.doc_id) as doc_id, g.pos as old_pos, c.pos as new_pos, g.clause as old_clause, c.clause as new_clause
+        from (select *, row_number() over (partition by doc_id, gap order by pos) as nth from gone) g full join
+             (select *, row_number() over (partition by doc_id, gap order by pos) as nth from come) c
+        on g.doc_id = c.doc_id and g.gap = c.gap and g.nth = c.nth)
+    select doc_id, case when old_pos is null then 'added' when new_pos is null then 'removed' else 'edited' end as change,
+           old_pos, new_pos, old_clause, new_clause from paired
+    union all
+    select m.doc_id, 'moved', i, j, clause, clause from moved m join old o on o.doc_id = m.doc_id and o.pos = m.i""")
+def clause_level(t):
+    numbered = F.concat(F.col("pos").cast("string"), F.lit(". "), F.col("clause"))
+    old = clauses.split_clauses(t.documents, "doc_id", "text").withColumn("clause", numbered)
+    revised = old.filter("pos % 7 <> 3").select(
+        "doc_id", F.when(F.expr("pos % 9 = 8"), F.col("pos") + 4.5).otherwise(F.col("pos").cast("double")).alias("place"),
+        F.when(F.expr("pos % 5 = 4"), F.concat("clause", F.lit(" (rev.)"))).otherwise(F.col("clause")).alias("clause"))
+    added = old.filter("pos % 6 = 1").select("doc_id", (F.col("pos") + 0.25).alias("place"), F.concat(F.lit("new "), "clause").alias("clause"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1
+    return clauses.clause_changes(old, revised.unionByName(added).select("doc_id", nth.alias("pos"), "clause"), "doc_id")
+
+
 @query("u2_distinct_codes", """
     select cpv_code from v_tender intersect select lpad(cast(c_custkey as varchar), 8, '0') from customer""", "v_tender")
 def distinct_codes(t):
