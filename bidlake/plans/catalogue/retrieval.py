@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from bidlake.functions import text as X
 from bidlake.functions.vectors import length_embedding, mean_vector
-from bidlake.operators import evaluation, fusion, graph
+from bidlake.operators import evaluation, fusion, graph, matching
 from bidlake.operators.filtered_search import vector_topk_filtered
 from bidlake.operators.keyword import bm25_search, keyword_search, keyword_search_many
 from bidlake.operators.vector_search import vector_topk, vector_topk_many
@@ -195,6 +195,51 @@ def batch_filters(t):
     return rounded(vector_topk_filtered(questions, domain.vectors(t).join(fields, "id"), 10))
 
 
+# Chunks of a tender for matching: five vectors each, in the order of their ids.
+_CHUNK_VECTORS = "c as (select cast(vec_id // 5 as varchar) as code, vec_id as id, embedding::double[] as v from embeddings)"
+
+
+def chunk_vectors(t):
+    return t.embeddings.select(F.expr("vec_id div 5").cast("string").alias("tender_code"), F.col("vec_id").alias("id"), "embedding")
+
+
+@query("a11_similar_tenders", f"""with {_CHUNK_VECTORS},
+    m as (select code, list(x order by i) as mean from (
+        select code, i, avg(v[i]) as x from c, range(1, 65) r(i) group by all) group by code),
+    known as (select m.code, mean, base_amount, substring(cpv_code, 1, 1) as area from m join v_tender t on t.code = m.code),
+    near as (select a.code as source, b.code as target from known a join known b
+        on b.base_amount >= 0.5 * a.base_amount and b.base_amount <= 2 * a.base_amount and (a.area = b.area or b.area = '7') and a.code <> b.code
+        qualify row_number() over (partition by a.code order by round(list_dot_product(a.mean, b.mean), 9) desc, b.code) <= 8),
+    best as (select source, target, x.id, max(round(list_dot_product(x.v, y.v), 9)) as best
+             from near join c x on x.code = source join c y on y.code = target group by all),
+    scored as (select source, target, round(sum(best), 9) as s from best group by all)
+    select source as code, target as similar, round(s, 6) as score, cast(row_number() over (partition by source order by s desc, target) as int) as rank
+    from scored qualify row_number() over (partition by source order by s desc, target) <= 3""", "v_tender")
+def similar(t):
+    known = domain.tenders(t).withColumn("area", F.substring("cpv_code", 1, 1))
+    either = F.array(*[F.struct(F.struct(a.alias("$eq")).alias("area")) for a in (F.col("area"), F.lit("7"))])
+    filters = F.to_json(F.struct(
+        F.struct((0.5 * F.col("base_amount")).alias("$gte"), (2 * F.col("base_amount")).alias("$lte")).alias("base_amount"), either.alias("$or")))
+    return rounded(matching.similar_tenders(chunk_vectors(t), known, filters, 64, k=3, n_candidates=8))
+
+
+@query("j15_evidence", f"""with {_CHUNK_VECTORS},
+    r as (select distinct tender_code, requirement_id, description from v_lot join v_requirement q on q.id = requirement_id where mandatory),
+    s as (select tender_code, requirement_id, c.id as chunk_id,
+                 round(list_dot_product(c.v, list_transform(range(64), lambda i: length(description) / 1000.0e0 + i / 64.0e0)), 9) as score
+          from r join c on c.code = tender_code)
+    select tender_code, requirement_id, chunk_id, round(score, 6) as score,
+           cast(row_number() over (partition by tender_code, requirement_id order by s.score desc, chunk_id) as int) as rank
+    from s qualify row_number() over (partition by tender_code, requirement_id order by s.score desc, chunk_id) <= 3""", "v_lot v_requirement")
+def evidence(t):
+    """The chunks of its own tender nearest to each mandatory requirement."""
+    required = domain.lots(t).select("tender_code", "requirement_id").distinct().join(
+        domain.requirements(t).filter("mandatory").withColumnRenamed("id", "requirement_id"), "requirement_id")
+    asked = required.select("tender_code", "requirement_id", length_embedding("description", 64).alias("query_vector"))
+    found = matching.nearest_within(asked, chunk_vectors(t), "tender_code", 3, qid_column="requirement_id")
+    return rounded(found.select("tender_code", F.col("qid").alias("requirement_id"), F.col("id").alias("chunk_id"), "score", "rank"))
+
+
 # Every question as a whole is the keyword query: all of its terms must occur in the text.
 _KEYWORD_HITS = r"""
     asked as (select item_id as qid, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as terms
