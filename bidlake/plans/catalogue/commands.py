@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bidlake.operators import graph, relational
+from bidlake.operators import counted_writes, graph, relational
 from bidlake.plans.catalogue.registry import query
 from bidlake.sources import domain
 
@@ -159,6 +159,28 @@ def write_counters(t):
     return graph.write_counters(before, after, "id")
 
 
+@query("c10_graph_counters", """
+    with made as (select count(*) as n from supplier), o as (select * from v_tender where status = 'open'),
+    gone as (select count(distinct t.code) as n, count(l.id) as lots from v_tender t left join v_lot l on l.tender_code = t.code where status = 'published')
+    select made.n as nodes_created, gone.n as nodes_deleted, made.n as relationships_created, gone.lots as relationships_deleted,
+           -- code and title of a new tender, key and both ends of a new edge less the key itself, title of an open one
+           2 * made.n + 2 * made.n + (select count(*) from o) as properties_set from made, gone""", "v_tender v_lot")
+def graph_counters(t):
+    """One write of tenders and their lots; the sink discards the rows, the counters come from the write."""
+    tenders = domain.tenders(t)
+    code = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    merged = t.supplier.select(code.alias("code"), F.col("s_name").alias("title")).unionByName(
+        tenders.filter("status = 'open'").select("code", F.upper("title").alias("title")))
+    deleted = tenders.filter("status = 'published'").select("code")
+    edges = domain.lots(t).select("id", "tender_code")
+    totals = counted_writes.write_counted({
+        "Tender": counted_writes.Change(tenders, "code", merged, deleted),
+        "HAS_LOT": counted_writes.Change(edges, "id", t.supplier.select(F.concat(F.lit("L"), code).alias("id"), code.alias("tender_code")),
+                                         detach=("tender_code", deleted), relationship=True),
+    }, lambda rows, name: rows.write.format("noop").mode("overwrite").save())
+    return t.spark.createDataFrame([tuple(totals.values())], ", ".join(f"{c} long" for c in totals))
+
+
 @query("c12_detach_delete", """
     select case when t.status = 'closed' then null else l.tender_code end as tender_code, count(*) as n
     from v_lot l join v_tender t on t.code = l.tender_code group by 1""", "v_tender v_lot")

@@ -507,6 +507,35 @@ def vector_first(t):
     return retrieval.vector_first(hits, stated.join(mandatory, "requirement_id", "left_semi"))
 
 
+@query("r12_routed", """
+    with q as (select item_id as qid, cast(item_id as varchar) as tender_code,
+                      case item_id % 3 when 0 then concat('Quando? ', text) when 1 then concat('Requisiti: ', text) else text end as question from benchmark),
+    r as (select *, case when contains(lower(question), 'scadenza') or contains(lower(question), 'quando') or contains(lower(question), 'data') then 'graph_only'
+                         when contains(lower(question), 'requisiti') or contains(lower(question), 'obbligatorio') then 'graph_first' else 'vector_first' end as route from q),
+    dates as (select qid, route, 'deadline' as kind, cast(null as double) as score, concat_ws(' ', type, cast(date as varchar), notes) as id,
+                     row_number() over (partition by qid order by date nulls last, type, notes) as rank
+              from r join v_deadline d on d.tender_code = r.tender_code where route = 'graph_only'),
+    stated as (select distinct qid, route, c.id from r join v_lot l on l.tender_code = r.tender_code join v_tender t on t.code = l.tender_code
+               join v_requirement q on q.id = l.requirement_id and q.mandatory join v_chunk c on c.tender_code = q.id where route = 'graph_first'),
+    near as (select qid, route, vec_id as id, round(list_dot_product(embedding::double[],
+                    list_transform(range(64), lambda i: length(question) / 1000.0e0 + i / 64.0e0)), 9) as score from r, embeddings where route = 'vector_first'),
+    hits as (select qid, route, rank, id, kind, score from dates where rank <= 4
+        union all select qid, route, row_number() over (partition by qid order by id), id, 'chunk', null from stated
+            qualify row_number() over (partition by qid order by id) <= 4
+        union all select qid, route, row_number() over (partition by qid order by score desc, id), cast(id as varchar), 'vector', score from near
+            qualify row_number() over (partition by qid order by score desc, id) <= 4)
+    select qid, route, cast(rank as int) as rank, id, kind, round(score, 6) as score from hits""", "v_tender v_lot v_requirement v_deadline v_chunk")
+def routed(t):
+    asked = domain.questions(t).withColumn("question", F.when(F.col("qid") % 3 == 0, F.concat(F.lit("Quando? "), "question"))
+                                           .when(F.col("qid") % 3 == 1, F.concat(F.lit("Requisiti: "), "question")).otherwise(F.col("question")))
+    asked = asked.withColumn("tender_code", F.col("qid").cast("string")).withColumn("query_vector", length_embedding("question", 64))
+    stated = domain.chunk_links(t).select(F.col("tender_code").alias("requirement_id"), F.col("id").alias("chunk_id"))
+    return rounded(retrieval.routed_search(asked, {
+        "graph_only": lambda q: retrieval.deadlines_of(q, domain.deadlines(t), 4),
+        "graph_first": lambda q: retrieval.requirements_of(q, domain.tenders(t), domain.lots(t), domain.requirements(t), stated, 4),
+        "vector_first": lambda q: retrieval.nearest_chunks(q, domain.vectors(t), 4)}))
+
+
 @query("r3_hybrid_many", f"""with {_KEYWORD_HITS},
     q as (select item_id as qid, list_transform(range(64), lambda i: length(text) / 1000.0e0 + i / 64.0e0) as v from benchmark),
     s as (select qid, vec_id as id, round(list_dot_product(embedding::double[], q.v), 9) as score from embeddings, q),

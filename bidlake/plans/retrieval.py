@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlake.functions.text import euros, percent
+from bidlake.functions.text import euros, percent, route
 from bidlake.operators import fusion, graph
 from bidlake.operators.keyword import keyword_search, keyword_search_many
 from bidlake.operators.vector_search import vector_topk, vector_topk_many
@@ -150,3 +150,50 @@ def context_lines(hits: DataFrame) -> DataFrame:
         F.concat(F.lit("TENDER: "), "tender_title", F.lit(" | Buyer: "), "buyer_name", F.lit(" | Amount: "),
                  euros("base_amount")).alias("heading"),
         percent(F.col("score")).alias("relevance"))
+
+
+def deadlines_of(questions: DataFrame, deadlines: DataFrame, k: int = 5) -> DataFrame:
+    """The graph alone: the k earliest deadlines of each question's tender; undated ones come last."""
+    order = Window.partitionBy("qid").orderBy(F.asc_nulls_last("date"), "type", "notes")
+    found = questions.select("qid", "tender_code").join(deadlines, "tender_code")
+    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    named = F.concat_ws(" ", "type", F.col("date").cast("string"), "notes")
+    return found.select("qid", "rank", named.alias("id"), F.lit("deadline").alias("kind"), F.lit(None).cast("double").alias("score"))
+
+
+def requirements_of(questions: DataFrame, tenders: DataFrame, lots: DataFrame, requirements: DataFrame, mentioned_in: DataFrame,
+                    k: int = 5) -> DataFrame:
+    """The graph first: k chunks that state a mandatory requirement of each question's tender."""
+    asked = questions.select("qid", "tender_code")
+    # the chain starts from the tenders asked about, not from all of them
+    own = lots.join(asked.select("tender_code").distinct(), "tender_code", "left_semi")
+    chain = graph.mandatory_requirements(tenders, own, requirements).select("tender_code", "requirement_id").distinct()
+    found = graph.requirement_sections(chain, mentioned_in).select("tender_code", "chunk_id").distinct().join(asked, "tender_code")
+    order = Window.partitionBy("qid").orderBy("chunk_id")
+    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.select("qid", "rank", F.col("chunk_id").alias("id"), F.lit("chunk").alias("kind"), F.lit(None).cast("double").alias("score"))
+
+
+def nearest_chunks(questions: DataFrame, collection: DataFrame, k: int = 5) -> DataFrame:
+    """The vectors first: the k chunks nearest to each question's ``query_vector``."""
+    found = vector_topk_many(questions, collection, k)
+    return found.select("qid", "rank", F.col("id").cast("string").alias("id"), F.lit("vector").alias("kind"), "score")
+
+
+def routed_search(questions: DataFrame, branches: Mapping[str, Callable[[DataFrame], DataFrame]], route_of: Column | None = None) -> DataFrame:
+    """Answer every question by the strategy it is routed to: (qid, route, rank, id, kind, score).
+
+    ``questions`` has ``qid``, ``question`` and what the branches need; ``branches`` maps each strategy to a
+    plan from its questions to (qid, rank, id, kind, score). One small job finds which strategies occur,
+    and the others are not planned at all. A strategy without a branch fails; a null question takes the
+    default strategy; questions without hits have no rows.
+    """
+    dealt = questions.withColumn("route", route(F.coalesce("question", F.lit(""))) if route_of is None else route_of)
+    used = sorted(row.route for row in dealt.select("route").distinct().collect())
+    missing = [name for name in used if name not in branches]
+    if missing:
+        raise ValueError(f"no branch for {', '.join(missing)}")
+    shape = ["qid", "route", "rank", "id", "kind", "score"]
+    found = [branches[name](dealt.filter(F.col("route") == name).drop("route")).withColumn("route", F.lit(name)).select(*shape)
+             for name in used or list(branches)[:1]]
+    return reduce(DataFrame.unionByName, found)
