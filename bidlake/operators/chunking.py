@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidlake.functions.arrays import let, scan
 from bidlake.functions.text import tokens
 
 MAX_TOKENS = 800
@@ -144,54 +145,54 @@ def section_chunks(df: DataFrame, id_column: str, blocks_column: str = "blocks")
     """
     df, id_column = _keyed(df, id_column)
     kept = [c for c in df.columns if c != blocks_column]
-    numbered = df.select(*kept, F.col(blocks_column).alias("_blocks"))
-    count = F.size("_blocks")
-    # positions of headings, with position 0 added when the document opens without one
-    positions = F.filter(
-        F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
-        lambda i: (count > 0) & ((i == 0) | (F.get(F.col("_blocks"), i)["type"] == "heading")))
-    cut = numbered.select(*kept, "_blocks", positions.alias("_cuts"))
-    cut = cut.select(*kept, "_blocks", "_cuts", _open_titles().alias("_paths"))
-
-    def section(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(F.col("_cuts"), k + 1), F.size("_blocks"))
-        head = F.get(F.col("_blocks"), start)
+
+    def cuts(blocks: Column) -> Column:
+        # positions of headings, with position 0 added when the document opens without one
+        flagged = F.transform(blocks, lambda b, i: F.struct(i.alias("at"), ((i == 0) | (b["type"] == "heading")).alias("cut")))
+        return F.transform(F.filter(flagged, lambda x: x["cut"]), lambda x: x["at"])
+
+    def sections(blocks: Column, starts: Column, paths: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(blocks)))
+        return F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end"), paths.alias("path")), lambda x, k: section(blocks, x, k))
+
+    def section(blocks: Column, at: Column, k: Column) -> Column:
+        start, length = at["start"], at["end"] - at["start"]
+        head = F.get(blocks, start)
         titled = head["type"] == "heading"
-        body = F.when(titled, F.slice("_blocks", start + 2, end - start - 1)).otherwise(
-            F.slice("_blocks", start + 1, end - start))
-        span = F.slice("_blocks", start + 1, end - start)
+        span = F.slice(blocks, start + 1, length)
+        body = F.when(titled, F.slice(blocks, start + 2, length - 1)).otherwise(span)
         return F.struct(
             k.alias("section_index"),
             F.when(titled, head["text"]).alias("title"),
             F.when(titled, F.coalesce(head["level"], F.lit(1))).otherwise(0).alias("heading_level"),
-            F.get(F.col("_paths"), k).alias("section_path"),
+            at["path"].alias("section_path"),
             F.array_join(F.transform(body, lambda b: b["text"]), "\n").alias("text"),
             span.alias("blocks"),
             F.array_sort(F.array_distinct(F.transform(span, lambda b: b["page_number"]))).alias("page_numbers"),
         )
 
-    rows = cut.select(*kept, F.explode(F.transform("_cuts", section)).alias("_section"))
+    found = let(F.col(blocks_column), lambda blocks: let(cuts(blocks), lambda starts: let(
+        _open_titles(blocks, starts), lambda paths: F.when(F.size(blocks) > 0, sections(blocks, starts, paths)))))
+    rows = df.select(*kept, F.explode(found).alias("_section"))
     return rows.select(
         F.concat(F.col(id_column).cast("string"), F.lit("#"), F.col("_section.section_index").cast("string")).alias("id"),
         *kept, "_section.*")
 
 
-def _open_titles() -> Column:
-    """Path of every section: a fold over its headings that keeps one open title per level."""
+def _open_titles(blocks: Column, starts: Column) -> Column:
+    """Path of every section: a scan over its headings that keeps one open title per level."""
     levels = range(1, 7)
-    empty = F.array(*[F.lit(None).cast("string") for _ in levels])
-    start = F.struct(empty.alias("open"), F.array().cast("array<string>").alias("paths"))
 
-    def step(state: Column, position: Column) -> Column:
-        head = F.get(F.col("_blocks"), position)
+    def opened(open_: Column, head: Column) -> Column:
         level = F.when(head["type"] == "heading", F.coalesce(head["level"], F.lit(1)))
-        opened = F.array(*[
-            F.when(level.isNull() | (level > i), F.get(state["open"], F.lit(i - 1)))
+        return F.array(*[
+            F.when(level.isNull() | (level > i), F.get(open_, F.lit(i - 1)))
             .when(level == i, head["text"]) for i in levels])
-        return F.struct(opened.alias("open"), F.concat(
-            state["paths"], F.array(F.array_join(F.array_compact(opened), " > "))).alias("paths"))
 
-    return F.aggregate("_cuts", start, step, lambda state: state["paths"])
+    heads = F.transform(starts, lambda at: let(F.get(blocks, at), lambda b: F.struct(b["type"].alias("type"), b["level"].alias("level"), b["text"].alias("text"))))
+    empty = F.array(*[F.lit(None).cast("string") for _ in levels])
+    return scan(heads, empty, opened, lambda open_, head: F.array_join(F.array_compact(opened(open_, head)), " > "),
+                "array<string>", "string")
 
 
 def document_chunks(
@@ -223,16 +224,11 @@ def merge_similar_paragraphs(
     """Semantic chunks: neighbouring paragraphs stay together while their cosine similarity is at
     least ``threshold`` and the chunk stays within ``max_tokens``.
 
-    Paragraphs and their unit vectors come as two arrays of one row; the fold runs in that row.
+    Paragraphs and their unit vectors come as two arrays of one row; the scan, whose state is the
+    number of tokens in the open chunk, runs in that row.
     """
     df, id_column = _keyed(df, id_column)
     kept = [c for c in df.columns if c not in (paragraphs_column, vectors_column)]
-    zipped = F.zip_with(paragraphs_column, vectors_column, lambda p, v: F.struct(p.alias("text"), v.alias("vector")))
-    item_type = "struct<text:string,tokens:int>"
-    start = F.struct(
-        F.array().cast(f"array<{item_type}>").alias("done"),
-        F.lit(None).cast("string").alias("text"), F.lit(0).alias("tokens"),
-        F.lit(None).cast("array<double>").alias("last"))
 
     def cosine(a: Column, b: Column) -> Column:
         def inner(x: Column, y: Column) -> Column:
@@ -240,24 +236,28 @@ def merge_similar_paragraphs(
         both = F.sqrt(inner(a, a)) * F.sqrt(inner(b, b))
         return F.when(both > 0, inner(a, b) / both).otherwise(0.0)
 
-    def step(state: Column, item: Column) -> Column:
-        vector = item["vector"].cast("array<double>")
-        n = F.size(tokens(item["text"]))
-        joins = (state["last"].isNotNull() & (cosine(state["last"], vector) >= threshold)
-                 & (state["tokens"] + n <= max_tokens))
-        closed = F.when(joins | state["text"].isNull(), state["done"]).otherwise(F.concat(
-            state["done"], F.array(F.struct(state["text"].alias("text"), state["tokens"].alias("tokens")))))
-        return F.struct(
-            closed.alias("done"),
-            F.when(joins, F.concat_ws("\n", state["text"], item["text"])).otherwise(item["text"]).alias("text"),
-            F.when(joins, state["tokens"] + n).otherwise(n).alias("tokens"),
-            vector.alias("last"))
-
-    def finish(state: Column) -> Column:
-        return F.when(state["text"].isNull(), state["done"]).otherwise(F.concat(
-            state["done"], F.array(F.struct(state["text"].alias("text"), state["tokens"].alias("tokens")))))
-
-    merged = F.aggregate(zipped, start, step, finish)
+    def items(texts: Column, vectors: Column) -> Column:
+        """Per paragraph its tokens and whether it is like the one before."""
+        before = F.concat(F.array(F.lit(None).cast("array<double>")), F.slice(vectors, 1, F.greatest(F.size(vectors) - 1, F.lit(0))))
+        alike = F.zip_with(before, vectors, lambda a, b: F.coalesce(cosine(a, b) >= threshold, F.lit(False)))
+        return F.zip_with(F.transform(texts, lambda x: F.size(tokens(x))), alike, lambda n, a: F.struct(n.alias("n"), a.alias("alike")))
+
+    def joins(open_: Column, item: Column) -> Column:
+        return F.coalesce(item["alike"] & (open_ + item["n"] <= max_tokens), F.lit(False))
+
+    def chunks(texts: Column, counted: Column) -> Column:
+        joined = scan(counted, F.lit(0), lambda s, x: F.when(joins(s, x), s + x["n"]).otherwise(x["n"]), joins, "int", "boolean")
+        starts = F.transform(F.filter(F.transform(joined, lambda j, i: F.struct(i.alias("at"), j.alias("joined"))), lambda x: ~x["joined"]),
+                             lambda x: x["at"])
+        return let(starts, lambda at: F.zip_with(
+            at, F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(texts))),
+            lambda a, b: F.struct(
+                F.array_join(F.slice(texts, a + 1, b - a), "\n").alias("text"),
+                F.aggregate(F.slice(counted, a + 1, b - a), F.lit(0), lambda s, x: s + x["n"]).alias("tokens"))))
+
+    both = F.struct(F.col(paragraphs_column).alias("texts"), F.col(vectors_column).cast("array<array<double>>").alias("vectors"))
+    merged = let(both, lambda x: let(items(x["texts"], x["vectors"]), lambda counted: F.when(
+        F.size(x["texts"]) > 0, chunks(x["texts"], counted))))
     return df.select(*kept, F.posexplode(merged).alias("chunk_index", "_chunk")).select(
         F.concat(F.col(id_column).cast("string"), F.lit("-"), F.col("chunk_index").cast("string")).alias("id"),
         *kept, "chunk_index", "_chunk.text", F.col("_chunk.tokens").alias("n_tokens"))
