@@ -110,7 +110,8 @@ def html_blocks(df: DataFrame, html_column: str, page_number: int = 1) -> DataFr
     kept = [c for c in df.columns if c != html_column]
 
     def tagged(piece: Column, i: Column) -> Column:
-        inner = F.transform(F.split(piece, _CONTAINER_MARKUP), lambda x: F.struct(F.lit("").alias("tag"), x.alias("markup")))
+        # one character splits without a pattern, which a split would compile for every piece
+        inner = F.transform(F.split(F.regexp_replace(piece, _CONTAINER_MARKUP, _CUT), _CUT), lambda x: F.struct(F.lit("").alias("tag"), x.alias("markup")))
         whole = F.array(F.struct(F.lower(F.substring(piece, 2, 2)).alias("tag"), piece.alias("markup")))
         return F.when(i % 2 == 1, whole).otherwise(inner)
 

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from bidlake.functions.keywords import all_of
 from bidlake.functions.text import WHITESPACE, contains_all, query_terms, tokens
 from bidlake.operators.keyword_batch import matching, parsed
+from bidlake.session import cut_lineage
 
 QUERIES_PER_BLOCK = 200_000
 BLOCK_CHARS = 8_000_000
@@ -60,7 +61,8 @@ def keyword_search_many(
         held = part.toArrow()
         words = held.column("query").to_pylist()
         steps = parsed(words) if syntax else [all_of([x for x in re.split(WHITESPACE, w or "") if x]) for w in words]
-        shared = chunks.sparkSession.sparkContext.broadcast((held.column("qid").to_pylist(), steps))
+        # plain tuples: a broadcast travels without the package
+        shared = chunks.sparkSession.sparkContext.broadcast((held.column("qid").to_pylist(), [[tuple(s) for s in q] for q in steps]))
         found = texts.mapInArrow(matching(shared, not syntax, types), schema)
         hits = found if hits is None else hits.unionByName(found)
     order = Window.partitionBy("qid").orderBy("id")
@@ -73,26 +75,22 @@ def bm25_search(
 ) -> DataFrame:
     """BM25 over lower-cased whitespace tokens: (id, score), rows without any term left out.
 
-    Term counts are taken inside each row, and the collection statistics are one scalar
-    aggregate, so nothing is exploded, joined or shuffled by term.
+    Term counts are taken inside each row in one reading of the texts, and the collection statistics
+    are one scalar aggregate of them, so nothing is exploded, joined or shuffled by term.
     """
     terms = sorted({t.lower() for t in query_terms(query)})
     if not terms:
         raise ValueError("BM25 needs at least one term")
-    # a text without the characters of any term cannot hold it as a token: tokenise the others only
-    any_term = reduce(lambda x, y: x | y, [F.lower(text_column).contains(term) for term in terms])
-    words = tokens(F.lower(text_column))
-
-    def counts(df: DataFrame) -> DataFrame:
-        split = df.select(id_column, words.alias("_tokens"))
-        n = F.size("_tokens")
-        return split.select(id_column, n.alias("_length"), *[
-            (n - F.size(F.array_remove("_tokens", term))).alias(f"_tf{i}") for i, term in enumerate(terms)])
-
-    stats = counts(chunks).agg(F.struct(
+    split = chunks.select(id_column, tokens(F.lower(text_column)).alias("_tokens"))
+    n = F.size("_tokens")
+    # texts are read once: what is left of them is a few numbers a row, for the statistics and the scores
+    counts = cut_lineage(split.select(id_column, n.alias("_length"), *[
+        (n - F.size(F.array_remove("_tokens", term))).alias(f"_tf{i}") for i, term in enumerate(terms)]))
+    stats = counts.agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean_length"),
         *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).alias("s")).scalar()
-    matched = counts(chunks.filter(any_term)).withColumn("_stats", stats)
+    any_term = reduce(lambda x, y: x | y, [F.col(f"_tf{i}") > 0 for i in range(len(terms))])
+    matched = counts.filter(any_term).withColumn("_stats", stats)
     score = F.lit(0.0)
     for i in range(len(terms)):
         n, df, tf = F.col("_stats.n"), F.col(f"_stats.df{i}"), F.col(f"_tf{i}")

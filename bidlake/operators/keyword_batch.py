@@ -1,8 +1,9 @@
 """Many keyword queries against many texts by one automaton per block of queries.
 
-The distinct terms of a block become one multi-pattern automaton, so that a text is read once for all
-of them and is neither exploded nor shuffled. What it finds are (text, term) pairs of an Arrow batch;
-queries are then answered on those pairs alone, conjunctions from their rarest term on.
+A conjunction is looked for by its longest term alone; its other terms are tested on the few texts that
+hold that one. Boolean queries are answered on the (text, term) pairs of an Arrow batch. The terms looked
+for become one multi-pattern automaton, so that a text is read once for all queries of a block and is
+neither exploded nor shuffled.
 """
 
 from __future__ import annotations
@@ -18,91 +19,96 @@ from bidlake.functions.keywords import AND, NOT, TERM, Step, parse
 
 
 class QueryBlock:
-    """Queries in postfix order over shared terms; ``wildcards`` gives ``%`` and ``_`` in terms a meaning."""
+    """Queries in postfix order; ``wildcards`` gives ``%`` and ``_`` in terms a meaning."""
 
     def __init__(self, queries: list[list[Step]], wildcards: bool):
         import ahocorasick
 
-        self.queries = queries
-        terms = {s.term: None for q in queries for s in q if s.op == TERM}
-        self.number = {term: i for i, term in enumerate(terms)}
-        self.patterns: dict[int, re.Pattern] = {}
-        seeds: dict[str, list[int]] = {}
-        self.everywhere: list[int] = []  # terms without a literal character
-        for term, i in self.number.items():
-            pieces = re.split("[%_]", term) if wildcards else [term]
-            if len(pieces) > 1:
-                self.patterns[i] = re.compile("".join(
-                    ".*" if c == "%" else "." if c == "_" else re.escape(c) for c in term.strip("%")), re.DOTALL)
-            seed = max(pieces, key=len)
-            if seed:
-                seeds.setdefault(seed, []).append(i)
+        self.wildcards = wildcards
+        self.patterns: dict[str, re.Pattern] = {}
+        self.boolean: list[tuple[int, list[Step]]] = []
+        self.number: dict[str, int] = {}  # terms of boolean queries
+        self.tests: dict[int, list[str]] = {}  # what a conjunction still asks of a text that holds its anchor
+        self.unanchored: list[int] = []
+        words: dict[str, int] = {}
+        anchored: list[list[int]] = []
+        seeded: list[list[str]] = []
+
+        def word(seed: str) -> int:
+            if seed not in words:
+                words[seed] = len(words)
+                anchored.append([])
+                seeded.append([])
+            return words[seed]
+
+        for q, steps in enumerate(queries):
+            terms = list(dict.fromkeys(s.term for s in steps if s.op == TERM))
+            if all(s.op in (TERM, AND) for s in steps):
+                term, seed = max(((t, self._seed(t)) for t in terms), key=lambda x: len(x[1]), default=("", ""))
+                self.tests[q] = [t for t in terms if t != term or t in self.patterns]
+                if seed:
+                    anchored[word(seed)].append(q)
+                else:
+                    self.unanchored.append(q)
             else:
-                self.everywhere.append(i)
+                self.boolean.append((q, steps))
+                for t in terms:
+                    if t not in self.number:
+                        self.number[t] = len(self.number)
+                        if self._seed(t):
+                            seeded[word(self._seed(t))].append(t)
+        self.anchored, self.seeded = anchored, seeded
+        self.everywhere = [t for t in self.number if not self._seed(t)]  # terms without a literal character
         self.automaton = None
-        self.seeds = list(seeds.values())
-        if seeds:
+        if words:
             self.automaton = ahocorasick.Automaton()
-            for i, seed in enumerate(seeds):
+            for seed, i in words.items():
                 self.automaton.add_word(seed, i)
             self.automaton.make_automaton()
-        self.single = np.array([s[0] if len(s) == 1 and s[0] not in self.patterns else -1 for s in self.seeds], np.int64)
-        self.conjunctions = [{self.number[s.term] for s in q if s.op == TERM} if all(s.op in (TERM, AND) for s in q) else None for q in queries]
 
-    def _pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, term) pairs found, ordered by text."""
-        places: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
-        second = itemgetter(1)
-        for i, text in enumerate(texts):
-            if text and self.automaton is not None:
-                found = set(map(second, self.automaton.iter(text)))
-                places += found
-                counts[i] = len(found)
-        text_of, seed = np.repeat(np.arange(len(texts)), counts), np.array(places, np.int64)
-        plain = self.single[seed] >= 0 if len(seed) else np.zeros(0, bool)
-        rows, terms = [text_of[plain]], [self.single[seed[plain]]]
-        extra: list[tuple[int, int]] = []
-        for i, s in zip(text_of[~plain].tolist(), seed[~plain].tolist()):
-            extra += [(i, t) for t in self.seeds[s] if t not in self.patterns or self.patterns[t].search(texts[i])]
-        for i, text in enumerate(texts) if self.everywhere else ():
-            extra += [(i, t) for t in self.everywhere if text is not None and (t not in self.patterns or self.patterns[t].search(text))]
-        if extra:
-            more = np.array(extra, np.int64)
-            rows.append(more[:, 0])
-            terms.append(more[:, 1])
-        row, term = np.concatenate(rows), np.concatenate(terms)
-        order = np.lexsort((term, row))
-        return row[order], term[order]
+    def _seed(self, term: str) -> str:
+        """The longest literal part of a term; terms with wildcards get their pattern."""
+        if not self.wildcards or not re.search("[%_]", term):
+            return term
+        if term not in self.patterns:
+            self.patterns[term] = re.compile("".join(
+                ".*" if c == "%" else "." if c == "_" else re.escape(c) for c in term.strip("%")), re.DOTALL)
+        return max(re.split("[%_]", term), key=len)
+
+    def _holds(self, term: str, text: str) -> bool:
+        pattern = self.patterns.get(term)
+        return term in text if pattern is None else pattern.search(text) is not None
 
     def answers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(query, text) numbers of all queries that hold."""
-        row, term = self._pairs(texts)
-        order = np.argsort(term, kind="stable")
-        ends = np.searchsorted(term[order], np.arange(len(self.number) + 1))
-        size = np.diff(ends)
-        by_term = row[order]
+        """(query, text) numbers of all queries that hold; a null text holds no term."""
+        asked: list[int] = []
+        rows: list[int] = []
+        places: dict[int, list[int]] = {i: [] for i in self.number.values()}
+        second = itemgetter(1)
+        for i, text in enumerate(texts):
+            for q in self.unanchored:
+                if not self.tests[q] or (text is not None and all(self._holds(t, text) for t in self.tests[q])):
+                    asked.append(q)
+                    rows.append(i)
+            if text is None:
+                continue
+            for t in self.everywhere:
+                if self._holds(t, text):
+                    places[self.number[t]].append(i)
+            for seed in set(map(second, self.automaton.iter(text))) if self.automaton is not None and text else ():
+                for q in self.anchored[seed]:
+                    if all(self._holds(t, text) for t in self.tests[q]):
+                        asked.append(q)
+                        rows.append(i)
+                for t in self.seeded[seed]:
+                    if t not in self.patterns or self._holds(t, text):
+                        places[self.number[t]].append(i)
         every = np.arange(len(texts))
-        asked: list[np.ndarray] = []
-        found: list[np.ndarray] = []
-        for q, needed in enumerate(self.conjunctions):
-            if needed is None:
-                rows = self._evaluate(self.queries[q], lambda t: by_term[ends[t]:ends[t + 1]], every)
-            else:
-                rows = every
-                for t in sorted(needed, key=size.__getitem__):
-                    if not size[t]:
-                        rows = every[:0]
-                        break
-                    held = by_term[ends[t]:ends[t + 1]]
-                    rows = held if rows is every else rows[np.isin(rows, held, assume_unique=True)]
-                    if not len(rows):
-                        break
-            if len(rows):
-                asked.append(np.full(len(rows), q))
-                found.append(rows)
-        nothing = np.zeros(0, np.int64)
-        return np.concatenate([nothing, *asked]), np.concatenate([nothing, *found])
+        found = [(np.array(asked, np.int64), np.array(rows, np.int64))]
+        for q, steps in self.boolean:
+            held = self._evaluate(steps, lambda n: np.array(places[n], np.int64), every)
+            found.append((np.full(len(held), q), held))
+        return np.concatenate([q for q, _ in found]), np.concatenate([r for _, r in found])
 
     def _evaluate(self, steps: list[Step], rows_of: Callable[[int], np.ndarray], every: np.ndarray) -> np.ndarray:
         stack: list[np.ndarray] = []
@@ -121,7 +127,7 @@ def matching(shared, wildcards: bool, types: tuple[pa.DataType, pa.DataType]) ->
     """A task that turns batches of (id, text) into (qid, id); ``shared`` holds the query ids and queries of one block."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries = shared.value
-        block = QueryBlock(queries, wildcards)
+        block = QueryBlock([[Step(*s) for s in q] for q in queries], wildcards)
         ids = pa.array(qids, types[0])
         for batch in batches:
             q, rows = block.answers(batch.column("text").to_pylist())

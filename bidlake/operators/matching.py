@@ -23,8 +23,8 @@ from bidlake.operators.vector_search import _Best, _score, _to_matrix
 from bidlake.session import cut_lineage
 
 BLOCK_ROWS = 16_384
-# Keys cut into blocks are broadcast up to this many; more of them are joined.
-CUT_KEYS = 100_000
+# Up to so many keys of both sides are broadcast with their numbers of blocks; more of them are joined.
+SHARED_KEYS = 100_000
 
 
 def meet_in_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], function: Callable[[pa.Table, pa.Table], pa.Table],
@@ -34,17 +34,17 @@ def meet_in_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], funct
     Both sides have an ``id``. Keys on one side only are left out; null keys meet nothing.
     """
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name)).filter(F.col(name) > 1)
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
 
-    cut = blocks(left, "n_left").join(blocks(right, "n_right"), list(keys), "full_outer")
-    few = cut.limit(CUT_KEYS + 1).count() <= CUT_KEYS
+    # keys of both sides only: the others would cost a task call each for nothing
+    shared = cut_lineage(blocks(left, "n_left").join(blocks(right, "n_right"), list(keys)))
+    few = shared.limit(SHARED_KEYS + 1).count() <= SHARED_KEYS
 
     def side(df: DataFrame, own: str, other: str) -> DataFrame:
-        found = df.join(F.broadcast(cut) if few else cut, list(keys), "left")
-        number = F.pmod(F.xxhash64("id"), F.coalesce(f"n_{own}", F.lit(1)))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"n_{other}", F.lit(1)) - 1))
-        return found.filter(F.concat(*[F.col(k).isNotNull().cast("string") for k in keys]) == "true" * len(keys)).select(
-            *[F.col(c).alias(c) for c in df.columns], number.alias(f"_{own}"), every.alias(f"_{other}"))
+        found = df.join(F.broadcast(shared) if few else shared, list(keys))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1))
+        return found.select(*[F.col(c).alias(c) for c in df.columns],
+                            F.pmod(F.xxhash64("id"), F.col(f"n_{own}")).alias(f"_{own}"), every.alias(f"_{other}"))
 
     place = [*keys, "_left", "_right"]
 
