@@ -1,9 +1,9 @@
 """Toxicity of whole texts: subword-bag embeddings averaged into a linear softmax.
 
 The bag is the n-grams of one word, so a misspelling shares most of its bag with the word that was
-seen. Labels are of documents: a word of a clean document is not toxic; which words of a toxic
-document are starts from words that chance would not keep out of all clean documents, and is then
-relabelled by the model after every round of training. A document scores as its most toxic word, so
+seen. Labels are of documents, some of them wrong: a word may be toxic if most of its documents are,
+by more than their share; training starts from those words for which chance would not do that, and
+the model relabels the others after every round. A document scores as its most toxic word, so
 length does not dilute it; one document in four of the sample is left out of training and turns that
 largest logit into a probability.
 
@@ -29,7 +29,7 @@ SAMPLE_CLEAN = 3000
 SIZES = (3, 5)
 BUCKETS = 1 << 18
 ROUNDS = 2
-EPOCHS = 3
+EPOCHS = 8
 CHANCE = 1e-4
 SURE_LOGIT = 2.0
 BALANCE = 5.0
@@ -81,11 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     pairs = np.unique(text[mine] * np.int64(len(words)) + number[mine])  # a word counts once per document
     by_word, by_doc = pairs % len(words), pairs // len(words)
     in_toxic = np.bincount(by_word, toxic_doc[by_doc], len(words))
-    clean = np.bincount(by_word, ~toxic_doc[by_doc], len(words)) > 0
-    open_ = ~clean & (in_toxic > 0)  # in toxic documents only
-    # words that chance alone would not keep out of every clean document
-    need = np.ceil(np.log(CHANCE) / np.log(toxic_doc.mean()))
-    positive = open_ & (in_toxic >= min(need, in_toxic[open_].max(initial=0)))
+    evidence, open_ = _evidence(in_toxic, np.bincount(by_word, minlength=len(words)), toxic_doc[~left_out].mean())
+    clean = ~open_ & (np.bincount(by_word, ~toxic_doc[by_doc], len(words)) > 0)
+    positive = open_ & (evidence >= min(-np.log(CHANCE), evidence[open_].max(initial=0)))
     grams = bags(words, SIZES, BUCKETS)
     model = ToxicityModel(None)
     for turn in range(ROUNDS):
@@ -106,18 +104,40 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return model
 
 
+def _evidence(in_toxic: np.ndarray, in_all: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per word, how unlikely chance makes its documents as toxic as they are (a bound on -log of the
+    probability), and whether toxic ones are the bulk of them. One wrong label changes both a little."""
+    rate = in_toxic / np.maximum(in_all, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = np.where(rate > 0, rate * np.log(rate / share), 0) + np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - share)), 0)
+    return np.where(rate > share, in_all * gap, 0), rate > (1 + share) / 2
+
+
 def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of y on x with balanced classes, by Newton steps with a slight penalty."""
-    a = np.stack([np.clip(x, -20, 20), np.ones(len(x))], axis=1)
-    weight = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    beta = np.array([1.0, 0.0])
-    for _ in range(30):
+    """Logistic regression of y on x, by damped Newton steps with a slight penalty on the slope. Classes
+    weigh by the square root of what would balance them, half way between all rows and both classes alike."""
+    centre, spread = x.mean(), max(x.std(), 1e-9)
+    weight = np.sqrt(np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
+    a = np.stack([(x - centre) / spread, np.ones(len(x))], axis=1)
+    penalty = np.array([0.05, 0.0])
+
+    def loss(beta: np.ndarray) -> float:
+        z = a @ beta
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (penalty * beta * beta).sum() / 2)
+
+    beta = np.array([1.0, np.log(y.mean() / (1 - y.mean()))])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -50, 50)))
-        gradient = a.T @ (weight * (p - y)) + 0.05 * beta
-        beta = beta - np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(2), gradient)
-        if not np.isfinite(beta).all() or beta[0] <= 0:
-            return 1.0, 0.0
-    return float(beta[0]), float(beta[1])
+        gradient = a.T @ (weight * (p - y)) + penalty * beta
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(penalty) + 1e-9 * np.eye(2), gradient)
+        size = 1.0
+        while size > 1e-4 and not loss(beta - size * step) <= loss(beta):
+            size /= 2
+        beta = beta - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    slope = float(beta[0] / spread)
+    return (slope, float(beta[1] - slope * centre)) if slope > 0 else (1.0, 0.0)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
