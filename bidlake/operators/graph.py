@@ -91,14 +91,15 @@ def chunk_context(chunk_ids: DataFrame, chunks: DataFrame, tenders: DataFrame, i
                 "base_amount", "publication_date", *extra))
 
 
-def related_tenders(tenders: DataFrame, code: str, limit: int = 5) -> DataFrame:
+def related_tenders(tenders: DataFrame, code: str, limit: int = 5, one: DataFrame | None = None) -> DataFrame:
     """Tenders similar to one: 2 for the same CPV division, else 1 for the same buyer.
 
-    The reference row enters as scalar subqueries, so the plan is one scan with a take-ordered.
+    The reference row enters as one scalar subquery, and the rest is a scan with a take-ordered. ``one``
+    is that row where it can be had without reading all tenders.
     """
-    one = tenders.filter(F.col("code") == code)
-    division = one.select(F.substring("cpv_code", 1, 2)).scalar()
-    buyer = one.select("buyer_name").scalar()
+    one = tenders.filter(F.col("code") == code) if one is None else one
+    wanted = one.select(F.struct(F.substring("cpv_code", 1, 2).alias("division"), "buyer_name")).scalar()
+    division, buyer = wanted["division"], wanted["buyer_name"]
     score = (F.when(F.col("cpv_code").startswith(division), 2).when(F.col("buyer_name") == buyer, 1).otherwise(0))
     return (
         tenders.filter(F.col("code") != code).withColumn("similarity_score", score)
@@ -167,9 +168,11 @@ def _as_lists(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.collect_list("e").alias("es"))
 
 
-def same_buyer_and_cpv(tenders: DataFrame, code: str) -> DataFrame:
-    one = tenders.filter(F.col("code") == code)
-    buyer, cpv = one.select("buyer_name").scalar(), one.select("cpv_code").scalar()
+def same_buyer_and_cpv(tenders: DataFrame, code: str, one: DataFrame | None = None) -> DataFrame:
+    """Other tenders of the buyer and CPV code of one; see ``related_tenders`` for ``one``."""
+    one = tenders.filter(F.col("code") == code) if one is None else one
+    wanted = one.select(F.struct("buyer_name", "cpv_code")).scalar()
+    buyer, cpv = wanted["buyer_name"], wanted["cpv_code"]
     return (
         tenders.filter((F.col("code") != code) & (F.col("buyer_name") == buyer) & (F.col("cpv_code") == cpv))
         .select("code", "title", "publication_date", "base_amount").orderBy(*latest_first()))

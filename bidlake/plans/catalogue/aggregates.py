@@ -118,4 +118,4 @@ def embedding_quality(t):
 @query("t9_deadlines", """
     select type, date, notes from v_deadline where tender_code = '5979' order by date nulls last, type, notes""", "v_deadline")
 def deadlines(t):
-    return graph.tender_deadlines(domain.deadlines(t), "5979")
+    return graph.tender_deadlines(domain.deadlines(t, ["5979"]), "5979")

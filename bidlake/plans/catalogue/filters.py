@@ -16,12 +16,12 @@ TENDER = "code, title, cpv_code, base_amount, buyer_name, publication_date"
 
 @query("f1_point", "select * from v_tender where code = '7'", "v_tender")
 def point(t):
-    return relational.point_lookup(domain.tenders(t), "code", "7")
+    return relational.point_lookup(domain.tenders(t, ["7"]), "code", "7")
 
 
 @query("f2_tender_by_code", f"select {TENDER} from v_tender where code = '42'", "v_tender")
 def by_code(t):
-    return graph.tender_by_code(domain.tenders(t), "42")
+    return graph.tender_by_code(domain.tenders(t, ["42"]), "42")
 
 
 @query("f3_optional_filters", "select doc_id, lang, source from documents where lang = 'en' order by doc_id limit 100")
@@ -121,7 +121,7 @@ def batch_syntax(t):
     select code, title, publication_date as date, base_amount as amount, buyer_name as buyer from v_tender
     where starts_with(cpv_code, '1') and publication_date between date '1996-01-01' and date '1998-12-31'""", "v_tender")
 def timeline(t):
-    return graph.timeline(domain.tenders(t), "1", "1996-01-01", "1998-12-31")
+    return graph.timeline(domain.tenders(t, published=("1996-01-01", "1998-12-31")), "1", "1996-01-01", "1998-12-31")
 
 
 @query("f18_search_tenders", """

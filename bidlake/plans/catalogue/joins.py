@@ -27,7 +27,7 @@ def tender_with_lots(t):
            round(coalesce(sum(l.base_amount), 0), 2) as total_lots_amount
     from v_tender t left join v_lot l on l.tender_code = t.code where t.code = '5979' group by all""", "v_tender v_lot")
 def one_tender_with_lots(t):
-    result = graph.tenders_with_lots(domain.tenders(t), domain.lots(t), "5979")
+    result = graph.tenders_with_lots(domain.tenders(t, ["5979"]), domain.lots(t, ["5979"]), "5979")
     return result.withColumn("total_lots_amount", F.round("total_lots_amount", 2))
 
 
@@ -57,7 +57,7 @@ _RELATED = """
 @query("j3_related_tenders", _RELATED.format(source="", rank="") + """
     where t1.code = '42' order by similarity_score desc, t2.publication_date desc nulls first, t2.code limit 5""", "v_tender")
 def related_tenders(t):
-    return graph.related_tenders(domain.tenders(t), "42")
+    return graph.related_tenders(domain.tenders(t), "42", one=domain.tenders(t, ["42"]))
 
 
 @query("j3_related_all", """
@@ -162,7 +162,7 @@ def closure(t):
       on t2.code <> t1.code and t2.buyer_name = t1.buyer_name and t2.cpv_code = t1.cpv_code where t1.code = '140'""",
        "v_tender")
 def same_buyer_cpv(t):
-    return graph.same_buyer_and_cpv(domain.tenders(t), "140")
+    return graph.same_buyer_and_cpv(domain.tenders(t), "140", one=domain.tenders(t, ["140"]))
 
 
 @query("j15_checklist", """

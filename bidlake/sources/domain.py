@@ -7,6 +7,8 @@ buyer), which leaves pruning and pushdown to the readers of the view.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,24 @@ CHUNK_SIZE = 200
 CHUNK_OVERLAP = 30
 
 
-def tenders(t: Tables) -> DataFrame:
-    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+def _keyed(df: DataFrame, key: str, codes: Sequence[str] | None) -> DataFrame:
+    """Rows of some tenders, by the stored number, so that the filter reaches the scan. Codes that are no number
+    name no tender."""
+    if codes is None:
+        return df
+    numbers = [int(c) for c in codes if c.isascii() and c.isdigit() and c == str(int(c))]
+    return df.filter(F.col(key).isin(numbers)) if numbers else df.filter(F.lit(False))
+
+
+def tenders(t: Tables, codes: Sequence[str] | None = None, published: tuple[str, str] | None = None) -> DataFrame:
+    """All tenders, those with the given codes, or those published between two days (both included)."""
+    orders = _keyed(t.orders, "o_orderkey", codes)
+    if published is not None:
+        # in the stored type, with or without a zone, so that the column itself is compared
+        kind = t.orders.schema["o_orderdate"].dataType
+        first, last = (F.to_date(F.lit(day)) for day in published)
+        orders = orders.filter((F.col("o_orderdate") >= first.cast(kind)) & (F.col("o_orderdate") < F.date_add(last, 1).cast(kind)))
+    return orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").cast("string").alias("code"),
         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
         F.lpad((F.col("o_orderkey") % 97 * 1000000 + F.col("o_custkey")).cast("string"), 8, "0").alias("cpv_code"),
@@ -31,11 +49,11 @@ def tenders(t: Tables) -> DataFrame:
     )
 
 
-def lots(t: Tables) -> DataFrame:
-    """Lots with their parent (HAS_LOT) and the requirement each one names (REQUIRES)."""
+def lots(t: Tables, codes: Sequence[str] | None = None) -> DataFrame:
+    """Lots, of some tenders if ``codes`` are given, with their parent (HAS_LOT) and the requirement each one names (REQUIRES)."""
     line = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
     part = F.col("l_partkey").cast("string")
-    return t.lineitem.select(
+    return _keyed(t.lineitem, "l_orderkey", codes).select(
         F.concat(line, F.lit("-"), part, F.lit("-"), F.col("l_suppkey").cast("string")).alias("id"),
         F.col("l_orderkey").cast("string").alias("tender_code"),
         line.alias("lot_code"),
@@ -62,8 +80,8 @@ def related_requirements(t: Tables) -> DataFrame:
     )
 
 
-def deadlines(t: Tables) -> DataFrame:
-    return t.lineitem.select(
+def deadlines(t: Tables, codes: Sequence[str] | None = None) -> DataFrame:
+    return _keyed(t.lineitem, "l_orderkey", codes).select(
         F.col("l_orderkey").cast("string").alias("tender_code"),
         F.col("l_returnflag").alias("type"),
         F.col("l_shipdate").cast("date").alias("date"),
