@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from bidlake.functions import text as X
+from bidlake.functions.language import detect_language, language_profiles
 from bidlake.functions.vectors import length_embedding
 from bidlake.operators.chunking import document_chunks, html_blocks, merge_similar_paragraphs, section_chunks, token_chunks
 from bidlake.plans import ingest, retrieval
@@ -134,6 +135,22 @@ def language(t):
     return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("d9_detected", r"""
+    with s as (select doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' as s from documents),
+    c as (select doc_id, lang, string_split(s, '') as c from s where trim(s) <> ''),
+    g as (select doc_id, lang, c[i] || c[i + 1] || c[i + 2] as gram from (select *, unnest(range(1, len(c) - 1)) as i from c)),
+    p as (select lang, gram, row_number() over (partition by lang order by count(*) desc, gram) as rank from g where lang is not null
+          group by lang, gram qualify rank <= 300),
+    d as (select doc_id, gram, row_number() over (partition by doc_id order by count(*) desc, gram) as rank from g
+          group by doc_id, gram qualify rank <= 300),
+    o as (select doc_id, lang, sum(abs(d.rank - p.rank) - 300) as off from d join p using (gram) group by doc_id, lang),
+    n as (select doc_id, lang from o qualify row_number() over (partition by doc_id order by off, lang) = 1)
+    select doc_id, n.lang as detected from documents left join n using (doc_id)""")
+def detected(t):
+    profiles = language_profiles(t.documents, "lang", "text")
+    return detect_language(t.documents, profiles, "doc_id", "text")
+
+
 @query("d10_similar_paragraphs", r"""
     with recursive ps as (select doc_id, list_filter(string_split(text, chr(10)), lambda p: trim(p, ' ') <> '') as parts from documents),
     par as (select doc_id, unnest(parts) as body, unnest(range(len(parts))) as n from ps),
