@@ -9,6 +9,9 @@ from bidlake.llm.common import mixed
 GRAM = 16  # bytes of the strings that anchors are chosen from
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
+_WIDE, _NARROW = 0xD6E8FEB86659FD93, 1_398_269_437
+_PRIME = np.uint64((1 << 31) - 1)
+_TABLE = 4096
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -70,14 +73,34 @@ def anchors(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarr
 
 
 def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of every data[begin:end], from running sums of two polynomials."""
-    out = np.zeros(len(begins), np.uint64)
-    for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_powers(base, len(data)) * (data.astype(np.uint64) + np.uint64(1)), out=sums[1:])
-        # divided by the power of the first place, so that equal bytes give equal values anywhere
-        out = mixed(out * np.uint64(31) + (sums[ends] - sums[begins]) * _powers(pow(base, -1, 1 << 64), len(data) + 1)[begins])
-    return out
+    """A hash of every data[begin:end], from running sums of two polynomials.
+
+    Modulo a power of two alone, some long unlike strings agree under every odd base (the Thue-Morse
+    word and its complement); the second polynomial is taken modulo a prime.
+    """
+    value = data.astype(np.uint64) + np.uint64(1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_powers(_WIDE, len(data)) * value, out=sums[1:])
+    # divided by the power of the first place, so that equal bytes give equal values anywhere
+    wide = (sums[ends] - sums[begins]) * _powers(pow(_WIDE, -1, 1 << 64), len(data) + 1)[begins]
+    low, high = _prime_powers(_NARROW, len(data) + 1)
+    terms = (high[:, None] * low % _PRIME).ravel()[:len(data)]
+    np.cumsum(terms * value % _PRIME, out=sums[1:])  # below 2 ** 64 for any text
+    low, high = _prime_powers(pow(_NARROW, -1, int(_PRIME)), len(data) + 1)
+    at = begins.astype(np.int64)
+    narrow = (sums[ends] - sums[begins]) % _PRIME * (high[at // _TABLE] * low[at % _TABLE] % _PRIME) % _PRIME
+    return mixed(mixed(wide) * np.uint64(31) + narrow)
+
+
+def _prime_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** 0 ... base ** 4095 and every 4096th power modulo the prime, enough for n powers."""
+    low = [1]
+    for _ in range(_TABLE - 1):
+        low.append(low[-1] * base % int(_PRIME))
+    step, high = low[-1] * base % int(_PRIME), [1]
+    for _ in range(n // _TABLE):
+        high.append(high[-1] * step % int(_PRIME))
+    return np.array(low, np.uint64), np.array(high, np.uint64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:

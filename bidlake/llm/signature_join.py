@@ -1,6 +1,6 @@
 """N-gram Jaccard join with signature trees.
 
-1. Equal shingle sets are one class, kept under its smallest doc_id.
+1. Equal shingle sets are one class, known by two hashes of the set.
 2. Tokens in the lower half of the hash space (all tokens of small sets) are counted over the corpus in
    packed arrays. A set of n tokens that links needs 3/4 of them in another set, so at most n/4 of
    those counted may be unshared; every other class is settled here. The bound is exact.
@@ -141,30 +141,60 @@ def _linked(ids: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links per row of ``docs`` (doc_id, text).
 
-    Texts without words, and null texts, have no shingles and link with nothing. Rows of one doc_id
-    are one node; a row with a null doc_id has a null component and links with nothing. ``n_links``
-    counts the other rows whose text links with the text of this row. Other columns are not read. No
-    rows give no rows.
+    Texts without words, and null texts, have no shingles and link with nothing. Every row is a node,
+    also where rows share a doc_id: ``component_id`` is the smallest doc_id among the rows that a row
+    reaches, and ``n_links`` counts the other rows whose text links with its text. A row with a null
+    doc_id has a null component and links with nothing. Other columns are not read. No rows give no rows.
     """
+    return _grouped(docs).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), "n_links")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies, with all their columns, whatever their names.
+
+    Of linked rows, that with the smallest doc_id stays (the smallest hash of the text where one
+    doc_id has several texts); of rows that repeat doc_id and text one stays, whichever. Rows
+    without words or without a doc_id stay. No rows give no rows.
+    """
+    rows = stage(_grouped(docs).filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_key").agg(
+        F.count("*").alias("times"), F.first("first").alias("first")), "groups")
+    key = [F.col("row.doc_id").cast("long") == F.col("doc_id"), F.xxhash64(F.col("row.text").cast("string")) == F.col("text_key")]
+    whole = docs.select(F.struct("*").alias("row"))
+    copies = rows.filter("first <> struct(doc_id, text_key)").select("doc_id", "text_key")
+    repeated = rows.filter("times > 1 and first = struct(doc_id, text_key)").select("doc_id", "text_key")
+    single = whole.join(copies.unionByName(repeated), key, "left_anti")
+    # one row of each repeat, cut in every task before the shuffle
+    one = whole.join(repeated, key).groupBy("doc_id", "text_key").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(one).select("row.*")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, first, n_links per row; ``first`` is the least (doc_id, text_key)
+    that a row reaches, and ``text_key`` a hash of the text that tells texts of one doc_id apart."""
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stage(kept.mapInArrow(_summary, "doc_id long, n long, counted long, h1 long, h2 long"), "sets")
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "counted", "h1", "h2").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    kept = kept.withColumn("text_key", F.xxhash64("text"))
+    rows = stage(kept.mapInArrow(_summary, "doc_id long, text_key long, n long, counted long, h1 long, h2 long"), "sets")
+    linkable = rows.filter("n > 0 and doc_id is not null")
+    classes = linkable.groupBy("n", "counted", "h1", "h2").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("copies"))
     total = rows.agg(F.coalesce(F.sum("counted"), F.lit(0))).first()[0]
     buckets = max(-(-total // BUCKET_TOKENS), 1)
     shared = kept.filter("doc_id is not null").mapInArrow(
-        lambda batches: _deal(batches, buckets), "bucket int, docs binary, tokens binary"
+        lambda batches: _deal(batches, buckets), "bucket int, sets binary, tokens binary"
     ).groupBy("bucket").applyInArrow(
         lambda key, table: _shared(table, buckets), "part int, counts binary"
-    ).groupBy("part").applyInArrow(_summed, "doc_id long, shared long")
+    ).groupBy("part").applyInArrow(_summed, "c1 long, shared long")
     overlap = F.ceil(F.col("n") * PERCENT / 100)
-    open_ = classes.join(shared, F.col("id") == F.col("doc_id")).filter(
+    open_ = classes.join(shared, F.col("h1") == F.col("c1")).filter(
         F.col("shared") >= F.greatest(F.col("counted") - (F.col("n") - overlap), F.lit(1)))
-    open_ = open_.select("id", F.col("h1").alias("c1"), F.col("h2").alias("c2"), "copies")
-    whole = kept.join(open_, F.col("doc_id") == F.col("id")).select("doc_id", "text", "c1", "c2", "copies")
-    sets = stage(whole.mapInArrow(_sets, "id long, n long, copies long, tokens binary").dropDuplicates(["id"]), "open_sets")
-
-    tokens = sets.mapInArrow(_token_rows, "id long, n long, token long")
+    open_ = open_.select("first", "c1", F.col("h2").alias("c2"), "copies")
+    whole = kept.join(open_, (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).select(
+        "text", "first", "c1", "c2", "copies")
+    distinct = whole.mapInArrow(_sets, _SETS).dropDuplicates(["c1", "c2", "n"])
+    # the numbers are written once, so every later read agrees on them
+    sets = stage(distinct.withColumn("id", F.monotonically_increasing_id()), "open_sets")
+
+    tokens = sets.select("id", "n", "tokens").mapInArrow(_token_rows, "id long, n long, token long")
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     held = tokens.join(frequent, "token")
     per_set = Window.partitionBy("id")
@@ -172,23 +202,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prefix = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1) - (F.col("n") - F.count("*").over(per_set))
     ranked = held.withColumns({"allowed": prefix, "r": F.row_number().over(per_set.orderBy("df", "token"))})
     chosen = stage(ranked.filter("r <= allowed").select("token", "id"), "prefixes")
-    first = chosen.groupBy("token").agg(F.min("id").alias("a"))
-    cells = components(chosen.join(first, "token").select("a", F.col("id").alias("b")).distinct())
+    least = chosen.groupBy("token").agg(F.min("id").alias("a"))
+    cells = components(chosen.join(least, "token").select("a", F.col("id").alias("b")).distinct())
     order = Window.partitionBy("cell").orderBy("n", "id")
-    placed = sets.join(cells.select("id", F.col("component").alias("cell")), "id").withColumn(
+    placed = sets.select("id", "n", "copies", "tokens").join(cells.select("id", F.col("component").alias("cell")), "id").withColumn(
         "block", F.floor((F.row_number().over(order) - 1) / BLOCK_SETS).cast("int"))
     placed = stage(placed, "blocks")
     links = stage(placed.groupBy("cell", "block").applyInArrow(_within, _LINKS).unionByName(_across(placed)), "links")
-    groups = components(links)
-    counts = links.groupBy(F.col("a").alias("counted_id")).agg(F.sum("links").alias("links"))
-    numbered = classes.withColumnRenamed("id", "class_id").join(counts, F.col("class_id") == F.col("counted_id"), "left")
-
-    members = rows.filter("n > 0 and doc_id is not null").join(numbered, ["n", "counted", "h1", "h2"])
-    named = members.join(groups, F.col("class_id") == F.col("id"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"),
+    counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    # each linked class with the least row of its component
+    linked = components(links).join(sets.select("id", "n", F.col("c1").alias("h1"), F.col("c2").alias("h2"), "first"), "id")
+    names = linked.groupBy("component").agg(F.min("first").alias("reached"))
+    linked = linked.join(names, "component").join(counts, "id", "left").select("n", "h1", "h2", "reached", "links")
+    numbered = classes.join(linked, ["n", "h1", "h2"], "left").select(
+        "n", "counted", "h1", "h2", F.coalesce("reached", "first").alias("first"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+    named = linkable.join(numbered, ["n", "counted", "h1", "h2"]).select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), "first", "n_links")
     alone = rows.filter("n = 0 or doc_id is null").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.struct("doc_id", "text_key").alias("first"),
+        F.lit(0).cast("long").alias("n_links"))
     return named.unionByName(alone)
 
 
@@ -250,19 +284,23 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.concatenate([[0], np.cumsum(tokens < _HALF)])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         counted = np.where(sizes < SMALL_SET, sizes, low[ends[1:]] - low[ends[:-1]])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (
-            sizes.astype(np.int64), counted.astype(np.int64), h1.view(np.int64), h2.view(np.int64)))], ["doc_id", "n", "counted", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *map(pa.array, (
+            sizes.astype(np.int64), counted.astype(np.int64), h1.view(np.int64), h2.view(np.int64)))],
+            ["doc_id", "text_key", "n", "counted", "h1", "h2"])
 
 
-_DOC = np.dtype([("id", "<i8"), ("set", "<u4"), ("upper", "<u4"), ("count", "<u4")])
+_SET = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("upper", "<u4"), ("count", "<u4")])
 
 
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Counted tokens (32 bits each) dealt by hash, with the documents they come from."""
-    for batch, data, starts in text_steps(batches, step_bytes=SMALL_STEP_BYTES):
+    """Counted tokens (32 bits each) dealt by hash, with the sets they come from. Equal sets of one
+    step are dealt once, so that a large group of copies sends little to any bucket."""
+    for _, data, starts in text_steps(batches, step_bytes=SMALL_STEP_BYTES):
         tokens, sizes = shingle_sets(data, starts)
-        h1, _ = _hashes(tokens, sizes)
-        keep = _counted(tokens, sizes)
+        h1, h2 = _hashes(tokens, sizes)
+        once = np.zeros(len(sizes), bool)
+        once[np.unique(np.stack([h1, h2], axis=1), axis=0, return_index=True)[1]] = True
+        keep = _counted(tokens, sizes) & np.repeat(once, sizes)
         owner = np.repeat(np.arange(len(sizes)), sizes)[keep]
         # upper-half tokens count only for sets judged by all their tokens
         upper = (tokens[keep] >= _HALF) & (sizes[owner] >= SMALL_SET)
@@ -270,43 +308,46 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         short = (tokens[keep] >> np.uint64(31)).astype(np.uint32)
         order = np.lexsort((upper, owner, bucket))
         owner, bucket, short, upper = owner[order], bucket[order], short[order], upper[order]
-        ids = batch.column("doc_id").to_numpy()
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[k], cuts[k + 1])
             used, count = np.unique(owner[part], return_counts=True)
-            docs = np.zeros(len(used), _DOC)
-            docs["id"], docs["set"], docs["count"] = ids[used], h1[used].astype(np.uint32), count
-            docs["upper"] = np.bincount(np.searchsorted(used, owner[part]), upper[part], len(used)).astype(np.uint32)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "docs": pa.array([docs.tobytes()], pa.binary()),
+            sets = np.zeros(len(used), _SET)
+            sets["h1"], sets["h2"], sets["count"] = h1[used].view(np.int64), h2[used].view(np.int64), count
+            sets["upper"] = np.bincount(np.searchsorted(used, owner[part]), upper[part], len(used)).astype(np.uint32)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "sets": pa.array([sets.tobytes()], pa.binary()),
                                               "tokens": pa.array([short[part].tobytes()], pa.binary())})
 
 
-_COUNT = np.dtype([("id", "<i8"), ("shared", "<u4")])
+_COUNT = np.dtype([("h1", "<i8"), ("shared", "<u4")])
 
 
 def _shared(table: pa.Table, parts: int) -> pa.Table:
-    """Per document of a bucket, packed and dealt by doc_id, how many of its judged tokens another set holds too. Different tokens
+    """Per set of a bucket, packed and dealt by its hash, how many of its judged tokens another set holds too. Different tokens
     that agree in 32 bits count as shared, which keeps a class open but settles none wrongly."""
-    docs = np.concatenate([np.frombuffer(x, _DOC) for x in table.column("docs").to_pylist()])
+    sets = np.concatenate([np.frombuffer(x, _SET) for x in table.column("sets").to_pylist()])
     tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()])
-    count = docs["count"].astype(np.int64)
-    pairs = np.sort((tokens.astype(np.uint64) << np.uint64(32)) | np.repeat(docs["set"], count))
+    # several steps may have sent equal sets; one of each is enough
+    once = np.sort(np.unique(sets[["h1", "h2"]], return_index=True)[1])
+    each = sets["count"].astype(np.int64)
+    tokens, sets = tokens[ranges((np.cumsum(each) - each)[once], each[once])], sets[once]
+    count = sets["count"].astype(np.int64)
+    owner = np.repeat(np.arange(len(sets)), count)
+    pairs = np.sort((tokens.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64))
     pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] >> np.uint64(32)
     shared = np.unique(pairs[1:][pairs[1:] == pairs[:-1]])
-    owner = np.repeat(np.arange(len(docs)), count)
     place = np.searchsorted(shared, tokens)
     hit = shared[np.minimum(place, max(len(shared) - 1, 0))] == tokens if len(shared) else np.zeros(len(tokens), bool)
-    # the last ``upper`` tokens of a document here are only for others to meet
+    # the last ``upper`` tokens of a set here are only for others to meet
     after = np.arange(len(tokens)) - np.repeat(np.cumsum(count) - count, count)
-    hit &= after < np.repeat(count - docs["upper"].astype(np.int64), count)
-    total = np.bincount(owner, hit, len(docs)).astype(np.int64)
+    hit &= after < np.repeat(count - sets["upper"].astype(np.int64), count)
+    total = np.bincount(owner, hit, len(sets)).astype(np.int64)
     some = np.flatnonzero(total > 0)
-    part = (mixed(np.ascontiguousarray(docs["id"][some]).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    part = (mixed(np.ascontiguousarray(sets["h1"][some]).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
     some = some[np.argsort(part, kind="stable")]
     part = np.sort(part)
     rows = np.zeros(len(some), _COUNT)
-    rows["id"], rows["shared"] = docs["id"][some], total[some]
+    rows["h1"], rows["shared"] = sets["h1"][some], total[some]
     cuts = np.searchsorted(part, np.arange(parts + 1))
     full = np.flatnonzero(np.diff(cuts))
     out = pa.table({"part": pa.array(full.astype(np.int32)),
@@ -317,22 +358,25 @@ def _shared(table: pa.Table, parts: int) -> pa.Table:
 
 
 def _summed(key: tuple, table: pa.Table) -> pa.Table:
-    """Shared tokens of each document over all buckets."""
+    """Shared tokens of each set over all buckets. Unlike sets that agree in one hash are summed, which leaves them open."""
     rows = np.concatenate([np.frombuffer(x, _COUNT) for x in table.column("counts").to_pylist()])
-    ids, place = np.unique(rows["id"], return_inverse=True)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()),
+    ids, place = np.unique(rows["h1"], return_inverse=True)
+    return pa.table({"c1": pa.array(ids, pa.int64()),
                      "shared": pa.array(np.bincount(place, rows["shared"], len(ids)).astype(np.int64))})
 
 
+_SETS = "first struct<doc_id: long, text_key: long>, c1 long, c2 long, n long, copies long, tokens binary"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the rows whose class is open (a doc_id may have rows of other classes)."""
+    """Whole sets of the rows whose class is open (rows that agree in the key of a row may be of other classes)."""
     for batch, data, starts in text_steps(batches, step_bytes=SMALL_STEP_BYTES):
         tokens, sizes = shingle_sets(data, starts)
         h1, h2 = _hashes(tokens, sizes)
         own = (h1.view(np.int64) == batch.column("c1").to_numpy()) & (h2.view(np.int64) == batch.column("c2").to_numpy())
         ends = np.concatenate([[0], np.cumsum(sizes)])
         rows = np.flatnonzero(own)
+        taken = {c: batch.column(c).take(pa.array(rows)) for c in ("first", "c1", "c2", "copies")}
         yield pa.RecordBatch.from_pydict({
-            "id": batch.column("doc_id").take(pa.array(rows)), "n": pa.array(sizes[rows].astype(np.int64)),
-            "copies": batch.column("copies").take(pa.array(rows)),
-            "tokens": pa.array([tokens[ends[i]:ends[i + 1]].tobytes() for i in rows], pa.binary())})
+            "first": taken["first"], "c1": taken["c1"], "c2": taken["c2"], "n": pa.array(sizes[rows].astype(np.int64)),
+            "copies": taken["copies"], "tokens": pa.array([tokens[ends[i]:ends[i + 1]].tobytes() for i in rows], pa.binary())})

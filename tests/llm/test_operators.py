@@ -309,6 +309,57 @@ def test_every_link_is_counted(spark, monkeypatch, block):
     assert {r.doc_id: r.n_links for r in got} == {**want, None: 0}
 
 
+def _row_groups(rows):
+    """(links, least doc_id reached, place of the row that stays) of every row (doc_id, text), by brute force."""
+    sets = [_set(t) if d is not None else set() for d, t in rows]
+    linked = lambda i, j: bool(sets[i]) and i != j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    top = _roots(list(range(len(rows))), linked)
+    out = []
+    for i, (d, _) in enumerate(rows):
+        group = [j for j in top if top[j] == top[i]]
+        out.append((sum(linked(i, j) for j in group), d if d is None else min(rows[j][0] for j in group), top[i]))
+    return out
+
+
+def test_join_of_repeated_ids_with_unlike_texts(spark):
+    a, b = [" ".join(f"{x}{i}" for i in range(80)) for x in "ab"]
+    rows = [(5, a), (5, b), (7, b.replace("b40", "z")), (8, a.replace("a40", "z")), (8, a), (8, a), (9, "alone"), (None, a), (4, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = signature_join.near_duplicates(docs).collect()
+    want = [(d, len(_set(t)), c, n) for (d, t), (n, c, _) in zip(rows, _row_groups(rows), strict=True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {(r.doc_id, r.n_links) for r in got if r.doc_id in (7, 8)} == {(7, 1), (8, 3)}
+    left = signature_join.one_of_each_group(docs.withColumns({"row": F.lit(1), "first": F.lit(2), "text_key": F.lit("x")}))
+    assert left.columns == ["doc_id", "text", "row", "first", "text_key"]
+    assert sorted(map(str, map(tuple, left.select("doc_id", "text").collect()))) == sorted(
+        map(str, [(5, a), (5, b), (9, "alone"), (None, a), (4, ""), (4, None)]))
+    assert {tuple(r)[2:] for r in left.collect()} == {(1, 2, "x")}
+    assert signature_join.one_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_join_of_random_repeated_ids(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randint(0, 300)}" for _ in range(70)] for _ in range(5)]
+    rows = []
+    for _ in range(60):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(70)] = f"x{rng.randint(0, 9)}"
+        rows.append((rng.randint(0, 14), " ".join(words)))
+    got = signature_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(d, len(_set(t)), c, n) for (d, t), (n, c, _) in zip(rows, _row_groups(rows), strict=True)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_unlike_long_words_have_unlike_hashes(spark):
+    word = [0]
+    while len(word) < 2048:
+        word += [1 - x for x in word]
+    texts = ["".join("ab"[x] for x in word), "".join("ba"[x] for x in word)]
+    got = signature_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.n_links) for r in got} == {(0, 0, 0), (1, 1, 0)}
+
+
 def _removed(texts, window):
     raw = [(t or "").encode() for t in texts]
     seen = {}
