@@ -171,22 +171,26 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` whose text is not rejected, with all their columns."""
-    columns = docs.columns
-    scored = docs.withColumn("_letters", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    """The rows of ``docs`` whose text is not rejected, with all their columns, whatever their names.
+
+    Null texts, texts without a letter and, if no language was learnt, all texts are rejected. Repeated
+    rows are judged each; null ids stay null. An empty table gives no rows.
+    """
+    letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+    nested = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), letters.alias("letters"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in text_steps(_with_lowered(batches), "_lower", SMALL_STEP_BYTES):
-            known = batch.column("_letters").to_numpy(zero_copy_only=False)
+        for batch, data, starts in text_steps(_with_lowered(batches), "lower", SMALL_STEP_BYTES):
+            known = batch.column("letters").to_numpy(zero_copy_only=False)
             if model.model is None:
                 known = np.zeros(len(known), bool)
             else:
                 known = known & model.judged(data, starts)[2]
-            yield batch.select(columns).filter(pa.array(known))
+            yield batch.select(["row"]).filter(pa.array(known))
 
-    return scored.mapInArrow(keep, docs.schema)
+    return nested.mapInArrow(keep, nested.select("row").schema).select("row.*")
 
 
 def _with_lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.append_column("_lower", lowered(batch.select(["text"])).column("text"))
+        yield batch.select(["row", "letters"]).append_column("lower", lowered(batch.select(["text"])).column("text"))

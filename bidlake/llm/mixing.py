@@ -48,20 +48,23 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_re
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT,
-        importance: str | None = None, seed: str = SEED) -> DataFrame:
+        importance: str | None = None, seed: str = SEED, key: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (= copies * size) per row of ``docs``.
 
     ``docs`` has doc_id, source, text. Size is the number of words; a null text has none and is taken
     with no words. A null source is a source of its own. Equal doc_ids draw equal numbers; rows that
     also agree in size are interchangeable. No rows give no rows. ``importance`` names a positive
-    column; documents it would lift above ``max_repeat`` copies stop there.
+    column; documents it would lift above ``max_repeat`` copies stop there. ``key`` names a column that
+    every row of the result carries as ``row_key``.
     """
+    carried = [F.col(key).alias("row_key")] if key else []
+    kept = ["row_key"] if key else []
     wish = F.col(importance).cast("double") if importance else F.lit(1.0)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10)
     sized = stage(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        wish.alias("wish"), ((draw.cast("double") + 0.5) / float(1 << 52)).alias("u")), "sized")
+        wish.alias("wish"), ((draw.cast("double") + 0.5) / float(1 << 52)).alias("u"), *carried), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.col("wish") * F.col("size")).alias("wished"))
     targets = source_targets(totals, weights, max_repeat).join(
         totals.select(F.col("source").alias("s2"), "wished"), F.col("source").eqNullSafe(F.col("s2")))
@@ -72,19 +75,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     left, right = sized.withColumn("salt", salt).alias("l"), salted.alias("r")
     joined = left.join(right, (F.col("l.salt") == F.col("r.salt")) & F.col("l.source").eqNullSafe(F.col("r.source")))
     rate = F.when(F.col("wished") > 0, F.col("target") * F.col("wish") / F.col("wished")).otherwise(0.0)
-    drawn = joined.select("doc_id", "l.source", "size", "source_size", "target", "u", F.least(rate, F.lit(float(max_repeat))).alias("rate"))
+    drawn = joined.select("doc_id", "l.source", "size", "source_size", "target", "u", F.least(rate, F.lit(float(max_repeat))).alias("rate"), *kept)
     p = F.col("rate") - F.floor("rate")
     rank = F.when(p > 0, F.col("u") * (1 - p) / (F.col("u") * (1 - p) + (1 - F.col("u")) * p))
     ranked = stage(drawn.select(
         "doc_id", "source", "size", "source_size", "target", F.floor("rate").alias("whole"), rank.alias("rank"),
-        F.floor(rank * BUCKETS).alias("b1"), F.floor(rank * (BUCKETS * BUCKETS)).alias("b2")), "ranked")
+        F.floor(rank * BUCKETS).alias("b1"), F.floor(rank * (BUCKETS * BUCKETS)).alias("b2"), *kept), "ranked")
 
     lacking = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("lack"))
     first = _cut(ranked.filter("rank is not null"), "b1", lacking.withColumn("ahead", F.lit(0)))
     inside = _inside(ranked, first, "b1")
     second = _cut(inside, "b2", first.select("source", "lack", "ahead"))
     last = _inside(inside, second, "b2")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", *kept)
     before = F.col("ahead") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     close = last.join(_plain(second), F.col("source").eqNullSafe(F.col("s2"))).withColumn(
         "more", (2 * before + F.col("size") <= 2 * F.col("lack")).cast("int"))
@@ -97,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     closing = F.coalesce((F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2")), F.lit(False))
     more = F.when(F.col("b1") < F.col("c1"), 1).when((F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2")), 1).otherwise(0)
     rest = rest.filter(~closing).withColumn("more", more)
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "size", "source_size", "target", *kept]
     copies = (F.col("whole") + F.col("more")).cast("long")
     both = rest.select(*columns, copies.alias("copies")).unionByName(close.select(*columns, copies.alias("copies")))
     return both.withColumn("taken", F.col("copies") * F.col("size"))
@@ -130,10 +133,15 @@ def _inside(rows: DataFrame, cut: DataFrame, bucket: str) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; rows it does not take are left out."""
-    wanted = mix(docs, **options).filter("copies > 0").groupBy(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_words": size})
-    taken = keyed.join(wanted, (F.col("_key") == F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it; rows it does not take are left out.
+
+    All columns stay, whatever their names. Rows are told apart by a number that is written with
+    them, so null and repeated doc_ids get what the mix decides for each row. No rows give no rows.
+    """
+    nested = stage(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct("*").alias("row")), "rows")
+    wish = options.get("importance")
+    columns = ["doc_id", "source", "text", *([wish] if wish else [])]
+    read = nested.select("row_key", *(F.col("row").getField(c).alias(c) for c in dict.fromkeys(columns)))
+    wanted = mix(read, key="row_key", **options).filter("copies > 0").select("row_key", "copies")
+    return nested.join(wanted, "row_key").select(
+        "row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")

@@ -124,11 +124,13 @@ def repeated_windows(lengths: np.ndarray, data: np.ndarray, window: int, batch_b
     return context, marked - (np.cumsum(windows) - windows)[context]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key of a row; equal rows share it."""
-    kept = docs.withColumn("text", F.col("text").cast("string"))
-    return kept.withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")),
-                             "k2": F.xxhash64(F.col("doc_id").isNull(), "text")})
+def _keyed(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """The carried columns of the caller in one struct ``row``, the text, and the key of a row; rows
+    of one doc_id and text share it."""
+    return docs.select(
+        F.struct(*(docs[f"`{c}`"] for c in carried)).alias("row"), F.col("text").cast("string").alias("text"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k1"),
+        F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string")).alias("k2"))
 
 
 _ANCHOR = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("length", "<u2")])
@@ -250,13 +252,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
 
     ``docs`` has doc_id and text; a null text is empty, repeated rows repeat each other, and matches
     never cross rows. Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256 per row; with
-    ``texts`` the columns of ``docs`` instead, with the text that is left. There a span grows to
-    whole characters, so that what is left is valid text; a null text stays null.
+    ``texts`` the columns of ``docs`` instead, whatever their names, with the text that is left. There
+    a span grows to whole characters, so that what is left is valid text; a null text stays null, and
+    so does a null doc_id. An empty table gives no rows.
     """
-    keyed = _keyed(docs)
-    spans = repeated_spans(keyed, window)
     carried = [c for c in docs.columns if c != "text"] if texts else ["doc_id"]
-    joined = keyed.join(spans, ["k1", "k2"], "left").select(*(F.col(c) for c in carried), "text", "spans")
+    keyed = _keyed(docs, carried)
+    spans = repeated_spans(keyed, window)
+    joined = keyed.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, starts in text_steps(batches):
@@ -278,7 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
             if texts:
                 text = batch.column("text")
                 left = pa.array([None if text[i].as_py() is None else x.decode("utf-8", "replace") for i, x in enumerate(out["kept"])], pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), left], [*carried, "text"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), left], ["row", "text"])
             else:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id"), "n_bytes": pa.array(out["n_bytes"], pa.int64()),
@@ -286,10 +289,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
                     "kept_sha256": pa.array(out["kept"], pa.string())})
 
     if not texts:
-        joined = joined.withColumn("doc_id", F.col("doc_id").cast("long"))
+        joined = joined.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "spans")
         return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    schema = joined.drop("spans").withColumn("text", F.col("text").cast("string"))
-    return joined.mapInArrow(apply, schema.select(*carried, "text").schema).select(*docs.columns)
+    left = joined.mapInArrow(apply, joined.select("row", "text").schema)
+    return left.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _union(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:

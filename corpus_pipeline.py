@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Each result
 is written to the shared folder and read back as the next stage's documents. All stages but the last
-return the columns of ``documents``.
+return the columns of ``documents``, whatever further columns it has. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from bidlake.llm import language, mixing, packing, signature_join, suffixes
 from bidlake.llm.common import stage
 from bidlake.llm.tokens import vocabulary_path
 
-# Trained models, a tokenizer and shingle components are beyond SQL; the tests compare with brute force.
+# Trained models, a tokenizer and shingle components are beyond SQL; tests/llm/test_pipeline.py compares
+# every stage with brute force, the language stage with the model's own verdict on each row.
 ORACLE_SQL = None
 
 
@@ -24,14 +25,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near copies the smallest doc_id stays; rows of one doc_id stay together,
-    and rows without a doc_id stay."""
-    copies = signature_join.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of every group of near copies one row stays, that of the smallest doc_id; rows without a doc_id stay."""
+    return signature_join.one_of_each_group(docs)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat anywhere go; n_chars follows the text that is left."""
+    """Passages that repeat anywhere go; n_chars follows the text that is left. Every row stays."""
     left = suffixes.remove_repeats(docs, texts=True)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
