@@ -15,7 +15,8 @@ from bidlake.llm.common import stage
 from bidlake.llm.tokens import vocabulary_path
 
 # Trained models, a tokenizer and shingle components are beyond SQL; tests/llm/test_pipeline.py compares
-# every stage with brute force, the language stage with the model's own verdict on each row.
+# join, suffix dedup and packing with brute force, the language stage with its model's own verdict on
+# each row, and the mix with the decisions of mixing.mix.
 ORACLE_SQL = None
 
 

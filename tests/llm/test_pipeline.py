@@ -1,4 +1,5 @@
-"""The corpus pipeline, stage by stage, against brute force."""
+"""The corpus pipeline, stage by stage: join, suffix dedup and packing against brute force, the
+language stage and the mix against the decisions of their own operators."""
 
 import random
 import zlib
