@@ -198,12 +198,15 @@ def _open_titles(blocks: Column, starts: Column) -> Column:
 
 def document_chunks(
     df: DataFrame, id_column: str, size: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
-    min_tokens: int = 0, blocks_column: str = "blocks",
+    min_tokens: int | None = None, blocks_column: str = "blocks",
 ) -> DataFrame:
     """Blocks to token chunks in the stored shape: sections first, then windows inside each.
 
-    Titles lead the text of their section, so a section that is only a heading still counts.
+    ``min_tokens`` is as in ``token_chunks``; by default ``MIN_TOKENS``, or none where windows are no
+    larger than that. Titles lead the text of their section, so a section that is only a heading still counts.
     """
+    if min_tokens is None:
+        min_tokens = MIN_TOKENS if size > MIN_TOKENS else 0
     df, id_column = _keyed(df, id_column)
     sections = section_chunks(df, id_column, blocks_column).select(
         F.col("id").alias("source_chunk_id"), F.col(id_column).alias("document_id"),

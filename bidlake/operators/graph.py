@@ -179,20 +179,22 @@ def same_buyer_and_cpv(tenders: DataFrame, code: str, one: DataFrame | None = No
 
 
 def label_counts(vertices: Mapping[str, DataFrame], edges: Mapping[str, DataFrame]) -> DataFrame:
-    """``nodes_<Label>`` per vertex table and ``relationships_total``: (stat, n)."""
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"nodes_{label}").alias("stat"), "n")
-             for label, df in vertices.items()]
-    total = None
-    for df in edges.values():
-        one = df.agg(F.count(F.lit(1)).alias("n"))
-        total = one if total is None else total.unionByName(one)
-    if total is not None:
-        parts.append(total.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
-            F.lit("relationships_total").alias("stat"), "n"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    """``nodes_<Label>`` per vertex table and ``relationships_total``: (stat, n).
+
+    A table given more than once, such as children that are vertices and hold the edge to their
+    parent, is counted once and its count enters every stat it belongs to.
+    """
+    stats: dict[int, tuple[DataFrame, list[str]]] = {}
+    for name, df in [*((f"nodes_{label}", df) for label, df in vertices.items()),
+                     *(("relationships_total", df) for df in edges.values())]:
+        stats.setdefault(id(df), (df, []))[1].append(name)
+    counted = None
+    for df, names in stats.values():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(names).alias("stats"), "n")
+        counted = one if counted is None else counted.unionByName(one)
+    if counted is None:
+        raise ValueError("no table to count")
+    return counted.select(F.explode("stats").alias("stat"), "n").groupBy("stat").agg(F.sum("n").alias("n"))
 
 
 def edge_scan(edges: Mapping[str, DataFrame]) -> DataFrame:
@@ -224,7 +226,8 @@ def common_texts(
     wanted = chunks.filter(F.col("section_type") == section)
     if tender_codes is not None:
         wanted = wanted.filter(F.col("tender_code").isin(list(tender_codes)))
-    pairs = wanted.select(preview("text").alias("requirement_text"), "tender_code").distinct()
+    # without null texts, which never join, both uses below share one shuffle of the pairs
+    pairs = wanted.select(preview("text").alias("requirement_text"), "tender_code").filter("requirement_text is not null").distinct()
     top = (pairs.groupBy("requirement_text").agg(F.count(F.lit(1)).alias("frequency"))
            .filter(F.col("frequency") >= at_least).orderBy(F.desc("frequency"), "requirement_text").limit(limit))
     # at most ``limit`` rows of 200 characters on the broadcast side
@@ -259,13 +262,19 @@ def orphan_chunks(chunks: DataFrame, tenders: DataFrame) -> DataFrame:
 
 
 def index_health(tenders: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: totals, orphaned chunks and mean chunks per tender."""
-    per_tender = chunk_counts(chunks)
-    totals = per_tender.agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("total_chunks"))
-    orphans = orphan_chunks(per_tender, tenders).agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("n"))
-    n_tenders = tenders.agg(F.count(F.lit(1)).alias("n"))
-    return totals.select(
-        n_tenders.scalar().alias("total_tenders"), "total_chunks", orphans.scalar().alias("orphaned_chunks"),
+    """One row: totals, orphaned chunks and mean chunks per tender.
+
+    Both sides are counted by code in one grouping, so each table is read once. A chunk without a
+    code, or whose code no tender has, is orphaned.
+    """
+    none = F.lit(0).cast("long")
+    per_code = tenders.groupBy("code").agg(F.count(F.lit(1)).alias("tenders")).withColumn("chunks", none).unionByName(
+        chunk_counts(chunks).select(F.col("tender_code").alias("code"), none.alias("tenders"), F.col("chunk_count").alias("chunks")))
+    met = per_code.groupBy("code").agg(F.sum("tenders").alias("tenders"), F.sum("chunks").alias("chunks"))
+    orphaned = F.when((F.col("tenders") == 0) | F.col("code").isNull(), F.col("chunks"))
+    return met.agg(
+        F.coalesce(F.sum("tenders"), none).alias("total_tenders"), F.coalesce(F.sum("chunks"), none).alias("total_chunks"),
+        F.coalesce(F.sum(orphaned), none).alias("orphaned_chunks"),
     ).withColumn("avg_chunks_per_tender", F.col("total_chunks") / F.greatest("total_tenders", F.lit(1)))
 
 

@@ -77,6 +77,24 @@ def change_set(old: DataFrame, new: DataFrame, key: str, values: Sequence[str])
         *[F.col(f"_new.{v}").alias(f"new_{v}") for v in values])
 
 
+def change_set_in_one(versions: DataFrame, key: str, version: str, old: object, new: object,
+                      values: Sequence[str]) -> DataFrame:
+    """``change_set`` of two versions kept in one table, which is read and grouped once.
+
+    ``version`` names the column that tells them apart; a key has at most one row of each version.
+    Rows of other versions count as absent.
+    """
+    def side(value: object) -> Column:
+        return F.first(F.when(F.col(version) == F.lit(value), F.struct(*values)), ignorenulls=True)
+
+    joined = versions.filter(F.col(version).isin(old, new)).groupBy(key).agg(side(old).alias("_old"), side(new).alias("_new"))
+    change = (F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
+              .when(~F.col("_old").eqNullSafe(F.col("_new")), "modified"))
+    return joined.withColumn("change", change).filter("change is not null").select(
+        key, "change", *[F.col(f"_old.{v}").alias(f"old_{v}") for v in values],
+        *[F.col(f"_new.{v}").alias(f"new_{v}") for v in values])
+
+
 def publish_error(status: Column, description: Column, deadline: Column, today: Column) -> Column:
     """Why a tender cannot be published, or null."""
     return (
@@ -92,13 +110,15 @@ def archive_error(status: Column) -> Column:
 
 
 def archive(tenders: DataFrame, lots: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Archive the given tenders that are not active, with their lots."""
-    wanted = keys.select("code").distinct()
-    allowed = tenders.join(wanted, "code", "left_semi").filter(archive_error(F.col("status")).isNull())
-    allowed = allowed.select(F.col("code").alias("_code"))
-    flag = F.when(F.col("_code").isNotNull(), "archived")
-    new_tenders = tenders.join(allowed, F.col("code") == F.col("_code"), "left")
-    new_tenders = new_tenders.withColumn("status", F.coalesce(flag, F.col("status"))).drop("_code")
+    """Archive the given tenders that are not active, with their lots. A key given or stored more than
+    once changes no number of rows."""
+    wanted = keys.select(F.col("code").alias("_code")).distinct()
+    free = archive_error(F.col("status")).isNull()
+    # a tender's own row tells whether it may go, so the tenders meet the keys alone
+    new_tenders = tenders.join(wanted, F.col("code") == F.col("_code"), "left")
+    new_tenders = new_tenders.withColumn(
+        "status", F.when(F.col("_code").isNotNull() & free, "archived").otherwise(F.col("status"))).drop("_code")
+    allowed = tenders.filter(free).join(wanted, F.col("code") == F.col("_code"), "left_semi").select(F.col("code").alias("_code")).distinct()
     new_lots = lots.join(allowed, F.col("tender_code") == F.col("_code"), "left")
-    new_lots = new_lots.withColumn("status", F.coalesce(flag, F.col("status"))).drop("_code")
+    new_lots = new_lots.withColumn("status", F.when(F.col("_code").isNotNull(), "archived").otherwise(F.col("status"))).drop("_code")
     return new_tenders, new_lots

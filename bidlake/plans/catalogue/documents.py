@@ -198,7 +198,7 @@ def embedding(t):
     select concat(source_chunk_id, '-', s // 680) as id, section_path, source_chunk_id, 1 as page,
            cast(s // 680 as varchar) as chunk_index from win""")
 def citation_fields(t):
-    found = retrieval.citations(ingest.ingest_blocks(html_blocks(domain.pages(t), "html"), "page_id", 4))
+    found = retrieval.citations(ingest.ingest_blocks(html_blocks(domain.pages(t), "html"), "page_id", 4, min_tokens=0))
     return found.select("id", "section_path", "source_chunk_id", F.get("page_numbers", F.lit(0)).alias("page"),
                         F.col("metadata")["chunk_index"].alias("chunk_index"))
 
@@ -211,6 +211,6 @@ def citation_fields(t):
     select concat(source_chunk_id, '-', s // 680) as id, source_chunk_id, section_path, tender_id, 16 as dim,
            round(length(array_to_string(toks[s + 1:s + 800], ' ')) / 1000.0e0 + 3 / 16.0e0, 5) as fourth from win""")
 def ingest_blocks(t):
-    rows = ingest.ingest_blocks(html_blocks(domain.pages(t), "html"), "page_id", 16)
+    rows = ingest.ingest_blocks(html_blocks(domain.pages(t), "html"), "page_id", 16, min_tokens=0)
     return rows.select("id", "source_chunk_id", "section_path", "tender_id", F.size("embedding").alias("dim"),
                        F.round(F.get("embedding", F.lit(3)).cast("double"), 5).alias("fourth"))

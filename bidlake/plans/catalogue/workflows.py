@@ -57,12 +57,9 @@ def budget_check(t):
 def change_detection(t):
     by_state = domain.tenders(t).select(F.col("code").alias("tender_code"), "status")
     named = domain.lots(t).join(by_state, "tender_code")
-
-    def edition(status):
-        return named.filter(F.col("status") == status).groupBy("requirement_id").agg(
-            F.count(F.lit(1)).alias("n_lots"), F.max("name").alias("last_lot"))
-
-    return workflows.change_set(edition("closed"), edition("open"), "requirement_id", ["n_lots", "last_lot"])
+    editions = named.filter(F.col("status").isin("closed", "open")).groupBy("requirement_id", "status").agg(
+        F.count(F.lit(1)).alias("n_lots"), F.max("name").alias("last_lot"))
+    return workflows.change_set_in_one(editions, "requirement_id", "status", "closed", "open", ["n_lots", "last_lot"])
 
 
 # Two versions of every document: the second drops, edits, moves and adds numbered clauses.

@@ -33,8 +33,8 @@ def collection_rows(chunks: DataFrame, dim: int, embed: Embedder | None = None)
 
 
 def ingest_blocks(documents: DataFrame, id_column: str, dim: int, embed: Embedder | None = None,
-                  size: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, min_tokens: int = 0) -> DataFrame:
-    """Documents with a ``blocks`` array to collection rows; ``min_tokens`` as in ``token_chunks``."""
+                  size: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, min_tokens: int | None = None) -> DataFrame:
+    """Documents with a ``blocks`` array to collection rows; ``min_tokens`` as in ``document_chunks``."""
     return collection_rows(document_chunks(documents, id_column, size, overlap, min_tokens), dim, embed)
 
 

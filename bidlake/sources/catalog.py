@@ -58,13 +58,19 @@ def ensure_collection(
     writer = spark.createDataFrame([], schema).write.format("parquet").bucketBy(max(shards, 1), key)
     writer.saveAsTable(name)
     properties = {"shards": str(shards), **{f"index.{k}": str(v) for k, v in (index or DEFAULT_INDEX).items()}}
-    pairs = ", ".join(f"'{k}' = '{v}'" for k, v in properties.items())
-    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({pairs})")
+    pairs = ", ".join(f"{_text(k)} = {_text(v)}" for k, v in properties.items())
+    spark.sql(f"ALTER TABLE IDENTIFIER(:name) SET TBLPROPERTIES ({pairs})", {"name": name})
     return True
 
 
 def drop_collection(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", {"name": name})
+
+
+def _text(value: str) -> str:
+    """A SQL string literal; properties take no parameter markers."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def list_collections(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,15 +20,25 @@ def stream_documents(spark: SparkSession, path: str, schema: T.StructType) -> Da
 
 def start_chunk_sync(
     documents: DataFrame, target: str, checkpoint: str, id_column: str = "doc_id", text_column: str = "text",
-    size: int = 200, overlap: int = 30, dim: int = 64, embed: Embedder | None = None,
+    size: int = 200, overlap: int = 30, dim: int = 64, embed: Embedder | None = None, order_column: str | None = None,
 ) -> StreamingQuery:
     """Chunk and embed arriving documents into ``target``, one folder per micro-batch.
 
-    A repeated batch overwrites its own folder, so a restart neither loses nor doubles chunks.
+    A repeated batch overwrites its own folder, so a restart neither loses nor doubles chunks. Of several
+    versions of a document in one batch, that of the largest ``order_column`` stays; without such a
+    column repeated rows count once and unlike texts fail the batch, as nothing tells which is newer.
     """
     embed = embed or default_embedder(dim)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if order_column is None:
+            one, text = Window.partitionBy(id_column), F.coalesce(F.col(text_column), F.lit(""))
+            several = F.raise_error(F.concat(F.lit("several versions in one batch of document "), F.col(id_column).cast("string")))
+            batch = batch.withColumn("_differ", F.min(text).over(one) != F.max(text).over(one))
+            batch = batch.filter(F.when(F.col("_differ"), several.cast("boolean")).otherwise(True)).drop("_differ")
+            batch = batch.dropDuplicates([id_column])
+        else:
+            batch = last_per_key(batch, id_column, order_column)
         rows = token_chunks(batch, id_column, text_column, size, overlap)
         rows = rows.select("id", F.col(id_column), "chunk_index", "text", embed(F.col("text")).alias("embedding"))
         rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")

@@ -231,6 +231,38 @@ def test_stream_sync_is_idempotent(spark, tmp_path):
     assert {r.id for r in after.filter("doc_id = 1").collect()} == {"1-0"} and after.count() == 2
 
 
+def test_a_batch_holds_one_version_of_a_document(spark, tmp_path):
+    docs = spark.createDataFrame([(1, words(8), 1), (1, words(3), 2), (2, words(4), 1), (2, words(4), 1)], "doc_id long, text string, v int")
+
+    def run(rows, name, **options):
+        source, target, check = (str(tmp_path / name / n) for n in ("src", "out", "check"))
+        rows.coalesce(1).write.parquet(source)
+        incremental.start_chunk_sync(incremental.stream_documents(spark, source, rows.schema), target, check, size=10, overlap=2, dim=4, **options).awaitTermination()
+        return sorted((r.id, r.text) for r in incremental.current_chunks(spark, target).collect())
+
+    assert run(docs, "ordered", order_column="v") == [("1-0", words(3)), ("2-0", words(4))]
+    assert run(docs.filter("doc_id = 2"), "repeated") == [("2-0", words(4))]
+    with pytest.raises(Exception, match="several versions"):
+        run(docs, "unlike")
+
+
+def test_short_tails_join_their_predecessor_by_default(spark):
+    blocks = spark.createDataFrame([(1, [(1, "paragraph", None, words(900))])], "id int, blocks array<struct<page_number:int,type:string,level:int,text:string>>")
+    assert [r.n_tokens for r in C.document_chunks(blocks, "id").collect()] == [900]
+    assert [r.n_tokens for r in C.document_chunks(blocks, "id", min_tokens=0).collect()] == [800, 220]
+    assert [r.n_tokens for r in C.document_chunks(blocks, "id", 400, 0).collect()] == [400, 400, 100]
+
+
+def test_catalog_names_and_values_are_quoted(spark):
+    name = "`select`"
+    schema = catalog.build_schema([{"name": "id", "dtype": "VARCHAR"}])
+    assert catalog.ensure_collection(spark, name, schema, index={"note": "it's a \\ 'mark'"})
+    shown = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    assert shown["index.note"] == "it's a \\ 'mark'"
+    catalog.drop_collection(spark, name)
+    assert not spark.catalog.tableExists(name)
+
+
 def test_stream_activity(spark, tmp_path):
     source = str(tmp_path / "events")
     events = spark.sql("""select timestamp_ntz'2024-01-01 10:00:00' as ts, 1L as user_id, 'click' as event_type, 1.5D as value

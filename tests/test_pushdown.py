@@ -54,3 +54,17 @@ def test_days_are_both_included(spark):
     day = str(every.selectExpr("min(publication_date) as d").first().d)
     got = domain.tenders(t, published=(day, day)).count()
     assert got == every.filter(f"publication_date = date '{day}'").count() > 0
+
+
+@pytest.mark.parametrize(("name", "column", "most"), [
+    ("a2_label_counts", "text", 1), ("a9_health", "text", 1), ("a9_health", "o_orderkey", 1), ("u3_change_detection", "o_orderkey", 1),
+    ("u3_change_detection", "l_orderkey", 1), ("x16_archive", "o_orderkey", 4)])
+def test_tables_are_read_once(spark, name, column, most):
+    """Of the archive, tenders and lots each meet the keys, and the lots also their tenders."""
+    assert 0 < sum(column in x for x in scans(REGISTRY[name](spark, FOLDER))) <= most
+
+
+def test_common_texts_share_one_shuffle(spark):
+    df = REGISTRY["a5_common_texts"](spark, FOLDER)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()

@@ -137,6 +137,8 @@ def test_changes_budget_and_lifecycle(spark):
     old = spark.createDataFrame([("a", 1, None), ("b", 2, "x"), ("c", 3, "y")], "k string, v int, w string")
     new = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("d", 4, "z")], "k string, v int, w string")
     assert rows(W.change_set(old, new, "k", ["v", "w"]).select("k", "change")) == [("b", "modified"), ("c", "removed"), ("d", "added")]
+    both = old.selectExpr("*", "1 as edition").unionByName(new.selectExpr("*", "2 as edition")).unionByName(new.selectExpr("'z' as k", "v", "w", "3 as edition"))
+    assert rows(W.change_set_in_one(both, "k", "edition", 1, 2, ["v", "w"])) == rows(W.change_set(old, new, "k", ["v", "w"]))
     tenders = spark.createDataFrame([("a", 10.0), ("b", 10.0)], "code string, base_amount double")
     totals = spark.createDataFrame([("a", 1, 10.0), ("b", 2, 10.5)], "tender_code string, lot_count long, total_lots_amount double")
     assert [(r.code, r.excess) for r in W.budget_check(tenders, totals).collect()] == [("b", 0.5)]
