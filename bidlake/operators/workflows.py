@@ -12,6 +12,7 @@ BID_WEIGHTS = {
     "compliance": 0.35, "timeline": 0.15, "penalty": 0.10,
     "criteria": 0.20, "competition": 0.10, "profitability": 0.10,
 }
+SCORE_DIGITS = 6
 
 
 def checklist(requirements: DataFrame, profile: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -44,11 +45,14 @@ def checklist_summary(items: DataFrame) -> DataFrame:
 
 
 def bid_score(factors: DataFrame) -> DataFrame:
-    """Weighted score of six 0–100 factor columns and the decision."""
+    """Weighted score of six 0–100 factor columns, to ``SCORE_DIGITS`` digits, and the decision.
+
+    The decision is taken on the score as given: a sum of 70 that floating point makes a little more is not above 70.
+    """
     overall = F.lit(0.0)
     for name, weight in BID_WEIGHTS.items():
         overall = overall + F.col(name) * weight
-    scored = factors.withColumn("overall_score", overall)
+    scored = factors.withColumn("overall_score", F.round(overall, SCORE_DIGITS))
     compliance = F.col("compliance")
     decision = (
         F.when((F.col("overall_score") > 70) & (compliance > 80), "GO")

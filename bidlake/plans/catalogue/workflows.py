@@ -31,7 +31,7 @@ def bid_score(t):
         F.least(cap, F.max(size) * 2.0).alias("criteria"),
         F.lit(50.0).alias("competition"),
         F.least(cap, F.min(size) * 5.0).alias("profitability"))
-    return workflows.bid_score(factors).select("tender_code", F.round("overall_score", 6).alias("overall_score"), "recommendation")
+    return workflows.bid_score(factors).select("tender_code", "overall_score", "recommendation")
 
 
 @query("a16_budget_check", """

@@ -123,6 +123,13 @@ def test_bid_decisions(spark):
         ("go", "GO"), ("low", "NO-GO"), ("mid", "EVALUATE"), ("weak", "NO-GO")]
 
 
+def test_bid_score_decides_on_the_score_it_gives(spark):
+    # six lots of sizes 4, 7, 7, 11, 24 and 41: the weighted sum is 70, in floating point 70.00000000000001
+    df = spark.createDataFrame([("a", 100.0 * (5 / 6), 60.0, 100.0 - 94 / 6, 82.0, 50.0, 20.0)],
+                               "code string, " + ", ".join(f"{name} double" for name in W.BID_WEIGHTS))
+    assert rows(W.bid_score(df).select("overall_score", "recommendation")) == [(70.0, "EVALUATE")]
+
+
 def test_checklist(spark):
     needed = spark.createDataFrame([("t", "r1", "a"), ("t", "r2", "b"), ("t", "r3", "c")], "tender_code string, requirement_id string, description string")
     profile = spark.createDataFrame([("r1", True), ("r2", False)], "requirement_id string, covered boolean")
