@@ -1,49 +1,73 @@
 """Language detection by ranked character n-grams.
 
 A profile is the list of the most frequent trigrams of a language; a text is compared by how far its own
-ranked trigrams lie out of place in each profile, and takes the nearest language. Everything is built of
-column expressions: a text's trigrams are ranked inside its row, and at most ``PROFILE`` of them leave it.
+ranked trigrams lie out of place in each profile, and takes the nearest language. A text's trigrams are
+counted inside its row, as numbers in numpy, and at most ``PROFILE`` of them leave it; grouping, ranking
+and the comparison with the profiles are Spark's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bidlake.functions.arrays import let
 from bidlake.session import cut_lineage
 
 PROFILE = 300
 # Profiles are broadcast up to this many rows (some 300 languages of two bytes to a letter).
 BROADCAST_ROWS = 100_000
+# Letters counted in one numpy step; a longer text is one step.
+STEP_LETTERS = 2_000_000
+# A trigram as one number: a code point has 21 bits, so numbers sort like their trigrams in UTF-8.
+_BITS = 21
+_LETTER = (1 << _BITS) - 1
 
 
-def trigrams(text: str | Column) -> Column:
-    """Character trigrams of the lower-cased words of a text, a blank at both ends of each; none for a null text."""
+def _framed(text: str | Column) -> Column:
+    """The lower-cased words of a text, a blank at both ends of each; null without a letter."""
     text = F.col(text) if isinstance(text, str) else text
-    plain = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+", " "))
-    framed = F.when(plain != "", F.concat(F.lit(" "), plain, F.lit(" ")))
+    plain = F.btrim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " "))
+    return F.when(plain != "", F.concat(F.lit(" "), plain, F.lit(" ")))
+
+
+def _codes(framed: str | None) -> np.ndarray:
+    letters = np.frombuffer((framed or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+    return letters[:-2] << 2 * _BITS | letters[1:-1] << _BITS | letters[2:]
+
+
+def _grams(codes: np.ndarray) -> pa.Array:
+    letters = np.stack([codes >> 2 * _BITS, codes >> _BITS & _LETTER, codes & _LETTER], axis=1).astype(np.uint32)
+    return pa.array(letters.view("<U3").ravel(), type=pa.string())
 
-    def grams(letters: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(letters) - 3), lambda i: F.concat(
-            F.get(letters, i), F.get(letters, i + 1), F.get(letters, i + 2)))
 
-    none = F.array().cast("array<string>")
-    return F.coalesce(F.when(framed.isNotNull(), let(F.split(F.coalesce(framed, F.lit("   ")), ""), grams)), none)
+def _lists(codes: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, codes)])
+    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), _grams(np.concatenate([*codes, np.zeros(0, np.int64)])))
+
+
+def trigrams(text: str | Column) -> Column:
+    """Character trigrams of the lower-cased words of a text, a blank at both ends of each; none for a null text."""
+    def found(texts: pa.Array) -> pa.Array:
+        return _lists([_codes(s) for s in texts.to_pylist()])
+
+    return F.arrow_udf(found, T.ArrayType(T.StringType()))(_framed(text))
 
 
 def ranked_trigrams(text: str | Column, size: int = PROFILE) -> Column:
     """The most frequent trigrams of a text, most frequent first, ties in order of the trigram."""
-    def runs(ordered: Column) -> Column:
-        flagged = F.transform(ordered, lambda g, i: F.struct(i.alias("at"), ((i == 0) | (F.get(ordered, i - 1) != g)).alias("first")))
-        starts = F.transform(F.filter(flagged, lambda x: x["first"]), lambda x: x["at"])
-        return let(starts, lambda at: F.zip_with(
-            at, F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(ordered))),
-            lambda a, b: F.struct((a - b).alias("fewer"), F.get(ordered, a).alias("gram"))))
+    def first(framed: str | None) -> np.ndarray:
+        codes, n = np.unique(_codes(framed), return_counts=True)
+        return codes[np.argsort(-n, kind="stable")[:size]]
+
+    def ranked(texts: pa.Array) -> pa.Array:
+        return _lists([first(s) for s in texts.to_pylist()])
 
-    counted = let(F.sort_array(trigrams(text)), lambda g: F.when(F.size(g) > 0, F.sort_array(runs(g))))
-    ranked = F.transform(F.slice(counted, 1, size), lambda x: x["gram"])
-    return F.coalesce(ranked, F.array().cast("array<string>"))
+    return F.arrow_udf(ranked, T.ArrayType(T.StringType()))(_framed(text))
 
 
 def language_profiles(texts: DataFrame, language: str, text: str, size: int = PROFILE) -> DataFrame:
@@ -51,11 +75,31 @@ def language_profiles(texts: DataFrame, language: str, text: str, size: int = PR
 
     The profiles are computed once and kept in the checkpoint folder.
     """
-    # an inner explode would infer a filter on the size of the array and build it twice
-    grams = texts.filter(F.col(language).isNotNull()).select(F.col(language).alias("lang"), F.explode_outer(trigrams(text)).alias("gram"))
-    counted = grams.filter(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rows = texts.filter(F.col(language).isNotNull()).select(F.col(language).alias("lang"), _framed(text).alias("framed"))
+    schema = T.StructType([rows.schema["lang"], T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
+
+    def counted(held: dict[int, list[np.ndarray]], languages: pa.Array) -> Iterator[pa.RecordBatch]:
+        for i, codes in held.items():
+            grams, n = np.unique(np.concatenate(codes), return_counts=True)
+            named = languages.take(pa.array(np.full(len(grams), i)))
+            yield pa.RecordBatch.from_arrays([named, _grams(grams), pa.array(n, type=pa.int64())], names=schema.names)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            held: dict[int, list[np.ndarray]] = {}
+            letters = 0
+            for i, framed in zip(coded.indices.to_pylist(), batch.column(1)):
+                held.setdefault(i, []).append(_codes(framed.as_py()))
+                letters += len(held[i][-1])
+                if letters >= STEP_LETTERS:
+                    yield from counted(held, coded.dictionary)
+                    held, letters = {}, 0
+            yield from counted(held, coded.dictionary)
+
+    grams = rows.mapInArrow(partial, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return cut_lineage(counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size).select("lang", "gram", "rank"))
+    return cut_lineage(grams.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size).select("lang", "gram", "rank"))
 
 
 def detect_language(texts: DataFrame, profiles: DataFrame, id_column: str, text: str, size: int = PROFILE) -> DataFrame:

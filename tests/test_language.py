@@ -5,6 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from bidlake.functions import language
 from bidlake.functions.language import detect_language, language_profiles, ranked_trigrams, trigrams
 
 
@@ -41,3 +42,28 @@ def test_held_out_accuracy(spark):
     profiles = language_profiles(docs.filter(~F.col("doc_id").isin(held)), "lang", "text")
     found = detect_language(docs.filter(F.col("doc_id").isin(held)), profiles, "doc_id", "text").join(docs, "doc_id").select("lang", "detected").collect()
     assert sum(r.lang == r.detected for r in found) >= 0.95 * len(found) > 100
+
+
+def test_letters_are_not_handled_as_array_items(spark):
+    # a text's letters as array items of Spark, one string each, took most of the time
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+    for found in (trigrams("text"), ranked_trigrams("text")):
+        plan = df.select(found)._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction" not in plan and "split(" not in plan
+
+
+def test_profiles_do_not_depend_on_the_steps(spark, monkeypatch):
+    texts = [(lang, text) for lang in ("en", "de") for text in [*TEXTS, "\U00020000\U00010400 \U0001d4d0"]]
+    learnt = spark.createDataFrame(texts, "lang string, text string").coalesce(1)
+    whole = sorted(map(tuple, language_profiles(learnt, "lang", "text").collect()))
+    monkeypatch.setattr(language, "STEP_LETTERS", 3)
+    assert sorted(map(tuple, language_profiles(learnt, "lang", "text").collect())) == whole
+    counted = collections.Counter(g for _, text in texts[:len(TEXTS) + 1] for g in grams_of(text))
+    best = sorted(counted, key=lambda g: (-counted[g], g.encode()))[:300]
+    assert [g for lang, g, _ in sorted(whole, key=lambda r: (r[0], r[2])) if lang == "en"] == best
+
+
+def grams_of(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    s = f" {' '.join(words)} " if words else ""
+    return [s[i:i + 3] for i in range(len(s) - 2)]
