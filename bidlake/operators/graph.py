@@ -77,16 +77,18 @@ def without_lots(tenders: DataFrame, lots: DataFrame) -> DataFrame:
     return tenders.join(parents, "code", "left_anti")
 
 
-def chunk_context(chunk_ids: DataFrame, chunks: DataFrame, tenders: DataFrame, id_column: str = "id",
+def chunk_context(chunk_ids: DataFrame | None, chunks: DataFrame, tenders: DataFrame, id_column: str = "id",
                   extra: Sequence[str] = ()) -> DataFrame:
-    """Tender context of the given chunk ids; unknown ids vanish and repeated ids count once.
+    """Tender context of the given chunk ids, or of every chunk for ``None``; unknown ids vanish and repeated ids
+    count once.
 
     ``extra`` names further columns of ``chunks`` to carry along.
     """
-    wanted = chunk_ids.select(F.col(id_column).alias("chunk_id")).distinct()
     links = chunks.select(F.col("id").alias("chunk_id"), "tender_code", *extra)
+    if chunk_ids is not None:
+        links = chunk_ids.select(F.col(id_column).alias("chunk_id")).distinct().join(links, "chunk_id")
     return (
-        wanted.join(links, "chunk_id").join(tenders, F.col("tender_code") == F.col("code"))
+        links.join(tenders, F.col("tender_code") == F.col("code"))
         .select("chunk_id", "tender_code", F.col("title").alias("tender_title"), "buyer_name", "cpv_code",
                 "base_amount", "publication_date", *extra))
 

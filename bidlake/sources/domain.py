@@ -28,9 +28,13 @@ def _keyed(df: DataFrame, key: str, codes: Sequence[str] | None) -> DataFrame:
     return df.filter(F.col(key).isin(numbers)) if numbers else df.filter(F.lit(False))
 
 
-def tenders(t: Tables, codes: Sequence[str] | None = None, published: tuple[str, str] | None = None) -> DataFrame:
-    """All tenders, those with the given codes, or those published between two days (both included)."""
+def tenders(t: Tables, codes: Sequence[str] | None = None, published: tuple[str, str] | None = None,
+            only: DataFrame | None = None) -> DataFrame:
+    """All tenders, those with the given codes, those published between two days (both included), or those of the
+    documents whose ``doc_id`` is in ``only``, which are picked before they meet their buyers."""
     orders = _keyed(t.orders, "o_orderkey", codes)
+    if only is not None:
+        orders = orders.join(only.select("doc_id"), F.col("o_orderkey") == F.col("doc_id"), "left_semi")
     if published is not None:
         # in the stored type, with or without a zone, so that the column itself is compared
         kind = t.orders.schema["o_orderdate"].dataType
@@ -126,16 +130,18 @@ def pages(t: Tables) -> DataFrame:
     return t.pages.select("page_id", "html")
 
 
-def _sectioned(t: Tables, only: DataFrame | None) -> DataFrame:
-    found = documents(t) if only is None else documents(t).join(only.select("doc_id"), "doc_id", "left_semi")
-    found = found.join(sections(t), "doc_id", "left")
-    return found.withColumn("section_type", F.coalesce("section_type", F.lit("other")))
+def _chosen(t: Tables, only: DataFrame | None) -> DataFrame:
+    return documents(t) if only is None else documents(t).join(only.select("doc_id"), "doc_id", "left_semi")
+
+
+def _sectioned(t: Tables, rows: DataFrame) -> DataFrame:
+    return rows.join(sections(t), "doc_id", "left").withColumn("section_type", F.coalesce("section_type", F.lit("other")))
 
 
 def chunks(t: Tables, only: DataFrame | None = None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Token chunks of every document (Chunk vertices, HAS_CHUNK by ``tender_code``), or of the
     documents whose ``doc_id`` is in ``only``."""
-    return token_chunks(_sectioned(t, only), "doc_id", "text", size, overlap).select(
+    return token_chunks(_sectioned(t, _chosen(t, only)), "doc_id", "text", size, overlap).select(
         "id", F.col("doc_id").cast("string").alias("tender_code"), "doc_id", "chunk_index", "text",
         "section_type", "lang", "source",
     )
@@ -143,8 +149,9 @@ def chunks(t: Tables, only: DataFrame | None = None, size: int = CHUNK_SIZE, ove
 
 def chunk_links(t: Tables, only: DataFrame | None = None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """HAS_CHUNK edges and section of every chunk without building the chunk texts, or of the
-    documents whose ``doc_id`` is in ``only``."""
-    return token_chunks(_sectioned(t, only), "doc_id", "text", size, overlap, with_text=False).select(
+    documents whose ``doc_id`` is in ``only``. The chunks meet their sections, so that no text is shuffled for them."""
+    found = token_chunks(_chosen(t, only).select("doc_id", "text"), "doc_id", "text", size, overlap, with_text=False)
+    return _sectioned(t, found.select("id", "doc_id", "chunk_index")).select(
         "id", F.col("doc_id").cast("string").alias("tender_code"), "doc_id", "chunk_index", "section_type"
     )
 

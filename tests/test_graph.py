@@ -105,6 +105,13 @@ def test_context_ignores_unknown_and_repeated_ids(spark, tenders):
     assert [(r.chunk_id, r.tender_title) for r in rows] == [("k1", "A")]
 
 
+def test_context_of_every_chunk(spark, tenders):
+    chunks = spark.createDataFrame([("k1", "a"), ("k1", "a"), ("k3", "gone")], "id string, tender_code string")
+    rows = graph.chunk_context(None, chunks, tenders).collect()
+    assert [(r.chunk_id, r.tender_title) for r in rows] == [("k1", "A")] * 2
+    assert sorted(map(str, rows)) == sorted(map(str, graph.chunk_context(chunks, chunks, tenders).collect()))
+
+
 def test_portfolio_does_not_multiply_the_budget(spark, tenders):
     chunks = spark.createDataFrame([(str(i), "a") for i in range(5)], "id string, tender_code string")
     row = graph.buyer_portfolio(tenders, chunks, "Comune Roma").filter("buyer = 'Comune Roma'").first()

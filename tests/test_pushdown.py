@@ -68,3 +68,37 @@ def test_common_texts_share_one_shuffle(spark):
     df = REGISTRY["a5_common_texts"](spark, FOLDER)
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["j2_chunk_context", "j6_enriched_chunks", "a2_label_counts"])
+def test_no_text_is_shuffled_for_its_section(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = REGISTRY[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    read = [i for i, line in enumerate(lines) if "FileScan parquet" in line and "text#" in line]
+    cut = max(i for i in range(read[0]) if "Generate" in lines[i])
+    assert len(read) == 1 and not any("Exchange" in line for line in lines[cut:read[0]])
+
+
+def test_tenders_of_documents_are_picked_before_they_meet_buyers(spark):
+    t = Tables(spark, FOLDER)
+    only = t.documents.filter("doc_id in (3, 5)").select("doc_id", "text")
+    assert sorted(r.code for r in domain.tenders(t, only=only.union(only)).collect()) == ["3", "5"]
+    assert sum("o_orderkey" in x for x in scans(REGISTRY["j2_chunk_context"](spark, FOLDER))) == 1
+
+
+def test_every_chunk_keeps_its_sections(spark, tmp_path):
+    """As with documents joined first: a document without a section has 'other', repeated rows count each."""
+    spark.createDataFrame([(1, "a b c"), (1, "a"), (2, "x " * 300), (3, ""), (4, None), (None, "n")], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (1, 4), (2, None), (None, 1), (9, 1)], "vec_id long, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    t = Tables(spark, str(tmp_path))
+    t._read["documents"] = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "'en' as lang", "'s' as source")
+    same = ["id", "tender_code", "doc_id", "chunk_index", "section_type"]
+    links = sorted(map(tuple, domain.chunk_links(t).select(same).collect()), key=str)
+    assert links == sorted(map(tuple, domain.chunks(t).select(same).collect()), key=str)
+    assert [(r[0], r[4]) for r in links] == [
+        ("1-0", "deadlines"), ("1-0", "deadlines"), ("1-0", "requirements"), ("1-0", "requirements"), ("2-0", "other"), ("2-1", "other"), (None, "other")]
